@@ -1,0 +1,6 @@
+"""Nothing here on purpose.
+
+The work this library covers has no streams: price age is a batch predicate and specifications are
+files.  The narrow part of the specification plan (`operators.spec_lines.parse_spec_lines`) uses no
+aggregation or window, so it also accepts a streaming DataFrame; see tests/test_spec_lines.py.
+"""
