@@ -233,9 +233,9 @@ def title_matches(
 ) -> DataFrame:
     """All (query, offer) pairs in which the offer is relevant to the query.
 
-    A relevant title misses at most one keyword, so of any two keywords it has one: each query is
-    looked up by one trigram of its first two keywords (the rarest trigram of each), which is an
-    exact superset; the relevance test then decides.  Queries with no counted word accept every
+    A relevant title misses at most one keyword, so of any two different keywords it has one: each
+    query is looked up by one trigram of each of its two rarest keywords, which gives an exact
+    superset; the relevance test then decides.  Queries with no counted word accept every
     offer and are not looked up; see `accepts_everything`.  Both sides carry a salt, so one frequent
     trigram is worked on by `salt` tasks.
     """
@@ -249,12 +249,8 @@ def title_matches(
     keyed = queries.select(
         F.col(query_id), q.query_keywords(F.col("query")).alias("keywords")
     ).filter(F.size("keywords") > 0)
-    # A repeated keyword counts twice but is one text to look for: two different ones are needed
-    # only when a miss is allowed.
-    probes = keyed.withColumn("probe_words", F.slice(F.array_distinct("keywords"), 1, 2))
-    options = probes.select(
-        query_id, "keywords", "probe_words",
-        F.posexplode("probe_words").alias("word_no", "word"),
+    options = keyed.select(
+        query_id, "keywords", F.posexplode(F.array_distinct("keywords")).alias("word_no", "word")
     ).withColumn("gram", F.explode(F.array_distinct(_trigrams(F.col("word")))))
     wanted = options.select("gram").distinct()
     frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -262,17 +258,18 @@ def title_matches(
         options.join(frequency, "gram", "left")
         .groupBy(query_id, "word_no")
         .agg(
-            F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("probe"),
             F.first("keywords").alias("keywords"),
         )
     )
     pairs = rarest.groupBy(query_id).agg(
-        F.min_by("gram", "word_no").alias("first_gram"),
-        F.min_by("keywords", "word_no").alias("keywords"),
-        F.collect_set("gram").alias("probe_grams"),
-    )
+        F.first("keywords").alias("keywords"),
+        F.transform(
+            F.slice(F.array_sort(F.collect_list("probe")), 1, 2), lambda p: p["gram"]
+        ).alias("probe_grams"),
+    ).withColumn("first_gram", F.get("probe_grams", 0))
     probed = pairs.select(
-        query_id, "keywords", "first_gram", F.explode("probe_grams").alias("gram")
+        query_id, "keywords", "first_gram", F.explode(F.array_distinct("probe_grams")).alias("gram")
     ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     candidates = probed.join(grams, ["gram", "salt"]).filter(
         (F.col("gram") == F.col("first_gram"))
