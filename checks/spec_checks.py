@@ -57,9 +57,9 @@ def row_totals(spark, sf):
 
 
 def fitting_classify(spark, sf):
-    feats = spec_lines.spec_features(_lines(spark, sf))
-    lines = spec_lines.classify_lines(feats).filter(F.col("route").isin("fitting", "adapter"))
-    return lines.select(
+    lines = spec_lines.with_texts(spec_lines.clean_lines(_lines(spark, sf)), distinct_texts=False)
+    routed = spec_lines.route_lines(lines).filter(F.col("route").isin("fitting", "adapter"))
+    return routed.select(
         "line_no", "route", "ptype", F.col("parsed_article").alias("article"),
         params_text(F.col("params")).alias("params"), F.col("connections").alias("sides"),
     )

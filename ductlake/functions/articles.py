@@ -56,7 +56,6 @@ class Features:
 
     ptype: Column
     name_lower: Column
-    text: Column
     rect: Column
     round: Column
     dims: Column
@@ -168,15 +167,26 @@ def fitting_article(f: Features, branch: Column) -> Column:
     return F.when(any_dim, by_type)
 
 
-def fitting_params(article: Column, f: Features, branch: Column) -> dict[str, Column]:
-    """Parameter name -> column, null where the article does not use the parameter."""
-    plate, vane = article == "15-2-4", article == "15-2-5"
+def read_plate(article: Column, text: Column) -> Column:
+    """struct of the AxBxC and the AxB a plate or vane text is made of; null for other articles."""
     triple = r"(?iU)([0-9]{2,5})\s*x\s*([0-9]{2,5})\s*x\s*([0-9]{2,5})"
     pair = r"(?iU)([0-9]{2,5})\s*x\s*([0-9]{2,5})"
+    return F.when(
+        article.isin("15-2-4", "15-2-5"),
+        F.struct(
+            *[find_number(text, triple, i).alias(f"t{i}") for i in (1, 2, 3)],
+            *[find_number(text, pair, i).alias(f"v{i}") for i in (1, 2)],
+        ),
+    )
+
+
+def fitting_params(article: Column, f: Features, branch: Column, plate_text: Column) -> dict[str, Column]:
+    """Parameter name -> column, null where the article does not use the parameter."""
+    plate, vane = article == "15-2-4", article == "15-2-5"
     a0, b0, a2 = f.dim("A0"), f.dim("B0"), f.dim("A2")
-    t = [find_number(f.text, triple, i) for i in (1, 2, 3)]
+    t = [plate_text[f"t{i}"] for i in (1, 2, 3)]
+    v = [plate_text[f"v{i}"] for i in (1, 2)]
     read_triple = a2.isNull() & t[0].isNotNull()
-    v = [find_number(f.text, pair, i) for i in (1, 2)]
     read_pair = a2.isNull() & t[0].isNull() & v[0].isNotNull()
     first = F.coalesce(a0, F.lit(0.0))
     second = F.coalesce(b0, first)
@@ -222,38 +232,46 @@ def cap_comment_size(f: Features) -> Column:
     return F.coalesce(side.cast("string"), F.lit("0"))
 
 
-def adapter(name_size_lower_x: Column, adapter_l1: float) -> Column:
-    """struct(article, D0, D1, A0, B0, L0, L1) of a plenum adapter; null when it is none."""
-    text = name_size_lower_x
+def read_adapter(text: Column) -> Column:
+    """struct(a, b, d) of an adapter text; null when the text (lower case, one x) names none."""
     named = F.contains(text, F.lit("ксд")) | F.contains(text, F.lit("4апн")) | F.contains(text, F.lit("адаптер"))
     pair = r"(?U)([0-9]{2,5})\s*x\s*([0-9]{2,5})"
-    a0, b0 = find_number(text, pair, 1), find_number(text, pair, 2)
-    d1 = find_number(text, r"(?U)(?:ксд|d|ф)\s*([0-9]{2,5})")
-    d1 = F.when(d1 != 0, d1)
-    circ = F.contains(text, F.lit("кругл"))
+    return F.when(
+        named,
+        F.struct(
+            find_number(text, pair, 1).alias("a"),
+            find_number(text, pair, 2).alias("b"),
+            find_number(text, r"(?U)(?:ксд|d|ф)\s*([0-9]{2,5})").alias("d"),
+        ),
+    )
+
+
+def adapter(text: Column, read: Column) -> Column:
+    """struct(article, D0, D1, A0, B0, L0) of a plenum adapter; null when it is none."""
+    a0, b0 = read["a"], read["b"]
+    d1 = F.when(read["d"] != 0, read["d"])
     rect = (
         F.contains(text, F.lit("прямоугольн")) | F.contains(text, F.lit("квадратн"))
         | F.contains(text, F.lit("4апн"))
     )
+    nothing = F.lit(None).cast("double")
     round_one = F.struct(
         F.lit("10-1-1").alias("article"),
         F.greatest(a0, b0).alias("D0"),
         F.coalesce(d1, F.lit(0.0)).alias("D1"),
-        F.lit(None).cast("double").alias("A0"),
-        F.lit(None).cast("double").alias("B0"),
+        nothing.alias("A0"),
+        nothing.alias("B0"),
         F.coalesce(d1 + 100.0, F.lit(200.0)).alias("L0"),
-        F.lit(adapter_l1).alias("L1"),
     )
     square_one = F.struct(
         F.lit("10-2-3").alias("article"),
-        F.lit(None).cast("double").alias("D0"),
+        nothing.alias("D0"),
         d1.alias("D1"),
         a0.alias("A0"),
         b0.alias("B0"),
         (d1 + 100.0).alias("L0"),
-        F.lit(adapter_l1).alias("L1"),
     )
     return F.when(
-        named & a0.isNotNull(),
-        F.when(circ, round_one).when(rect & d1.isNotNull(), square_one),
+        a0.isNotNull(),
+        F.when(F.contains(text, F.lit("кругл")), round_one).when(rect & d1.isNotNull(), square_one),
     )

@@ -52,7 +52,7 @@ def is_round(text_lower: Column) -> Column:
     return (
         F.when(says_round(text_lower), F.lit(True))
         .when(says_rectangular(text_lower), F.lit(False))
-        .otherwise(text_lower.rlike(r"(?iuU)(?:d|dn|ф)\s*[0-9]+"))
+        .otherwise(text_lower.rlike(r"(?U)(?:d|dn|ф)\s*[0-9]+"))
     )
 
 
@@ -85,44 +85,66 @@ def material_code(material: Column) -> Column:
     )
 
 
+_NUMBER = r"([0-9]{1,2}(?:\.[0-9]{1,3})?)"
+
+
 def _plausible(value: Column) -> Column:
     return F.when((value >= 0.3) & (value <= 3.0), value)
 
 
-def thickness_from_name(name: Column) -> Column:
-    """Sheet thickness named in the text, null when there is none.
-
-    Sizes are cut out first.  Then, in order: after the word for thickness, after `t`, after a
-    steel grade, before `мм`, and at last the first number that could be a thickness.
-    """
-    number = r"([0-9]{1,2}(?:\.[0-9]{1,3})?)"
-    text = F.translate(F.lower(name), "ё,", "е.")
+def thickness_text(name_lower: Column) -> Column:
+    """Name with decimal points and without sizes; null when no digit is left to look at."""
+    text = F.translate(name_lower, "ё,", "е.")
     text = F.regexp_replace(
         text, r"(?U)\b[0-9]{2,5}\s*[xх×*]\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?\b", " "
     )
     text = F.regexp_replace(
         text, r"(?U)\b(?:d|dn|ф)\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?\b", " "
     )
+    return F.when(name_lower.rlike("[0-9]"), text)
+
+
+def thickness_after_grade(text: Column) -> Column:
+    """Number after a steel grade, whatever its size."""
+    return F.when(
+        any_contains(text, ["08пс", "aisi", "ст"]),
+        find_number(text, r"(?U)(?:08пс|aisi\s*[0-9]{3}|ст\.?3|ст-3)[()\s]*" + _NUMBER + r"\b"),
+    )
+
+
+def thickness_before_mm(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("мм")), find_number(text, r"(?U)" + _NUMBER + r"\s*мм"))
+
+
+def thickness_of(text: Column, after_grade: Column, before_mm: Column) -> Column:
+    """Sheet thickness in order of trust; `text` comes from `thickness_text`.
+
+    After the word for thickness, after `t`, after a steel grade, before `мм`, and at last the first
+    number that could be a thickness.
+    """
     loose = F.transform(
-        F.regexp_extract_all(text, F.lit(number), F.lit(1)), lambda t: t.try_cast("double")
+        F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(1)), lambda t: t.try_cast("double")
     )
-    return F.when(
-        text.rlike("[0-9]"),
-        F.coalesce(
-            F.when(
-                F.contains(text, F.lit("толщин")),
-                find_number(text, r"(?U)толщин(?:а|ой)(?:\s*стенки)?\s*" + number + r"\s*мм?"),
-            ),
-            find_number(text, r"(?U)\b[тt]\s*[=:]?\s*" + number + r"\b"),
-            _plausible(
-                find_number(text, r"(?U)(?:08пс|aisi\s*[0-9]{3}|ст\.?3|ст-3)[()\s]*" + number + r"\b")
-            ),
-            _plausible(find_number(text, r"(?U)" + number + r"\s*мм")),
-            F.get(F.filter(loose, lambda v: (v >= 0.3) & (v <= 3.0)), 0),
+    return F.coalesce(
+        F.when(
+            F.contains(text, F.lit("толщин")),
+            find_number(text, r"(?U)толщин(?:а|ой)(?:\s*стенки)?\s*" + _NUMBER + r"\s*мм?"),
+        ),
+        find_number(text, r"(?U)\b[тt]\s*[=:]?\s*" + _NUMBER + r"\b"),
+        _plausible(after_grade),
+        _plausible(before_mm),
+        F.when(
+            text.rlike("[0-9]"), F.get(F.filter(loose, lambda v: (v >= 0.3) & (v <= 3.0)), 0)
         ),
     )
 
 
+def thickness_from_name(name: Column) -> Column:
+    """Sheet thickness named in the text, null when there is none."""
+    text = thickness_text(F.lower(name))
+    return thickness_of(text, thickness_after_grade(text), thickness_before_mm(text))
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     chain = None
     for text, code in table.items():

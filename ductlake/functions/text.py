@@ -41,8 +41,18 @@ def find(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def find_number(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group as a number; no match is '' and casts to null."""
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    """First match of a group of digits as a number, null when the pattern does not match.
+
+    The group takes part in every match.  Taking the first of all matches gives null for none;
+    casting the '' of a plain extraction gives null too, but by way of an exception per row.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0).try_cast("double")
+
+
+def find_optional_number(text: Column, pattern: str, group: int) -> Column:
+    """As `find_number`, for a group that a match may leave out."""
+    found = F.regexp_extract(text, pattern, group)
+    return F.when(found != "", found.try_cast("double"))
 
 
 def number_or_null(text: Column) -> Column:
@@ -68,7 +78,8 @@ def thickness_number(text: Column) -> Column:
 
 def price_digits(text: Column) -> Column:
     """All digits of a price text as one whole number; null without digits."""
-    return F.regexp_replace(text, r"[^0-9]", "").try_cast("decimal(38,0)")
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    return F.when(digits != "", digits.try_cast("decimal(38,0)"))
 
 
 def half_even(value: Column) -> Column:
@@ -99,7 +110,11 @@ def latin_x(text: Column) -> Column:
 
 def canonical_size(text: Column) -> Column:
     """One spelling of x and no spaces inside numbers."""
-    return F.regexp_replace(latin_x(text), r"(?U)(?<=[0-9])\s+(?=[0-9])", "")
+    unified = latin_x(text)
+    gaps = text.rlike(r"(?U)[0-9]\s+[0-9]")
+    return F.when(
+        gaps, F.regexp_replace(unified, r"(?U)(?<=[0-9])\s+(?=[0-9])", "")
+    ).otherwise(unified)
 
 
 def canonical_prefix(token: Column) -> Column:
@@ -107,30 +122,35 @@ def canonical_prefix(token: Column) -> Column:
     return F.regexp_replace(F.translate(token, "Ø⌀", "ФФ"), r"(?iuU)^(?:d|dn)\b", "ф")
 
 
+TRIPLE_TOKEN = r"(?iuU)\b([0-9]{2,5}\s*x\s*[0-9]{2,5}\s*x\s*[0-9]{2,5})\b"
+PAIR_TOKEN = r"(?iuU)\b([0-9]{2,5}\s*x\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?)\b"
+ROUND_TOKEN = r"(?iuU)(?<![\w.])((?:D|DN|Ф|Ø|⌀)\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?)"
+
+
+def size_tokens(canon: Column) -> Column:
+    """struct of the first triple, pair and diameter in a text from `canonical_size`, '' if none."""
+    has_pair = canon.rlike(r"(?iU)[0-9]\s*x\s*[0-9]")
+    return F.struct(
+        F.when(has_pair, F.regexp_extract(canon, TRIPLE_TOKEN, 1)).otherwise("").alias("triple"),
+        F.when(has_pair, F.regexp_extract(canon, PAIR_TOKEN, 1)).otherwise("").alias("pair"),
+        F.regexp_extract(canon, ROUND_TOKEN, 1).alias("circ"),
+    )
+
+
+def pick_token(tokens: Column) -> Column:
+    """The token that counts: a triple, else a pair, else a diameter; without spaces."""
+    picked = (
+        F.when(tokens["triple"] != "", tokens["triple"])
+        .when(tokens["pair"] != "", tokens["pair"])
+        .when(tokens["circ"] != "", canonical_prefix(tokens["circ"]))
+        .otherwise("")
+    )
+    return F.replace(picked, F.lit(" "), F.lit(""))
+
+
 def size_token(text: Column) -> Column:
     """Size written inside a name: AxBxL, AxB[-L], or a diameter with optional length; '' if none."""
-    canon = canonical_size(text)
-    return F.coalesce(
-        F.replace(
-            find(canon, r"(?iuU)\b([0-9]{2,5}\s*x\s*[0-9]{2,5}\s*x\s*[0-9]{2,5})\b"),
-            F.lit(" "), F.lit(""),
-        ),
-        F.replace(
-            find(canon, r"(?iuU)\b([0-9]{2,5}\s*x\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?)\b"),
-            F.lit(" "), F.lit(""),
-        ),
-        F.replace(
-            canonical_prefix(
-                find(
-                    canon,
-                    r"(?iuU)(?<![\w.])(?:D|DN|Ф|Ø|⌀)\s*[0-9]{2,5}(?:\s*[-_]\s*[0-9]{2,5})?",
-                    0,
-                )
-            ),
-            F.lit(" "), F.lit(""),
-        ),
-        F.lit(""),
-    )
+    return pick_token(size_tokens(canonical_size(text)))
 
 
 # --- headers, units, models ------------------------------------------------------------------

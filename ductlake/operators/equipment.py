@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
-from ductlake.functions.text import clean, find_number, strip
+from ductlake.functions.text import clean, find_optional_number, strip
 
 DIMENSION_GROUPS = {"D": "D0", "L": "L0", "U": "U0"}
 
@@ -65,7 +65,7 @@ def rule_dimensions(text: Column, patterns: list[str]) -> Column:
         def number(group: str) -> Column:
             if group not in groups:
                 return F.lit(None).cast("double")
-            return find_number(text, flagged, groups[group])
+            return find_optional_number(text, flagged, groups[group])
 
         pair = ("A" in groups) and ("B" in groups)
         nothing = F.lit(None).cast("double")

@@ -1,8 +1,7 @@
 """Specification lines to order lines and skipped lines (P1, W6, C12..C14, J1, J2, F-X1..3).
 
-One narrow pass classifies every line; the two outputs are the two sides of its `status` column.
-The pass is a chain of selects: each one computes what the next refers to several times, so no
-regex runs twice for a row.
+A line's text is classified once per distinct text, the rest is plain arithmetic on the line.  The
+two outputs, order lines and skipped lines, are the two sides of one `status` column.
 """
 
 from __future__ import annotations
@@ -39,75 +38,73 @@ def _column(df: DataFrame, name: str, default: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def spec_features(df: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:
-    """Cleaned inputs and everything read out of name and size, blank lines dropped.
+# --- the text of a line ---------------------------------------------------------------------------
 
-    Input columns: name, size, unit, quantity, material, thickness (all optional text), article and
-    params (optional, an explicit choice); every other column is carried along untouched.
-    """
-    used = {"name", "size", "unit", "quantity", "material", "thickness", "article", "params", "system"}
-    carried = [c for c in df.columns if c not in used]
-    has_explicit = {"article", "params"} <= set(df.columns)
-    explicit = (
-        (text.clean(F.col("article")) != "") & (F.size("params") > 0) if has_explicit else F.lit(False)
-    )
-    cleaned = df.select(
-        *carried,
-        *[_column(df, c, d).alias(f"{c}_raw") for c, d in OPTIONAL_INPUTS.items()],
-        text.strip(_column(df, "name", "")).alias("name"),
-        text.strip(_column(df, "size", "")).alias("size_given"),
-        F.lower(text.strip(_column(df, "unit", ""))).alias("unit"),
-        text.strip(_column(df, "material", defaults.material)).alias("material_given"),
-        F.coalesce(
-            text.thickness_number(_column(df, "thickness", defaults.thickness)),
-            F.lit(fv.DEFAULT_THICKNESS),
-        ).alias("thickness_given"),
-        (_column(df, "system", "")).alias("system"),
-        (F.when(F.coalesce(explicit, F.lit(False)), text.clean(F.col("article"))) if has_explicit
-         else F.lit(None).cast("string")).alias("explicit_article"),
-        (F.when(F.coalesce(explicit, F.lit(False)), F.col("params").cast("map<string,double>"))
-         if has_explicit else F.lit(None).cast("map<string,double>")).alias("explicit_params"),
-    ).filter((F.col("name") != "") | (F.col("size_given") != ""))
 
-    named = cleaned.withColumns({
+def text_features(texts: DataFrame) -> DataFrame:
+    """Everything read out of `name` and `size_given`, as columns next to the given ones.
+
+    A chain of selects: each computes what the next refers to several times, so a pattern runs once
+    per text, and only where the letters it needs occur.
+    """
+    inside = F.col("size_given") == ""
+    lowered = texts.withColumns({
         "name_lower": F.lower("name"),
-        "size_found": F.when(F.col("size_given") != "", F.col("size_given")).otherwise(
-            text.size_token(F.col("name"))
-        ),
-        "quantity": text.number_or_null(F.col("quantity_raw")),
-        "material_named": classify.material_from_name(F.col("name")),
-        "thickness": F.coalesce(classify.thickness_from_name(F.col("name")), F.col("thickness_given")),
+        "name_canon": F.when(inside, text.canonical_size(F.col("name"))),
     })
-    repaired = named.withColumns({
+    named = lowered.withColumns({
+        "tokens": F.when(inside, text.size_tokens(F.col("name_canon"))),
+        "material_named": classify.material_from_name(F.col("name")),
+        "thick_text": classify.thickness_text(F.col("name_lower")),
         "ptype": classify.product_type(F.col("name_lower")),
-        "size_repaired": size.ocr_repair(F.col("name_lower"), F.col("size_found")),
     })
-    sized = repaired.withColumns({
-        "size": F.coalesce("size_repaired", "size_found"),
-        "ocr_warning": size.ocr_warning(F.col("size_found"), F.col("size_repaired")),
+    thick = F.col("thick_text")
+    found = named.withColumns({
+        "size_found": F.when(inside, text.pick_token(F.col("tokens"))).otherwise(F.col("size_given")),
+        "thick_grade": classify.thickness_after_grade(thick),
+        "thick_mm": classify.thickness_before_mm(thick),
+        "is_fitting": F.coalesce(F.col("ptype").isin(articles.FITTING_TYPES), F.lit(False)),
     })
-    texts = sized.withColumns({
-        "text": F.concat("name", F.lit(" "), "size"),
-        "is_fitting": F.col("ptype").isin(articles.FITTING_TYPES) & F.col("explicit_article").isNull(),
+    measured = found.withColumns({
+        "size_canon": text.canonical_size(F.col("size_found")),
+        "thickness_named": F.when(
+            thick.isNotNull(),
+            classify.thickness_of(thick, F.col("thick_grade"), F.col("thick_mm")),
+        ),
     })
-    spelled = texts.withColumns({
-        "text_lower": F.lower("text"),
-        "text_x": text.latin_x(F.col("text")),
+    repaired = measured.withColumn(
+        "size_fixed", size.repair_canonical(F.col("name_lower"), F.col("size_canon"))
+    )
+    changed = F.col("size_fixed") != F.col("size_canon")
+    sized = repaired.withColumns({
+        "size": F.when(changed, F.col("size_fixed")).otherwise(F.col("size_found")),
+        "ocr_warning": F.when(changed, size.ocr_warning(F.col("size_found"), F.col("size_fixed"))),
     })
-    a_sides, b_sides = size.rect_sides(F.col("text_x"))
+    joined = sized.withColumn("text", F.concat("name", F.lit(" "), "size"))
+    spelled = joined.withColumn("text_x", text.latin_x(F.lower("text")))
+    line = F.col("text_x")
+    fitting = F.col("is_fitting")
+    a_sides, b_sides = size.rect_sides(line)
     tokens = spelled.withColumns({
-        "a_sides": F.when(F.col("is_fitting"), a_sides),
-        "b_sides": F.when(F.col("is_fitting"), b_sides),
-        "rounds": F.when(F.col("is_fitting"), size.diameters(F.col("text_x"))),
-        "says_rect": F.when(F.col("is_fitting"), classify.is_rectangular(F.col("text_lower"))),
-        "says_round": F.when(F.col("is_fitting"), classify.is_round(F.col("text_lower"))),
-        "adapter": articles.adapter(text.latin_x(F.col("text_lower")), defaults.adapter_l1_mm),
+        "a_sides": F.when(fitting, a_sides),
+        "b_sides": F.when(fitting, b_sides),
+        "rounds": F.when(fitting, size.diameters(line)),
+        "says_rect": F.when(fitting, classify.is_rectangular(line)),
+        "says_round": F.when(fitting, classify.is_round(line)),
+        "dims_read": F.when(fitting, size.read_dimensions(line)),
+        "adapter_read": articles.read_adapter(line),
+    })
+    coded = tokens.withColumns({
+        "dims_code": size.model_code_size(F.col("dims_read")),
+        "adapter": articles.adapter(line, F.col("adapter_read")),
     })
-    return tokens.withColumn(
+    return coded.withColumn(
         "dims",
         F.when(
-            F.col("is_fitting"),
-            size.text_dimensions(F.col("text_x"), F.col("a_sides"), F.col("b_sides"), F.col("rounds")),
+            fitting,
+            size.combine_dimensions(
+                F.col("dims_read"), F.col("dims_code"), F.col("a_sides"), F.col("b_sides"), F.col("rounds")
+            ),
         ),
     )
 
@@ -117,60 +114,43 @@ def _map_of(params: dict[str, Column]) -> Column:
     return F.map_filter(entries, lambda _, v: v.isNotNull())
 
 
-# Columns `spec_features` adds, and those of them that the result still shows.
-FEATURE_COLUMNS = [
-    "name_raw", "size_raw", "unit_raw", "quantity_raw", "name", "size_given", "unit",
-    "material_given", "thickness_given", "system", "explicit_article", "explicit_params",
-    "name_lower", "size_found", "quantity", "material_named", "thickness", "ptype",
-    "size_repaired", "size", "ocr_warning", "text", "is_fitting", "text_lower", "text_x",
-    "a_sides", "b_sides", "rounds", "says_rect", "says_round", "adapter", "dims",
-]
-LINE_COLUMNS = [
-    "name_raw", "size_raw", "unit_raw", "quantity_raw", "name", "size", "unit", "thickness",
-    "ocr_warning", "system", "ptype", "route",
-]
-
-
-def classify_lines(features: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:
-    """Route of every line and the article, parameters and pieces it leads to.
+def classify_texts(texts: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:
+    """What a line's text alone decides: (carried, name, size_given) plus TEXT_COLUMNS.
 
-    Order of the routes: unreadable quantity, explicit article, adapter, fitting, aggregate line,
-    duct, everything else.
+    `text_route` is 'adapter', 'fitting', 'aggregate' or 'duct', in this order of preference, or
+    null; article, parameters, sides and comment belong to it.
 
     The results leave through a one-row `inline`.  The optimiser substitutes neither a later filter
     nor a join key through a generator, so a filter on the outcome cannot copy the whole classifier
     into itself (through plain selects it does, and the plan grows without bound).
     """
+    features = text_features(texts)
     base = articles.Features(
-        F.col("ptype"), F.col("name_lower"), F.col("text"),
-        F.col("says_rect"), F.col("says_round"), F.col("dims"),
+        F.col("ptype"), F.col("name_lower"), F.col("says_rect"), F.col("says_round"), F.col("dims")
     )
     rect, circ = articles.effective_sections(base)
     flagged = features.withColumns({"rect": rect, "circ": circ})
     f = articles.Features(
-        F.col("ptype"), F.col("name_lower"), F.col("text"),
-        F.col("rect"), F.col("circ"), F.col("dims"),
+        F.col("ptype"), F.col("name_lower"), F.col("rect"), F.col("circ"), F.col("dims")
     )
     branched = flagged.withColumn("branch", articles.tee_branch(f))
     branch = F.col("branch")
     chosen = branched.withColumn(
         "fitting_article", F.when(F.col("is_fitting"), articles.fitting_article(f, branch))
     )
-    unit = F.col("unit")
-    routed = chosen.withColumn(
-        "route",
-        F.when(F.col("quantity").isNull(), "bad_quantity")
-        .when(F.col("explicit_article").isNotNull(), "explicit")
-        .when(F.col("adapter").isNotNull(), "adapter")
-        .when(F.col("fitting_article").isNotNull(), "fitting")
-        .when((F.col("ptype") == "aggregate_fittings") | unit.isin(fv.AREA_UNITS), "aggregate")
-        .otherwise("size"),
-    ).withColumn("duct", F.when(F.col("route") == "size", size.parse_size(F.col("size"))))
-    duct_round = F.col("duct.section") == "round"
-    measured = routed.withColumns({
-        "is_duct": F.coalesce(
-            F.col("duct.section").isNotNull() & unit.isin(fv.METRE_UNITS + fv.PIECE_UNITS), F.lit(False)
+    decided = F.col("adapter").isNotNull() | F.col("fitting_article").isNotNull()
+    read = chosen.withColumns({
+        "plate_text": articles.read_plate(F.col("fitting_article"), F.col("text")),
+        "duct": F.when(
+            ~decided & (F.col("size") != ""), size.read_size(size.size_text(F.col("size")))
         ),
+    }).withColumn("section", size.section_of(F.col("duct")))
+    duct_round = F.col("section") == "round"
+    routed = read.withColumns({
+        "text_route": F.when(F.col("adapter").isNotNull(), "adapter")
+        .when(F.col("fitting_article").isNotNull(), "fitting")
+        .when(F.col("ptype") == "aggregate_fittings", "aggregate")
+        .when(F.col("section").isNotNull(), "duct"),
         "duct_article": F.when(
             duct_round,
             F.when(F.contains("name_lower", F.lit("прямошовный")), F.lit("1-1-1"))
@@ -182,62 +162,142 @@ def classify_lines(features: DataFrame, defaults: SpecDefaults = SpecDefaults())
             F.when(duct_round, F.lit(defaults.round_length_mm)).otherwise(F.lit(defaults.rect_length_mm)),
         ),
     })
-
-    route = F.col("route")
+    route = F.col("text_route")
     duct_params = {
         "D0": F.col("duct.D0"), "A0": F.col("duct.A0"), "B0": F.col("duct.B0"),
         "L0": F.col("duct_length"),
     }
-    adapter_params = {p: F.col(f"adapter.{p}") for p in ("D0", "D1", "A0", "B0", "L0", "L1")}
-    explicit_rect = F.map_contains_key("explicit_params", "A0") | F.map_contains_key("explicit_params", "B0")
-    material = (
-        F.col("material_given") if defaults.prefer_material_column else F.col("material_named")
-    )
-    reason = (
-        F.when(route == "bad_quantity", F.concat(F.lit(fv.REASON_QUANTITY_PREFIX), "quantity_raw"))
-        .when(
-            (route == "aggregate") | ((route == "size") & ~F.col("is_duct")),
-            classify.skip_reason(F.col("size"), unit, F.col("ptype")),
-        )
-    )
+    adapter_params = {p: F.col(f"adapter.{p}") for p in ("D0", "D1", "A0", "B0", "L0")}
+    adapter_params["L1"] = F.lit(defaults.adapter_l1_mm)
     results = {
-        "parsed_article": F.when(route == "explicit", F.col("explicit_article"))
-        .when(route == "adapter", F.col("adapter.article"))
+        "text_article": F.when(route == "adapter", F.col("adapter.article"))
         .when(route == "fitting", F.col("fitting_article"))
-        .when(F.col("is_duct"), F.col("duct_article")),
-        "params": F.when(route == "explicit", F.col("explicit_params"))
-        .when(route == "adapter", _map_of(adapter_params))
-        .when(route == "fitting", _map_of(articles.fitting_params(F.col("fitting_article"), f, branch)))
-        .when(F.col("is_duct"), _map_of(duct_params)),
-        "pieces": F.when(
-            F.col("is_duct") & unit.isin(fv.METRE_UNITS),
-            text.pieces_from_metres(F.col("quantity"), F.col("duct_length")),
-        ).otherwise(text.piece_count(F.col("quantity"), unit)),
-        "wanted_code": classify.material_code(material),
-        "connections": F.when(
-            route == "explicit",
-            classify.default_connections(~explicit_rect, F.col("explicit_article")),
-        )
+        .when(route == "duct", F.col("duct_article")),
+        "text_params": F.when(route == "adapter", _map_of(adapter_params))
         .when(
+            route == "fitting",
+            _map_of(articles.fitting_params(F.col("fitting_article"), f, branch, F.col("plate_text"))),
+        )
+        .when(route == "duct", _map_of(duct_params)),
+        "text_sides": F.when(
             (route == "fitting") & (F.col("ptype") == "transition"),
             classify.default_connections(F.col("circ"), F.col("fitting_article")),
         )
-        .when(F.col("is_duct"), classify.default_connections(duct_round))
+        .when(route == "duct", classify.default_connections(duct_round))
         .otherwise(F.lit("0000")),
-        "plain_comment": F.when(
+        "text_comment": F.when(
             route == "adapter", F.concat(F.lit("КСД адаптер: "), "name", F.lit(" "), "size")
         )
         .when(
             (route == "fitting") & (F.col("ptype") == "cap"),
             F.concat("name", F.lit(" "), articles.cap_comment_size(f)),
         )
-        .when(route == "explicit", text.strip(F.col("text")))
         .otherwise(F.col("text")),
-        "parse_reason": reason,
     }
-    kept = [c for c in features.columns if c not in FEATURE_COLUMNS]
-    outputs = [F.col(c) for c in LINE_COLUMNS] + [c.alias(n) for n, c in results.items()]
-    return measured.select(*kept, F.inline(F.array(F.struct(*outputs))))
+    shown = [F.col(c) for c in ("text_route", "ptype", "size", "ocr_warning", "material_named", "thickness_named", "duct_length")]
+    outputs = shown + [c.alias(n) for n, c in results.items()]
+    return routed.select(*texts.columns, F.inline(F.array(F.struct(*outputs))))
+
+
+# --- the line ---------------------------------------------------------------------------------------
+
+
+INPUTS = {"name", "size", "unit", "quantity", "material", "thickness", "article", "params", "system"}
+
+
+def clean_lines(df: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:
+    """Cleaned inputs, blank lines dropped.
+
+    Input columns: name, size, unit, quantity, material, thickness (all optional text), article and
+    params (optional, an explicit choice); every other column is carried along untouched.
+    """
+    carried = [c for c in df.columns if c not in INPUTS]
+    if {"article", "params"} <= set(df.columns):
+        given = F.coalesce((text.clean(F.col("article")) != "") & (F.size("params") > 0), F.lit(False))
+        article = F.when(given, text.clean(F.col("article")))
+        params = F.when(given, F.col("params").cast("map<string,double>"))
+    else:
+        article, params = F.lit(None).cast("string"), F.lit(None).cast("map<string,double>")
+    return df.select(
+        *carried,
+        *[_column(df, c, d).alias(f"{c}_raw") for c, d in OPTIONAL_INPUTS.items()],
+        text.strip(_column(df, "name", "")).alias("name"),
+        text.strip(_column(df, "size", "")).alias("size_given"),
+        F.lower(text.strip(_column(df, "unit", ""))).alias("unit"),
+        text.strip(_column(df, "material", defaults.material)).alias("material_given"),
+        _column(df, "thickness", defaults.thickness).alias("thickness_raw"),
+        _column(df, "system", "").alias("system"),
+        article.alias("explicit_article"),
+        params.alias("explicit_params"),
+    ).filter((F.col("name") != "") | (F.col("size_given") != ""))
+
+
+def with_texts(
+    lines: DataFrame, defaults: SpecDefaults = SpecDefaults(), distinct_texts: bool = True
+) -> DataFrame:
+    """Lines with TEXT_COLUMNS.
+
+    Names and sizes repeat all over an archive of specifications, so by default each distinct text
+    is read once: the distinct texts come out of an aggregation that shrinks before the exchange,
+    are classified in parallel and joined back.  The join is an ordinary one: adaptive execution
+    broadcasts a small set of texts and splits a text that very many lines share.  With
+    `distinct_texts` off the texts are read line by line, with no exchange at all.
+    """
+    if not distinct_texts:
+        return classify_texts(lines, defaults)
+    keys = ["name", "size_given"]
+    return lines.join(classify_texts(lines.select(*keys).distinct(), defaults), keys)
+
+
+def route_lines(lines: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:
+    """Route of every line and the article, parameters and pieces it leads to.
+
+    Order of the routes: unreadable quantity, explicit article, adapter, fitting, aggregate line,
+    duct, everything else.
+    """
+    valued = lines.withColumns({
+        "quantity": text.number_or_null(F.col("quantity_raw")),
+        "thickness": F.coalesce(
+            "thickness_named", text.thickness_number(F.col("thickness_raw")), F.lit(fv.DEFAULT_THICKNESS)
+        ),
+    })
+    unit, text_route = F.col("unit"), F.col("text_route")
+    routed = valued.withColumn(
+        "route",
+        F.when(F.col("quantity").isNull(), "bad_quantity")
+        .when(F.col("explicit_article").isNotNull(), "explicit")
+        .when(text_route.isin("adapter", "fitting"), text_route)
+        .when((text_route == "aggregate") | unit.isin(fv.AREA_UNITS), "aggregate")
+        .when((text_route == "duct") & unit.isin(fv.METRE_UNITS + fv.PIECE_UNITS), "duct")
+        .otherwise("other"),
+    )
+    route = F.col("route")
+    by_text = route.isin("adapter", "fitting", "duct")
+    explicit_rect = F.map_contains_key("explicit_params", "A0") | F.map_contains_key("explicit_params", "B0")
+    material = F.col("material_given") if defaults.prefer_material_column else F.col("material_named")
+    return routed.withColumns({
+        "parsed_article": F.when(route == "explicit", F.col("explicit_article")).when(
+            by_text, F.col("text_article")
+        ),
+        "params": F.when(route == "explicit", F.col("explicit_params")).when(by_text, F.col("text_params")),
+        "pieces": F.when(
+            (route == "duct") & unit.isin(fv.METRE_UNITS),
+            text.pieces_from_metres(F.col("quantity"), F.col("duct_length")),
+        ).otherwise(text.piece_count(F.col("quantity"), unit)),
+        "wanted_code": classify.material_code(material),
+        "connections": F.when(
+            route == "explicit", classify.default_connections(~explicit_rect, F.col("explicit_article"))
+        ).otherwise(F.col("text_sides")),
+        "plain_comment": F.when(
+            route == "explicit", text.strip(F.concat("name", F.lit(" "), "size"))
+        ).otherwise(F.col("text_comment")),
+        "parse_reason": F.when(
+            route == "bad_quantity", F.concat(F.lit(fv.REASON_QUANTITY_PREFIX), "quantity_raw")
+        ).when(
+            route.isin("aggregate", "other"),
+            classify.skip_reason(F.col("size"), unit, F.col("ptype")),
+        ),
+    })
 
 
 def with_material_check(lines: DataFrame, materials: DataFrame | None) -> DataFrame:
@@ -329,11 +389,11 @@ def parse_spec_lines(
     allowed: DataFrame | None = None,
     materials: DataFrame | None = None,
     defaults: SpecDefaults = SpecDefaults(),
+    distinct_texts: bool = True,
 ) -> DataFrame:
     """Every non-blank line with its `status` ('order' or 'skipped') and the columns of both outputs."""
-    used = {"name", "size", "unit", "quantity", "material", "thickness", "article", "params", "system"}
-    carried = [c for c in df.columns if c not in used]
-    lines = classify_lines(spec_features(df, defaults), defaults)
+    carried = [c for c in df.columns if c not in INPUTS]
+    lines = route_lines(with_texts(clean_lines(df, defaults), defaults, distinct_texts), defaults)
     lines = with_material_check(lines, materials)
     lines = with_allowed_check(lines, allowed)
     return finalise(lines, carried)
