@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductlake.functions import matching as m
@@ -43,6 +43,10 @@ def description_features(texts: DataFrame, column: str = "description") -> DataF
     })
 
 
+def _held(name: str, value: Column) -> Column:
+    return F.inline(F.array(F.struct(value.alias(name))))
+
+
 def match_descriptions(
     texts: DataFrame, products: DataFrame, top_n: int = 5, column: str = "description",
     with_similarity: bool = True,
@@ -77,10 +81,16 @@ def match_descriptions(
         ),
     )
     if with_similarity:
+        # Each step leaves through a generator: a column used inside a lambda would otherwise be
+        # computed again for every element.
+        held = scored.select("description", "norm", _held("scored", F.col("scored")))
         sure = F.sort_array(F.transform("scored", lambda s: s["base"]), asc=False)
-        floor = F.coalesce(F.get(sure, top_n - 1), F.lit(-1.0))
-        pruned = scored.withColumn("floor", floor).withColumn(
-            "scored", F.filter("scored", lambda s: s["base"] + s["bound"] * 10 >= F.col("floor"))
+        floored = held.select(
+            "description", "norm", "scored", _held("floor", F.coalesce(F.get(sure, top_n - 1), F.lit(-1.0)))
+        )
+        pruned = floored.select(
+            "description", "norm",
+            _held("scored", F.filter("scored", lambda s: s["base"] + s["bound"] * 10 >= F.col("floor"))),
         )
         best = m.top_similar(top_n)(
             F.col("norm"),

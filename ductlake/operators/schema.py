@@ -131,7 +131,8 @@ def price_items(skipped: DataFrame, keys: list[str] = []) -> DataFrame:
     """Skipped lines of both kinds to distinct items for the price search.
 
     Lines with a `raw_name` come from the equipment mapping, the others from the specification.
-    Duplicates fall away in the aggregation, before rows are exchanged.
+    Duplicates fall away in the aggregation, before rows are exchanged, and only distinct items are
+    typed.
     """
     def have(name: str) -> Column:
         return F.col(name).cast("string") if name in skipped.columns else F.lit(None).cast("string")
@@ -145,8 +146,13 @@ def price_items(skipped: DataFrame, keys: list[str] = []) -> DataFrame:
         F.when(mapped | (unit == ""), F.lit("шт")).otherwise(unit).alias("unit"),
         F.when(mapped, F.lit(1.0)).otherwise(text.number_or(have("quantity"), 1.0)).alias("quantity"),
     ).filter(F.col("name") != "")
-    typed = items.withColumn("category", classify.product_type(F.lower("name")))
-    return typed.filter(F.col("category").isin(fv.RESOLD_TYPES)).distinct()
+    distinct = items.withColumn("name_lower", F.lower("name")).distinct()
+    # Behind a generator, so that the filter is not copied with its patterns below the aggregation.
+    typed = distinct.select(
+        *keys, "name", "size", "unit", "quantity",
+        F.inline(F.array(F.struct(classify.product_type(F.col("name_lower")).alias("category")))),
+    )
+    return typed.filter(F.col("category").isin(fv.RESOLD_TYPES))
 
 
 def all_skipped(spec_skipped: DataFrame, equipment_skipped: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def build_session(app_name: str = "ductlake", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Java's own case mapping; the texts hold Latin and Cyrillic letters only.
         "spark.sql.icu.caseMappings.enabled": "false",
     }
