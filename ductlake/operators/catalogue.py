@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ductlake.functions import matching as m
 from ductlake.functions.size import description_dimensions
+from ductlake.session import spread
 
 # Products handled as one literal array; a larger catalogue is cut into pieces of this size.
 PIECE = 512
@@ -33,7 +34,7 @@ def product_pieces(products: DataFrame) -> DataFrame:
 
 def description_features(texts: DataFrame, column: str = "description") -> DataFrame:
     """Distinct descriptions with normalised text, word bits and inferred section."""
-    distinct = texts.select(F.col(column).alias("description")).distinct()
+    distinct = spread(texts.select(F.col(column).alias("description")).distinct(), "description")
     features = distinct.withColumns({
         "norm": m.normalise(F.col("description")),
         "inferred": m.inferred_section(description_dimensions(F.col("description"))),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import articles, classify, size, text
+from ductlake.session import spread
 
 # Column -> default used when the input has no such column at all.
 OPTIONAL_INPUTS = {"name": "", "size": "", "unit": "", "quantity": "0"}
@@ -246,7 +247,8 @@ def with_texts(
     if not distinct_texts:
         return classify_texts(lines, defaults)
     keys = ["name", "size_given"]
-    return lines.join(classify_texts(lines.select(*keys).distinct(), defaults), keys)
+    texts = spread(lines.select(*keys).distinct(), *keys)
+    return lines.join(classify_texts(texts, defaults), keys)
 
 
 def route_lines(lines: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataFrame:

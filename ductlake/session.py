@@ -38,6 +38,11 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df)
 
 
-def scratch_dir(spark: SparkSession) -> str | None:
-    """The shared folder for cut lineage, when the cluster names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, before work that costs far more than reading the rows.
+
+    Adaptive execution joins small partitions by their bytes, which would leave such work to a few
+    tasks; a given partition count is kept.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
