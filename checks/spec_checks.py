@@ -97,11 +97,12 @@ def ocr_size_repair(spark, sf):
 
 
 def product_type(spark, sf):
-    low = F.lower("name")
-    return load(spark, sf, fx.SPEC_LINE_ITEMS).select(
+    low = F.col("low")
+    names = load(spark, sf, fx.SPEC_LINE_ITEMS).groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    return names.withColumn("low", F.lower("name")).select("k",
         classify.product_type(low).alias("ptype"), classify.is_rectangular(low).alias("rect"),
         classify.is_round(low).alias("circ"), classify.is_rectangular_product(low).alias("rect_product"),
-    ).groupBy("ptype", "rect", "circ", "rect_product").agg(F.count(F.lit(1)).alias("n"))
+    ).groupBy("ptype", "rect", "circ", "rect_product").agg(F.sum("k").alias("n"))
 
 
 def material_thickness(spark, sf):

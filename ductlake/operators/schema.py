@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import classify, text
+from ductlake.session import spread
 
 TARGETS = list(fv.HEADER_KEYWORDS)
 
@@ -41,8 +42,12 @@ def map_header_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     A table's headers are folded left to right; the state is the set of targets already given, as
     bits.  Only header cells are grouped, so a group is as long as a table is wide.
     """
-    masks = cells.select(
-        *keys, "col_no", header_mask(text.normalise_header(F.coalesce("text", F.lit("")))).alias("mask")
+    named = cells.select(
+        *keys, "col_no", text.normalise_header(F.coalesce("text", F.lit(""))).alias("header")
+    )
+    # Behind a generator, so that the filter does not test every keyword a second time.
+    masks = named.select(
+        *keys, "col_no", F.inline(F.array(F.struct(header_mask(F.col("header")).alias("mask"))))
     ).filter(F.col("mask") != 0)
     rows = masks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_no", "mask"))).alias("cols"))
     start = F.struct(
@@ -146,7 +151,7 @@ def price_items(skipped: DataFrame, keys: list[str] = []) -> DataFrame:
         F.when(mapped | (unit == ""), F.lit("шт")).otherwise(unit).alias("unit"),
         F.when(mapped, F.lit(1.0)).otherwise(text.number_or(have("quantity"), 1.0)).alias("quantity"),
     ).filter(F.col("name") != "")
-    distinct = items.withColumn("name_lower", F.lower("name")).distinct()
+    distinct = spread(items.withColumn("name_lower", F.lower("name")).distinct(), "name", "size")
     # Behind a generator, so that the filter is not copied with its patterns below the aggregation.
     typed = distinct.select(
         *keys, "name", "size", "unit", "quantity",
