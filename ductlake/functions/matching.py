@@ -60,20 +60,24 @@ def ratio_bound(length_a: Column, length_b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.least(length_a, length_b) / total)
 
 
-def _best_candidates(text: str, names, bases, bounds, top_n: int) -> list[dict]:
+def _best_candidates(text: str, names, bases, bounds, top_n: int, matchers: dict) -> list[dict]:
     """Exact top-n of `10 * similarity + base`; candidates come in any order.
 
-    The most promising ones are compared first and the rest is dropped as soon as its bound cannot
-    reach the n-th best score any more.
+    The most promising ones are compared first.  A candidate is passed over when a bound on its
+    similarity (by length, then by letters in common) cannot reach the n-th best score any more.
     """
     order = sorted(range(len(names)), key=lambda i: -(bounds[i] * 10 + bases[i]))
-    matcher = SequenceMatcher(None, "", "")
-    matcher.set_seq1(text)
     found: list[tuple[float, int]] = []
     for i in order:
-        if len(found) >= top_n and bounds[i] * 10 + bases[i] < found[top_n - 1][0] - 1e-9:
+        needed = found[top_n - 1][0] - 1e-9 if len(found) >= top_n else float("-inf")
+        if bounds[i] * 10 + bases[i] < needed:
             break
-        matcher.set_seq2(names[i])
+        matcher = matchers.get(names[i])
+        if matcher is None:
+            matcher = matchers[names[i]] = SequenceMatcher(None, "", names[i])
+        matcher.set_seq1(text)
+        if matcher.quick_ratio() * 10 + bases[i] < needed:
+            continue
         found.append((matcher.ratio() * 10 + bases[i], i))
         found.sort(key=lambda s: (-s[0], s[1]))
     return [{"position": i, "score": score} for score, i in found[:top_n]]
@@ -84,8 +88,10 @@ def top_similar(top_n: int):
 
     @F.pandas_udf("array<struct<position:int,score:double>>")
     def ranked(text: pd.Series, names: pd.Series, bases: pd.Series, bounds: pd.Series) -> pd.Series:
+        matchers: dict = {}
         return pd.Series([
-            _best_candidates(t, n, b, u, top_n) for t, n, b, u in zip(text, names, bases, bounds)
+            _best_candidates(t, n, b, u, top_n, matchers)
+            for t, n, b, u in zip(text, names, bases, bounds)
         ])
 
     return ranked
