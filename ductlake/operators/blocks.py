@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ductlake import fixed_values as fv
 from ductlake.functions.text import find, strip
 from ductlake.operators.running import BLOCK_ROWS, running
+from ductlake.session import spread
 
 OPENING = r"(?U)^(?:Если|ИначеЕсли)\s+ПродуктШапка\s*=\s*Справочники\.асПродукция\.(\w+)\s*Тогда(?:\s*//+\s*(.*))?"
 DESIGNATION = r"(?U)^Обозначение\s*=\s*(.+);"
@@ -56,7 +57,7 @@ def product_blocks(
     ends = numbered.groupBy(*keys, "block_no").agg(
         F.min(F.when(F.col("article").isNotNull() | F.col("closes"), F.col(order))).alias("end_no")
     )
-    inside = numbered.join(ends, [*keys, "block_no"]).filter(
+    inside = numbered.join(spread(ends, *keys, "block_no"), [*keys, "block_no"]).filter(
         F.col("end_no").isNull() | (F.col(order) <= F.col("end_no"))
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ductlake import fixed_values as fv
 from ductlake.functions import classify, text
 from ductlake.operators.running import BLOCK_ROWS, running
+from ductlake.session import spread
 
 TABLE_KEYS = ["doc_id", "page", "table_no"]
 UNIT_CELL = r"(?iuU)^(?:шт\.?|м|м2|м²|кв\.м|кв м|pcs|pc|m|m2)$"
@@ -172,7 +173,7 @@ def equipment_lines(
     )
     role_columns = ["name_col", "quantity_col", "unit_col", "manufacturer_col"]
     rows = wide_rows(filled, keys).filter(~is_service_row(F.col("cells")))
-    rows = rows.join(roles.select(*keys, *role_columns), keys)
+    rows = rows.join(spread(roles.select(*keys, *role_columns), *keys), keys)
     merged = merge_sparse_rows(rows, keys, role_columns, block_rows)
     return equipment_columns(merged.filter(~is_service_row(F.col("cells"))), keys)
 
@@ -364,7 +365,7 @@ def table_or_text(
 
     `tables` lists the documents with a table, by the document keys.
     """
-    without = text_lines.join(tables.select(*keys).distinct(), keys, "left_anti")
+    without = text_lines.join(spread(tables.select(*keys).distinct(), *keys), keys, "left_anti")
     return table_lines.unionByName(without, allowMissingColumns=True)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ductlake import fixed_values as fv
 from ductlake.functions import queries as q
 from ductlake.operators.equipment import _by_rule
+from ductlake.session import spread
 
 ITEM_KEYS = ["item_name", "item_size"]
 REQUIRED = ["source", "query", "title", "price", "url"]
@@ -90,7 +91,7 @@ def cached_answers(
     """All fresh offers of the items the cache can answer; not cut to three."""
     answered = items_in_cache(history, as_of, min_offers, max_age_days)
     wanted = items.select(*ITEM_KEYS).distinct().join(answered, ITEM_KEYS)
-    return fresh_offers(history, as_of, max_age_days).join(wanted, ITEM_KEYS)
+    return fresh_offers(history, as_of, max_age_days).join(spread(wanted, *ITEM_KEYS), ITEM_KEYS)
 
 
 def offer_history(history: DataFrame, *tie: str) -> DataFrame:
@@ -111,7 +112,8 @@ def price_report(results: DataFrame, include: DataFrame | None = None) -> DataFr
     )
     if include is None:
         return report
-    return report.join(include.select("name", "size").distinct(), ["name", "size"], "left_semi")
+    keys = ["name", "size"]
+    return report.join(spread(include.select(*keys).distinct(), *keys), keys, "left_semi")
 
 
 def in_categories(items: DataFrame, categories: list[str]) -> DataFrame:
@@ -190,7 +192,7 @@ def search(
     planned = expand_items(items, stop_words).withColumn(
         "stage", F.explode(F.array(*[F.lit(s) for s in stages]))
     )
-    asked = planned.join(answers, ["stage", "query"], "left").withColumn(
+    asked = planned.join(spread(answers, "stage", "query"), ["stage", "query"], "left").withColumn(
         "n_offers", F.coalesce("n_offers", F.lit(0).cast("bigint"))
     )
     before = (

@@ -39,10 +39,12 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all shuffle partitions, before work that costs far more than reading the rows.
+    """Rows over all shuffle partitions: before costly work, or for the small side of a join.
 
     Adaptive execution joins small partitions by their bytes, which would leave such work to a few
-    tasks; a given partition count is kept.
+    tasks; a given partition count is kept.  Rows go by a hash of the keys and not by the keys
+    themselves, so that a later join on the keys brings its own exchange: adaptive execution splits
+    a hot key only where exchanges sit directly below the join.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    return df.repartition(partitions, F.xxhash64(*keys))

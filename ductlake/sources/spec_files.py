@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ductlake.operators import schema
+from ductlake.session import spread
 
 WORKBOOK_SUFFIXES = (".xlsx", ".xlsm")
 CELLS = "doc_id string, row_no bigint, col_no int, text string"
@@ -85,11 +86,13 @@ def workbook_spec_rows(cells: DataFrame) -> DataFrame:
     """Workbook cells whose first row is a header -> specification lines."""
     filled = cells.filter(F.coalesce("text", F.lit("")) != "")
     starts = filled.groupBy("doc_id").agg(F.min("row_no").alias("header_row"))
-    located = filled.join(starts, "doc_id")
+    located = filled.join(spread(starts, "doc_id"), "doc_id")
     targets = schema.map_header_cells(
         located.filter(F.col("row_no") == F.col("header_row")).select("doc_id", "col_no", "text"), ["doc_id"]
     )
-    named = located.filter(F.col("row_no") > F.col("header_row")).join(targets, ["doc_id", "col_no"])
+    named = located.filter(F.col("row_no") > F.col("header_row")).join(
+        spread(targets, "doc_id", "col_no"), ["doc_id", "col_no"]
+    )
     wide = named.groupBy("doc_id", "row_no").agg(
         *[F.max(F.when(F.col("target") == t, F.col("text"))).alias(t) for t in schema.TARGETS]
     )
