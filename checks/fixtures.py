@@ -100,21 +100,22 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppke
 
 ITEM = "SELECT DISTINCT p_name AS item_name, CAST(p_size AS STRING) AS item_size FROM {part}"
 
-# Answers of a source to a query: the query is the item's name and size, its name, or its first word.
+# Answers of sources to queries: the item's name and size, its last word and size, or a text no item
+# asks for.  Two return flags are the registered sources, the third one is the fallback.
 ANSWER = """
 SELECT l_returnflag AS source,
-  CASE l_linenumber % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ', CAST(p_size AS STRING))
+  CASE l_linenumber % 4 WHEN 0 THEN concat(p_name, ' ', p_brand) WHEN 1 THEN concat(p_name, ' ', CAST(p_size AS STRING))
     ELSE concat(split_part(p_name, ' ', 2), ' ', CAST(p_size AS STRING)) END AS query,
   CASE WHEN l_orderkey % 5 = 0 THEN concat('other ', p_brand)
     ELSE concat(p_brand, ' ', p_name, ' ', CAST(p_size AS STRING)) END AS title,
   CASE WHEN l_orderkey % 11 = 0 THEN CAST(0 AS DECIMAL(18,2))
     ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS price,
-  l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS seq,
-  l_orderkey
+  l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS seq
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
-PRIMARY = f"SELECT source, query, title, price, seq FROM ({ANSWER}) AS x WHERE l_orderkey % 40 = 1"
-FALLBACK = f"SELECT source, query, title, price, seq FROM ({ANSWER}) AS x WHERE l_orderkey % 8 = 3"
+PRIMARY = f"SELECT source, query, title, price, seq FROM ({ANSWER}) AS x WHERE source IN ('R', 'A')"
+FALLBACK = f"SELECT source, query, title, price, seq FROM ({ANSWER}) AS x WHERE source = 'N'"
+MIN_OFFERS = 6
 
 # Sparse rows of a grid: three columns, `view` rows are empty and `error` rows close a group.
 SPARSE = """

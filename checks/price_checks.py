@@ -82,7 +82,7 @@ def _search(spark, sf, fallback):
     offers = load(spark, sf, fx.PRIMARY)
     extra = load(spark, sf, fx.FALLBACK) if fallback else None
     return prices.search(
-        items, offers, extra, sources=["R", "A"], min_offers=3, stop_words=STOPS,
+        items, offers, extra, sources=["R", "A"], min_offers=fx.MIN_OFFERS, stop_words=STOPS,
         offer_columns=["source", "title"],
     )
 
@@ -174,7 +174,7 @@ def _searched(with_fallback: bool) -> str:
   cnt AS (SELECT stage, query, count(*) AS n FROM found GROUP BY ALL),
   asked AS (SELECT exp.*, st.stage, coalesce(cnt.n, 0) AS n FROM exp CROSS JOIN {stages} AS st(stage) LEFT JOIN cnt USING (stage, query)),
   run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY item_name, item_size ORDER BY stage, query_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM asked),
-  kept AS (SELECT * FROM run WHERE before < 3),
+  kept AS (SELECT * FROM run WHERE before < {fx.MIN_OFFERS}),
   priced AS (SELECT kept.item_name, kept.item_size, kept.query, found.price, found.source, found.title,
       row_number() OVER (PARTITION BY item_name, item_size ORDER BY price, stage, query_no, source_no, seq, source, title) AS rank
     FROM kept JOIN found USING (stage, query) WHERE price > 0),
