@@ -31,7 +31,8 @@ def test_equal(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_brute_force_test():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"catalogue_match_full"}
+    own = {n for n in entry.queries() if n != "pipeline" and not n.startswith("op")}
+    assert own - set(entry.oracle_sql()) == {"catalogue_match_full"}
 
 
 @needs_data
