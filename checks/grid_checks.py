@@ -241,7 +241,7 @@ _MODULE = """
 SELECT conv_id, turn * 4 AS line_no, concat('  ИначеЕсли ПродуктШапка = Справочники.асПродукция.П', CAST(conv_id AS STRING), '_', CAST(turn AS STRING), ' Тогда // ', role) AS text FROM {conversations} WHERE role <> 'assistant'
 UNION ALL SELECT conv_id, turn * 4 + 1, CASE turn % 3 WHEN 0 THEN 'Обозначение = "Ф" + D_ + "-" + L_ + d1_;' WHEN 1 THEN 'Обозначение = A_ + "x" + B_ + "-" + u;' ELSE 'КонецЕсли;' END FROM {conversations}
 UNION ALL SELECT conv_id, turn * 4 + 2, concat('АртикулГруппы = "', CAST(conv_id % 9 AS STRING), '";') FROM {conversations}
-UNION ALL SELECT conv_id, turn * 4 + 3, CASE WHEN turn % 2 = 0 THEN concat('АртикулПродукции = "', CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '";') ELSE substr(text, 1, 20) END FROM {conversations}
+UNION ALL SELECT conv_id, turn * 4 + 3, CASE WHEN turn % 2 = 0 THEN concat('АртикулПродукции = "', CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '";') ELSE text END FROM {conversations}
 """
 
 

@@ -12,10 +12,11 @@ from ductlake import fixed_values as fv
 
 def format_parameter(name: Column, value: Column) -> Column:
     """Sizes as at least four digits, angles and radii as whole numbers, the rest as they are."""
-    whole = F.rint(value).cast("bigint")
+    whole = F.rint(value).try_cast("bigint")
+    beyond = F.rint(value).try_cast("decimal(38,0)").cast("string")  # what 64 bits do not hold has no need of zeros
     return (
-        F.when(F.upper(name).isin(fv.PADDED_PARAMS), F.format_string("%04d", whole))
-        .when(F.upper(name).isin(fv.INTEGER_PARAMS), whole.cast("string"))
+        F.when(F.upper(name).isin(fv.PADDED_PARAMS), F.when(whole.isNull(), beyond).otherwise(F.format_string("%04d", whole)))
+        .when(F.upper(name).isin(fv.INTEGER_PARAMS), F.coalesce(whole.cast("string"), beyond))
         .otherwise(value.cast("string"))
     )
 

@@ -17,8 +17,8 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NUMBER = r"^[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$"
-# Quantities beyond this do not fit the integer piece count and are treated as unreadable.
-MAX_QUANTITY = 9.0e15
+# Pieces are 64-bit whole numbers; a line whose quantity reaches this is told apart from an unreadable one.
+PIECES_LIMIT = 2.0**63
 
 
 def strip(text: Column) -> Column:
@@ -61,7 +61,7 @@ def number_or_null(text: Column) -> Column:
     value = F.when(
         compact.rlike(NUMBER), F.replace(compact, F.lit("_"), F.lit("")).try_cast("double")
     )
-    return F.when(F.abs(value) <= MAX_QUANTITY, value)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def number_or(text: Column, default: float) -> Column:
@@ -83,7 +83,7 @@ def price_digits(text: Column) -> Column:
 
 
 def half_even(value: Column) -> Column:
-    return F.rint(value).cast("bigint")
+    return F.rint(value).try_cast("bigint")
 
 
 def pieces_from_metres(metres: Column, length_mm: Column) -> Column:
@@ -95,7 +95,7 @@ def pieces_from_metres(metres: Column, length_mm: Column) -> Column:
 
 def piece_count(quantity: Column, unit: Column) -> Column:
     """Pieces truncate; any other unit rounds half to even and is at least one."""
-    return F.when(unit.isin(fv.PIECE_UNITS), quantity.cast("bigint")).otherwise(
+    return F.when(unit.isin(fv.PIECE_UNITS), quantity.try_cast("bigint")).otherwise(
         F.greatest(F.lit(1).cast("bigint"), half_even(quantity))
     )
 

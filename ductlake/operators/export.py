@@ -10,6 +10,7 @@ from ductlake.functions import classify, formatting as fmt
 from ductlake.session import broadcast_checked
 
 HEADER_FIELDS = ["numberDate", "numberOrder", "INN", "customer", "email", "phone", "contact"]
+# Lines that are put together at once while a document is built.
 FRAGMENT_LINES = 20_000
 
 
@@ -90,15 +91,21 @@ def product_row_xml(section: str = "section"):
 
 
 def order_xml(
-    lines: DataFrame, headers: DataFrame | None = None, fragment_lines: int = FRAGMENT_LINES
+    lines: DataFrame, headers: DataFrame | None = None, fragment_lines: int | None = None
 ) -> DataFrame:
     """K1: order documents as (order_id, fragment_no, n_lines, xml).
 
     `lines` come from `with_characteristic` and have order_id and line_no; lines with an error are
-    left out.  Line numbers are cut into fragments, so no group is larger than `fragment_lines`
-    however large the order; the fragments of an order put together in order are its document, and
-    an ordinary order is one fragment.  Orders without a line produce nothing.
+    left out.  An order is one document of any number of lines, in one row (a value holds 2 GB at
+    most).  A caller that gives `fragment_lines` gets a stream of fragments instead, cut by line
+    number, which put together in order are the document.  Orders without a line produce nothing.
     """
+    if fragment_lines is None:
+        parts = order_xml(lines, headers, FRAGMENT_LINES)
+        return parts.groupBy("order_id").agg(
+            F.min("fragment_no").alias("fragment_no"), F.sum("n_lines").cast("int").alias("n_lines"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment_no", "xml"))), lambda p: p["xml"]), "").alias("xml"),
+        )
     good = lines.filter(F.col("error").isNull())
     parts = good.select(
         "order_id",

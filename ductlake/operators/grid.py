@@ -98,10 +98,16 @@ def column_roles(scores: DataFrame, keys: list[str] = TABLE_KEYS) -> DataFrame:
     )
 
 
+def cells_map() -> Column:
+    """Texts by column number; of several texts in one cell the last in order."""
+    cells = F.array_sort(F.collect_list(F.struct("col_no", "text")))
+    return F.map_from_entries(F.filter(cells, lambda cell, i: ~F.coalesce(F.get(cells, i + 1)["col_no"] == cell["col_no"], F.lit(False))))
+
+
 def wide_rows(cells: DataFrame, keys: list[str] = TABLE_KEYS) -> DataFrame:
     """Rows as a map col_no -> text; a row is as long as its table is wide."""
     return cells.groupBy(*keys, "row_no").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_no", "text")))).alias("cells")
+        cells_map().alias("cells")
     )
 
 
@@ -159,7 +165,7 @@ def merge_sparse_rows(
         F.min("row_no").alias("row_no"),
         *[F.first(c).alias(c) for c in carried],
         F.bool_or("opens").alias("opens"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_no", "text")))).alias("cells"),
+        cells_map().alias("cells"),
     ).filter("opens").drop("opens")
 
 
@@ -246,7 +252,7 @@ def header_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
             F.max(F.when(F.col("role") == r, F.col("col_no"))).alias(f"{r}_col")
             for r in ("name", "model", "unit", "quantity")
         ],
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_no", "text")))).alias("cells"),
+        cells_map().alias("cells"),
     )
 
 

@@ -254,8 +254,9 @@ def title_matches(
     options = keyed.select(
         query_id, "keywords", F.posexplode(F.array_distinct("keywords")).alias("word_no", "word")
     ).withColumn("gram", F.explode(F.array_distinct(_trigrams(F.col("word")))))
-    wanted = options.select("gram").distinct()
-    frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # Both reduced sides are spread, so that a trigram which most titles hold can be split.
+    wanted = spread(options.select("gram").distinct(), "gram")
+    frequency = spread(grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
     rarest = (
         options.join(frequency, "gram", "left")
         .groupBy(query_id, "word_no")

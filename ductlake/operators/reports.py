@@ -34,13 +34,13 @@ def reconcile(manual: DataFrame, parsed: DataFrame, total_label: str = "Итог
     """Q9: pieces per article in two order versions, their difference, and a total row."""
     left = manual.groupBy("article").agg(F.sum("quantity").alias("manual"))
     right = parsed.groupBy("article").agg(F.sum("quantity").alias("parsed"))
-    both = left.join(right, "article", "full_outer").select(
-        "article", F.coalesce("manual", F.lit(0)).alias("manual"), F.coalesce("parsed", F.lit(0)).alias("parsed")
+    both = left.alias("l").join(right.alias("r"), F.col("l.article").eqNullSafe(F.col("r.article")), "full_outer").select(
+        F.coalesce("l.article", "r.article").alias("article"), F.coalesce("manual", F.lit(0)).alias("manual"), F.coalesce("parsed", F.lit(0)).alias("parsed")
     )
     return both.rollup("article").agg(
         F.sum("manual").alias("manual"), F.sum("parsed").alias("parsed"),
-        (F.sum("parsed") - F.sum("manual")).alias("difference"),
-    ).withColumn("article", F.coalesce("article", F.lit(total_label)))
+        (F.sum("parsed") - F.sum("manual")).alias("difference"), F.grouping("article").alias("is_total"),
+    ).withColumn("article", F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col("article"))).drop("is_total")
 
 
 def parameter_usage(products: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def running(
 ) -> DataFrame:
     """Add running sums and last non-null values up to and including each row.
 
-    `order` is a whole number, unique within the group; the keys are not null.
+    `order` is a whole number, unique within the group; rows with null keys are a group of their own.
     """
     sums, lasts = sums or {}, lasts or {}
     staged = df.withColumns({
@@ -46,7 +46,12 @@ def running(
         *[F.coalesce(F.sum(f"_bs_{n}").over(before), F.lit(0)).alias(f"_cs_{n}") for n in sums],
         *[F.last(f"_bl_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in lasts],
     )
-    joined = staged.join(carried, [*keys, "_block"])
+    # Keys may be null: such rows are a document of their own.
+    named = carried.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), *[c for c in carried.columns if c not in (*keys, "_block")])
+    same = F.col("_block") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    joined = staged.join(named, same)
     here = (
         Window.partitionBy(*keys, "_block").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -18,6 +18,9 @@ from ductlake.session import spread
 # Column -> default used when the input has no such column at all.
 OPTIONAL_INPUTS = {"name": "", "size": "", "unit": "", "quantity": "0"}
 
+# A number, but more pieces than 64 bits hold.
+REASON_TOO_LARGE = "Слишком большое количество: "
+
 
 @dataclass(frozen=True)
 class SpecDefaults:
@@ -266,7 +269,7 @@ def route_lines(lines: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> Da
     unit, text_route = F.col("unit"), F.col("text_route")
     routed = valued.withColumn(
         "route",
-        F.when(F.col("quantity").isNull(), "bad_quantity")
+        F.when(F.col("quantity").isNull() | (F.abs("quantity") >= text.PIECES_LIMIT), "bad_quantity")
         .when(F.col("explicit_article").isNotNull(), "explicit")
         .when(text_route.isin("adapter", "fitting"), text_route)
         .when((text_route == "aggregate") | unit.isin(fv.AREA_UNITS), "aggregate")
@@ -294,7 +297,7 @@ def route_lines(lines: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> Da
             route == "explicit", text.strip(F.concat("name", F.lit(" "), "size"))
         ).otherwise(F.col("text_comment")),
         "parse_reason": F.when(
-            route == "bad_quantity", F.concat(F.lit(fv.REASON_QUANTITY_PREFIX), "quantity_raw")
+            route == "bad_quantity", F.concat(F.when(F.col("quantity").isNull(), fv.REASON_QUANTITY_PREFIX).otherwise(REASON_TOO_LARGE), "quantity_raw")
         ).when(
             route.isin("aggregate", "other"),
             classify.skip_reason(F.col("size"), unit, F.col("ptype")),

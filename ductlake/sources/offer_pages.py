@@ -20,7 +20,7 @@ SELECTOR_COLUMNS = [
     "source", "base_url", "search_path", "search_param",
     "item_selector", "title_selector", "price_selector", "supplier_selector",
 ]
-HIT = "page_id bigint, source string, seq bigint, title string, price_text string, price_meta string, supplier string, url string"
+HIT = "page_id bigint, source string, seq bigint, title string, price_text string, price_meta string, supplier string, url string, query string"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 _BLOCKS = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "footer"}
@@ -31,15 +31,22 @@ class _Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self) -> Iterator["_Node"]:
-        for child in self.children:
+        """Nodes below in the order of the page; with a stack, as pages nest deeply."""
+        waiting = self.children[::-1]
+        while waiting:
+            child = waiting.pop()
             if isinstance(child, _Node):
                 yield child
-                yield from child.walk()
+                waiting += child.children[::-1]
 
     def text(self) -> str:
-        parts = []
-        for child in self.children:
-            parts.append(child.text() if isinstance(child, _Node) else child.strip())
+        parts, waiting = [], self.children[::-1]
+        while waiting:
+            child = waiting.pop()
+            if isinstance(child, _Node):
+                waiting += child.children[::-1]
+            else:
+                parts.append(child.strip())
         return "".join(parts)
 
 
@@ -125,7 +132,7 @@ def _offers_of(page) -> Iterator[tuple]:
             page.page_id, page.source, seq, title.text(), price.text(),
             meta.attrs.get("content", "").strip() if meta else None,
             supplier.text() if supplier else None,
-            urljoin(page.base_url, link.attrs.get("href", "") if link else ""),
+            urljoin(page.base_url, link.attrs.get("href", "") if link else ""), page.query,
         )
 
 
@@ -137,7 +144,7 @@ def _hits_of(page) -> Iterator[tuple]:
         if title is not None:
             yield (
                 page.page_id, page.source, seq, title.text(), None, None, None,
-                urljoin(page.base_url, title.attrs.get("href", "")),
+                urljoin(page.base_url, title.attrs.get("href", "")), None,
             )
 
 
@@ -158,28 +165,30 @@ def site_selectors(spark: SparkSession) -> DataFrame:
     return inline_table(spark, SELECTOR_COLUMNS, fv.SITE_SELECTORS)
 
 
-def page_offers(pages: DataFrame, selectors: DataFrame) -> DataFrame:
+def page_offers(pages: DataFrame, selectors: DataFrame, keep_rejects: bool = False) -> DataFrame:
     """Offers on crawled pages (page_id, source, query, html), one row per offer.
 
     The page text is taken apart in Python, one Arrow batch at a time; prices, the structured one
-    first, are settled in columns.  Offers without a readable price are left out.
+    first, are settled in columns.  Offers without a readable price, or with one that 36 digits do not hold, are left
+    out; with `keep_rejects` they stay with a null price and their price_text.
     """
+    with_query = "query" in pages.columns
+    pages = pages if with_query else pages.withColumn("query", F.lit(None).cast("string"))
     configured = pages.join(broadcast_checked(selectors), "source")
     found = _extract(
         configured.select(
             "page_id", "source", "html", "base_url", "item_selector", "title_selector",
-            "price_selector", "supplier_selector",
+            "price_selector", "supplier_selector", F.col("query").cast("string").alias("query"),
         ),
         _offers_of,
     )
     number = F.when(F.col("price_meta").rlike(r"^[0-9]+(?:\.[0-9]*)?$"), F.col("price_meta").try_cast("decimal(38,2)"))
-    priced = found.withColumn("price", F.coalesce(number, price_digits(F.col("price_text")).cast("decimal(38,2)")))
-    queries = pages.select("page_id", "source", "query") if "query" in pages.columns else None
-    offers = priced.filter(F.col("price").isNotNull()).select(
+    priced = found.withColumn("price", F.coalesce(number, price_digits(F.col("price_text")).try_cast("decimal(38,2)")))
+    wanted = priced if keep_rejects else priced.filter(F.col("price").isNotNull())
+    return wanted.select(
         "page_id", "source", "seq", "title", "price", F.lit("RUB").alias("currency"), "supplier", "url",
-        F.lit(False).alias("is_fallback"),
+        F.lit(False).alias("is_fallback"), *(["query"] if with_query else []), *(["price_text"] if keep_rejects else []),
     )
-    return offers if queries is None else offers.join(queries, ["page_id", "source"])
 
 
 def listing_hits(pages: DataFrame, hit_selector: str, engine: str, base_url: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ductlake.operators import schema
 from ductlake.session import spread
 
 WORKBOOK_SUFFIXES = (".xlsx", ".xlsm")
-CELLS = "doc_id string, row_no bigint, col_no int, text string"
+CELLS = "doc_id string, row_no bigint, col_no int, text string, error string"
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = ";") -> DataFrame:
@@ -25,10 +25,34 @@ def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str =
     return df.toDF(*[c.lstrip("﻿").strip().strip('"').lower() for c in df.columns])
 
 
+def read_delimited_cells(spark: SparkSession, path: str | list[str], delimiter: str = ";", pattern: str = "*") -> DataFrame:
+    """Cells of delimited files, each with its own header row, in the form of `read_workbook_cells`.
+
+    A quoted field may hold line breaks.  The widest line of all files gives the number of columns.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    width = lines.agg(F.max(F.size(F.split("value", re.escape(delimiter))))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+    rows = spark.read.option("pathGlobFilter", pattern).csv(
+        path, schema=", ".join(f"{n} string" for n in names), sep=delimiter, header=False, encoding="UTF-8", quote='"', escape='"', multiLine=True,
+    ).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), *names)
+    cells = rows.select("doc_id", "row_no", F.posexplode(F.array(*names)).alias("col_no", "text"))
+    return cells.where("text is not null").select("doc_id", "row_no", "col_no", F.ltrim(F.col("text"), F.lit("\ufeff")).alias("text"), F.lit(None).cast("string").alias("error"))
+
+
 def read_delimited_spec(spark: SparkSession, path: str | list[str], delimiter: str = ";") -> DataFrame:
-    """Delimited file with free headers -> specification lines."""
-    df = read_delimited(spark, path, delimiter)
-    return schema.spec_rows(schema.normalise_columns(df).dropna("all"))
+    """Delimited files with free headers -> specification lines (N2..N5), each file by its own header."""
+    return workbook_spec_rows(read_delimited_cells(spark, path, delimiter))
+
+
+def read_spec_files(spark: SparkSession, path: str | list[str], delimiter: str = ";") -> tuple[DataFrame, DataFrame]:
+    """S1..S3: (specification lines, files that cannot be read) of a folder of delimited files and workbooks.
+
+    Lines carry doc_id (the file) and line_no.  A file is a workbook by its suffix (`is_workbook`).
+    """
+    books = read_workbook_cells(spark, path)
+    cells = books.unionByName(read_delimited_cells(spark, path, delimiter, "*.{csv,txt,CSV,TXT}"))
+    return workbook_spec_rows(cells), books.where("error is not null").select("doc_id", "error")
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -41,23 +65,38 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The part that holds the workbook's first sheet; the lowest number where no list of sheets is there."""
+    names = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_NS + "sheet"):
+            target = next((parts.get(v) for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            part = target.lstrip("/") if target and target.startswith("/") else f"xl/{target}"
+            if part in names:
+                return part
+    return min(
+        (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
+        key=lambda n: int(re.search(r"\d+", n).group(0)),
+    )
+
+
 def _sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(row, column, text) of the first sheet of a workbook, streamed."""
+    """(row, column, text) of the first sheet of a workbook, streamed.  References may be left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
         shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in item.iter(_NS + "t")) for item in root]
-        first = min(
-            (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
-            key=lambda n: int(re.search(r"\d+", n).group(0)),
-        )
-        with book.open(first) as sheet:
+        with book.open(_first_sheet(book)) as sheet:
+            row_no = -1
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != _NS + "row":
                     continue
+                row_no = int(row.get("r")) - 1 if row.get("r") else row_no + 1
+                col_no = -1
                 for cell in row.iter(_NS + "c"):
+                    col_no = _column_number(cell.get("r")) if cell.get("r") else col_no + 1
                     value = cell.find(_NS + "v")
                     kind = cell.get("t")
                     if kind == "inlineStr":
@@ -66,31 +105,39 @@ def _sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
                         continue
                     else:
                         text = shared[int(value.text)] if kind == "s" else value.text
-                    yield int(row.get("r")) - 1, _column_number(cell.get("r")), text
+                    yield row_no, col_no, text
                 row.clear()
 
 
-def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """S3: first sheet of every workbook under a path as long cells; one task reads whole files."""
+def read_workbook_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """S3: first sheet of every workbook under a path as long cells; one task reads whole files.
+
+    A file that is no workbook gives one row with `error` and no cell.
+    """
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, content in zip(batch["path"], batch["content"]):
-                rows = [(doc, r, c, t) for r, c, t in _sheet_cells(bytes(content))]
-                yield pd.DataFrame(rows, columns=["doc_id", "row_no", "col_no", "text"])
+                try:
+                    rows = [(doc, r, c, t, None) for r, c, t in _sheet_cells(bytes(content))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as fault:
+                    rows = [(doc, None, None, None, f"{type(fault).__name__}: {fault}")]
+                yield pd.DataFrame(rows, columns=["doc_id", "row_no", "col_no", "text", "error"]).astype({"row_no": "Int64", "col_no": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,XLSX,XLSM}").load(path)
     return files.select("path", "content").mapInPandas(cells, CELLS)
 
 
 def workbook_spec_rows(cells: DataFrame) -> DataFrame:
-    """Workbook cells whose first row is a header -> specification lines."""
+    """Cells of files whose first row is a header -> specification lines (N2..N5)."""
     filled = cells.filter(F.coalesce("text", F.lit("")) != "")
     starts = filled.groupBy("doc_id").agg(F.min("row_no").alias("header_row"))
     located = filled.join(spread(starts, "doc_id"), "doc_id")
-    targets = schema.map_header_cells(
-        located.filter(F.col("row_no") == F.col("header_row")).select("doc_id", "col_no", "text"), ["doc_id"]
-    )
-    named = located.filter(F.col("row_no") > F.col("header_row")).join(
+    body = located.filter(F.col("row_no") > F.col("header_row"))
+    # A column without any cell below its header takes no part in the mapping.
+    in_use = spread(body.select("doc_id", "col_no").distinct(), "doc_id", "col_no")
+    header = located.filter(F.col("row_no") == F.col("header_row")).select("doc_id", "col_no", "text")
+    targets = schema.map_header_cells(header.join(in_use, ["doc_id", "col_no"], "left_semi"), ["doc_id"])
+    named = body.join(
         spread(targets, "doc_id", "col_no"), ["doc_id", "col_no"]
     )
     wide = named.groupBy("doc_id", "row_no").agg(

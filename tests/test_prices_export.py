@@ -145,7 +145,7 @@ def test_characteristics(spark):
 def test_csv_to_xml(spark, tmp_path):
     source = tmp_path / "spec.csv"
     source.write_text("Наименование;Размер;Ед;Количество;Материал;Толщина\nВоздуховод;160;м;10;оцинкованная;0.8\nВоздуховод <\"А\">;200;м;5;;\nНепонятная позиция;;;1;;\n", encoding="utf-8-sig")
-    spec = spec_files.read_delimited_spec(spark, str(source)).withColumns({"order_id": F.lit(7), "line_no": F.monotonically_increasing_id()})
+    spec = spec_files.read_delimited_spec(spark, str(source)).drop("doc_id").withColumn("order_id", F.lit(7))
     headers = spark.createDataFrame([(7, "ООО & Ко")], "order_id int, customer string")
     result = pipelines.process_spec_lines(spec, headers)
     doc = result.documents.collect()
