@@ -3,8 +3,9 @@
 A rule is a host, a path and a verdict; it fits its host and all subdomains where the url's path starts
 with its own.  Rules become a file: their 64-bit xxhash keys sorted, and their strings in the same order.  Spark
 ships the file to every executor once, where tasks map it into memory.  A url's candidates (each suffix of
-its host at a dot, with each prefix of its path that is as long as some rule's) are probed by vectorised
-binary search; equal keys count only if the stored string is equal too.  The longest rule wins.
+its host at a dot, up to the length of the longest rule's host, with each prefix of its path that is as
+long as some rule's) are probed by vectorised binary search; equal keys count only if the stored string is
+equal too.  The longest rule wins.
 
 The file is bounded by `MAX_INDEX_BYTES` (an error beyond it).  Defined results: a null url or one without
 `://` has empty host and path; of repeated rules the blocking one counts; rules of equal length: the
@@ -47,7 +48,7 @@ def digest(host: str, path: str) -> int:
 
 
 def index_bytes(rules: list[tuple[str, str, str]]) -> bytes:
-    """Keys, ends of the strings, path lengths in use, strings (verdict letter, host, space, path)."""
+    """Counts and the longest host, keys, ends of the strings, path lengths in use, strings (verdict letter, host, space, path)."""
     verdicts: dict[tuple[str, str], str] = {}
     for host, path, verdict in rules:
         if verdict not in ("allow", "block"):
@@ -58,7 +59,7 @@ def index_bytes(rules: list[tuple[str, str, str]]) -> bytes:
     lengths = sorted({len(path) for _, path in verdicts})
     keys = np.array([k for k, _ in rows], "<u8").tobytes()
     ends = np.cumsum([len(s) for _, s in rows]).astype("<u8").tobytes() if rows else b""
-    out = struct.pack("<QQ", len(rows), len(lengths)) + keys + ends + np.array(lengths, "<u8").tobytes() + b"".join(s for _, s in rows)
+    out = struct.pack("<QQQ", len(rows), len(lengths), max((len(host) for host, _ in verdicts), default=0)) + keys + ends + np.array(lengths, "<u8").tobytes() + b"".join(s for _, s in rows)
     if len(out) > MAX_INDEX_BYTES:
         raise ValueError(f"the rules take {len(out)} bytes, more than {MAX_INDEX_BYTES}")
     return out
@@ -70,11 +71,11 @@ class Index:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        n, n_lengths = struct.unpack_from("<QQ", self.data)
-        self.keys = np.frombuffer(self.data, "<u8", n, 16)
-        self.ends = np.frombuffer(self.data, "<u8", n, 16 + 8 * n)
-        self.lengths = np.frombuffer(self.data, "<u8", n_lengths, 16 + 16 * n).tolist()
-        self.strings = 16 + 16 * n + 8 * n_lengths
+        n, n_lengths, self.longest = struct.unpack_from("<QQQ", self.data)
+        self.keys = np.frombuffer(self.data, "<u8", n, 24)
+        self.ends = np.frombuffer(self.data, "<u8", n, 24 + 8 * n)
+        self.lengths = np.frombuffer(self.data, "<u8", n_lengths, 24 + 16 * n).tolist()
+        self.strings = 24 + 16 * n + 8 * n_lengths
 
     def string(self, row: int) -> bytes:
         begin = int(self.ends[row - 1]) if row else 0
@@ -82,7 +83,9 @@ class Index:
 
     def candidates(self, host: str, path: str) -> list[tuple[str, str]]:
         """Longest first; of equal length the longer host first."""
-        hosts = [host] + [host[m.end() :] for m in re.finditer(r"\.", host)]
+        end = host[max(0, len(host) - self.longest - 1) :]  # and the dot before it
+        hosts = [host] if len(host) <= self.longest else []
+        hosts += [end[m.end() :] for m in re.finditer(r"\.", end)]
         found = [(h, path[:n]) for h in hosts for n in self.lengths if n <= len(path)]
         return sorted(found, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
 
