@@ -3,9 +3,9 @@
 Texts are lower-cased (A-Z) words with one space between them and a line feed as the end.  The model is a
 trie of byte contexts up to `ORDER` letters, trained on all training documents: Spark counts every run of
 ORDER + 1 bytes, and the shorter runs follow by summing.  A byte is coded in its longest known context; a
-byte that is new there costs an escape (method C: as likely as the number of different bytes seen there),
-and in the next shorter context the bytes of the longer one are excluded, down to equal chances for what
-is left.  A document's score is the log10 probability of its bytes.
+byte that is new there costs an escape (method D: each different byte seen there gives half a count to
+the escape), and in the next shorter context the bytes of the longer one are excluded, down to equal
+chances for what is left.  A document's score is the log10 probability of its bytes.
 
 Counts cover all training documents.  What tasks hold is bounded: of each order the runs that occur often
 enough for at most `NODES` of them to remain; the threshold is found from a histogram of the counts.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ductlake.llm.work import keep, words
 
-ORDER = 4
-NODES = 1_500_000
+ORDER = 5
+NODES = 2_000_000
 FREQUENT = 400_000
 END = b"\n"
 BUFFER = 1 << 20
@@ -155,9 +155,9 @@ class Trie:
         self.known: dict[int, float] = {}
         top, n = runs[ORDER], counts[ORDER].astype(np.float64)
         context = top >> np.uint64(8)
-        _, place, size = np.unique(context, return_inverse=True, return_counts=True)
-        total = np.bincount(place, n, len(size)) if len(top) else n
-        self.slots = Slots(top, np.log10(n / (total[place] + size[place])) if len(top) else n)
+        _, place = np.unique(context, return_inverse=True)
+        total = np.bincount(place, n) if len(top) else n
+        self.slots = Slots(top, np.log10((n - 0.5) / total[place]) if len(top) else n)
 
     def followers(self, order: int, context: int) -> tuple[np.ndarray, np.ndarray]:
         runs = self.runs[order]
@@ -175,11 +175,11 @@ class Trie:
             bytes_, counts = bytes_[left], counts[left]
             if not len(bytes_):
                 continue
-            all_ = float(counts.sum() + len(bytes_))
+            all_ = float(counts.sum())
             here = counts[bytes_ == symbol]
             if len(here):
-                return math.log10(p * float(here[0]) / all_)
-            p *= len(bytes_) / all_
+                return math.log10(p * (float(here[0]) - 0.5) / all_)
+            p *= 0.5 * len(bytes_) / all_
             excluded[bytes_] = True
         return math.log10(p / (256 - np.count_nonzero(excluded)))
 

@@ -23,6 +23,7 @@ ROWS = [
     (7, LONG, None, "a", len(LONG), None, "x", "y", 5), (8, "漢字 😀 ﬁ <|endoftext|> é", "ja", "b", 10, None, "x", "y", 6), (9, "1234 !!", "en", "a", 7, None, "x", "y", 7),
 ]
 TEXTS = [r[1] for r in ROWS]
+DOTS = "a." * 200_000
 
 
 @pytest.fixture(scope="module")
@@ -199,23 +200,23 @@ def test_quality(spark, documents, awkward):
 def plain_ppm(training):
     runs = collections.defaultdict(collections.Counter)
     for text in training:
-        b = b"\n" * 4 + text
-        for i in range(4, len(b)):
-            for k in range(5):
+        b = b"\n" * 5 + text
+        for i in range(5, len(b)):
+            for k in range(6):
                 runs[b[i - k : i]][b[i]] += 1
 
     def log10(b, i):
         excluded, p = set(), 1.0
-        for k in range(4, -1, -1):
+        for k in range(5, -1, -1):
             left = {s: n for s, n in runs.get(b[i - k : i], {}).items() if s not in excluded}
             if left:
-                total = sum(left.values()) + len(left)
+                total = 2 * sum(left.values())
                 if b[i] in left:
-                    return math.log10(p * left[b[i]] / total)
+                    return math.log10(p * (2 * left[b[i]] - 1) / total)
                 p, excluded = p * len(left) / total, excluded | set(left)
         return math.log10(p / (256 - len(excluded)))
 
-    return lambda text: sum(log10(b"\n" * 4 + text, i) for i in range(4, len(text) + 4))
+    return lambda text: sum(log10(b"\n" * 5 + text, i) for i in range(5, len(text) + 5))
 
 
 def test_lm_scores(awkward, documents):
@@ -238,13 +239,14 @@ def test_lm_scores(awkward, documents):
 
 def test_urls(spark):
     given = [(1, "http://A.Example.net/en/x?y"), (2, "https://example.net/de"), (3, None), (4, "no scheme"), (5, "http://x.org/fr/#a"), (6, "http://notexample.com/de/"),
-             (7, "http://sub.example.com/de/"), (8, "http://net"), (9, "http://net/"), (None, "ftp://u@h.net:80/p"), (1, "http://A.Example.net/en/x?y"), (10, "")]
+             (7, "http://sub.example.com/de/"), (8, "http://net"), (9, "http://net/"), (None, "ftp://u@h.net:80/p"), (1, "http://A.Example.net/en/x?y"), (10, ""), (11, f"x://{DOTS}example.com/de/"), (12, f"x://{DOTS}com/de/")]
     pages = spark.createDataFrame([(i, u, "r") for i, u in given], "page_id long, url string, rule string")
     found = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, queries.RULES).collect()}
     assert found == {
         (1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "example.net", "/de", "net/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"),
         (5, "x.org", "/fr/", "org/fr/", "allow"), (6, "notexample.com", "/de/", None, "allow"), (7, "sub.example.com", "/de/", "example.com/de/", "block"),
         (8, "net", "", None, "allow"), (9, "net", "/", "net/", "block"), (None, "u@h.net:80", "/p", None, "allow"), (10, "", "", None, "allow"),
+        (11, DOTS + "example.com", "/de/", "example.com/de/", "block"), (12, DOTS + "com", "/de/", None, "allow"),
     }
     assert urls.judge_urls(pages, []).where("verdict = 'allow' and rule is null").count() == len(given)
     many = [(f"h{i}.com", f"/p{i % 7}", "block") for i in range(3000)]
