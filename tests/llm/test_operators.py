@@ -231,8 +231,8 @@ def test_lm_scores(awkward, documents):
             tokens = [*(r.text or "").encode().lower().split(), b"\n"]
             base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
             want[(r.doc_id, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 3), round(score(plain(r.text)), 3))] += 1
-        for frequent in (ppm.FREQUENT, 3):
-            got = ppm.lm_scores(table, queries.remainder(7) == 2, frequent=frequent).collect()
+        for frequent, nodes in ((ppm.FREQUENT, ppm.NODES), (3, 40), (ppm.FREQUENT, 0)):  # what is held does not change a score
+            got = ppm.lm_scores(table, queries.remainder(7) == 2, nodes, frequent).collect()
             assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3), round(r.score, 3)) for r in got) == want
     assert ppm.lm_scores(documents.limit(0), queries.remainder(7) == 2).count() == 0
 
