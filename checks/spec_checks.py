@@ -18,6 +18,11 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, fx.SPEC_LINE)
 
 
+def _counted_items(spark: SparkSession, sf: str) -> DataFrame:
+    """All line items; what only numbers a line is no part of a count."""
+    return reports.equal_lines(load(spark, sf, fx.SPEC_LINE_ITEMS).drop("line_no", "order_id"))
+
+
 def _parsed(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return spec_lines.parse_spec_lines(lines, dim.builtin_allowed(spark), dim.builtin_materials(spark))
 
@@ -44,12 +49,12 @@ def spec_skipped_lines(spark, sf):
 
 
 def spec_skipped_reasons(spark, sf):
-    p = _parsed(spark, load(spark, sf, fx.SPEC_LINE_ITEMS))
+    p = _parsed(spark, _counted_items(spark, sf))
     return reports.reason_distribution(p.filter(F.col("status") == "skipped"))
 
 
 def article_distribution(spark, sf):
-    return reports.article_distribution(_parsed(spark, load(spark, sf, fx.SPEC_LINE_ITEMS)))
+    return reports.article_distribution(_parsed(spark, _counted_items(spark, sf)))
 
 
 def row_totals(spark, sf):

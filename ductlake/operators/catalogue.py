@@ -9,8 +9,10 @@ from ductlake.functions import matching as m
 from ductlake.functions.size import description_dimensions
 from ductlake.session import spread
 
-# Products handled as one literal array; a larger catalogue is cut into pieces of this size.
+# Products handled as one array; a larger catalogue is cut into pieces of this size.
 PIECE = 512
+# A catalogue of at most so many pieces (4096 products) is broadcast; a larger one is joined.
+BROADCAST_PIECES = 8
 
 
 def _product_features(products: DataFrame) -> DataFrame:
@@ -63,7 +65,14 @@ def match_descriptions(
     features = description_features(texts, column).withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.lit(n_pieces - 1)))
     )
-    joined = features.join(F.broadcast(pieces) if n_pieces <= 8 else pieces, "piece")
+    if n_pieces <= BROADCAST_PIECES:
+        joined = features.join(F.broadcast(pieces), "piece")
+    else:
+        # A piece meets all descriptions: every shuffle partition's share of them gets its own copy.
+        shares = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = pieces.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        dealt = features.withColumn("share", F.pmod(F.xxhash64("description"), F.lit(shares)).cast("int"))
+        joined = dealt.join(copies, ["piece", "share"]).drop("share")
     length = F.length("norm")
     scored = joined.withColumn(
         "scored",

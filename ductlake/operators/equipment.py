@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from ductlake import fixed_values as fv
 from ductlake.functions.text import clean, find_optional_number, strip
 
+MAX_RULES = 500
 DIMENSION_GROUPS = {"D": "D0", "L": "L0", "U": "U0"}
 
 
 def rules_from(rules: DataFrame) -> list[dict]:
     """Category rules (S6) as plan-time configuration, in priority order."""
-    return [r.asDict(recursive=True) for r in rules.orderBy("priority").collect()]
+    found = rules.orderBy("priority").limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} category rules; each becomes a branch of one expression")
+    return [r.asDict(recursive=True) for r in found]
 
 
 def whole_word(word: str) -> str:

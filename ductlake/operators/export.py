@@ -10,6 +10,7 @@ from ductlake.functions import classify, formatting as fmt
 from ductlake.session import broadcast_checked
 
 HEADER_FIELDS = ["numberDate", "numberOrder", "INN", "customer", "email", "phone", "contact"]
+MAX_EXPRESSION_RULES = 500
 # Lines that are put together at once while a document is built.
 FRAGMENT_LINES = 20_000
 
@@ -27,7 +28,10 @@ def rules_with_expressions(products: DataFrame) -> list[dict]:
             lambda v: v.try_cast("double").isNull(),
         )
     )
-    return [r.asDict(recursive=True) for r in candidates.collect()]
+    found = candidates.limit(MAX_EXPRESSION_RULES + 1).collect()
+    if len(found) > MAX_EXPRESSION_RULES:
+        raise ValueError(f"more than {MAX_EXPRESSION_RULES} products with expressions; each becomes a branch of one expression")
+    return [r.asDict(recursive=True) for r in found]
 
 
 def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:

@@ -49,6 +49,8 @@ def relevant_offers(offers: DataFrame) -> DataFrame:
 def fresh_offers(history: DataFrame, as_of: datetime | str, max_age_days: int) -> DataFrame:
     """Offers not older than the given age; a plain comparison, so it reaches the scan."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(max_age_days))
+    if "scraped_on" in history.columns:  # a written history is partitioned by day
+        history = history.filter(F.col("scraped_on") >= F.to_date(cutoff))
     return history.filter(F.col("scraped_at") >= cutoff)
 
 
@@ -231,21 +233,19 @@ def kept_offers(results: DataFrame) -> DataFrame:
 
 
 def title_matches(
-    queries: DataFrame, offers: DataFrame, query_id: str, offer_id: str, salt: int = 16
+    queries: DataFrame, offers: DataFrame, query_id: str, offer_id: str, titles_per_task: int = 100_000
 ) -> DataFrame:
     """All (query, offer) pairs in which the offer is relevant to the query.
 
     A relevant title misses at most one keyword, so of any two different keywords it has one: each
     query is looked up by one trigram of each of its two rarest keywords, which gives an exact
     superset; the relevance test then decides.  Queries with no counted word accept every
-    offer and are not looked up; see `accepts_everything`.  Both sides carry a salt, so one frequent
-    trigram is worked on by `salt` tasks.
+    offer and are not looked up; see `accepts_everything`.  A trigram that more than
+    `titles_per_task` titles hold is salted by its measured frequency, and only such a trigram.
     """
-    lowered = offers.select(F.col(offer_id), F.lower("title").alias("title_lower")).withColumn(
-        "salt", F.pmod(F.xxhash64(offer_id), F.lit(salt)).cast("int")
-    )
+    lowered = offers.select(F.col(offer_id), F.lower("title").alias("title_lower"))
     grams = lowered.select(
-        offer_id, "title_lower", "salt",
+        offer_id, "title_lower",
         F.explode(F.array_distinct(_trigrams(F.col("title_lower")))).alias("gram"),
     )
     keyed = queries.select(
@@ -268,13 +268,18 @@ def title_matches(
     pairs = rarest.groupBy(query_id).agg(
         F.first("keywords").alias("keywords"),
         F.transform(
-            F.slice(F.array_sort(F.collect_list("probe")), 1, 2), lambda p: p["gram"]
-        ).alias("probe_grams"),
-    ).withColumn("first_gram", F.get("probe_grams", 0))
+            F.slice(F.array_sort(F.collect_list("probe")), 1, 2), lambda p: p
+        ).alias("probes"),
+    ).withColumn("first_gram", F.get("probes", 0)["gram"])
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / titles_per_task)).cast("int")
     probed = pairs.select(
-        query_id, "keywords", "first_gram", F.explode(F.array_distinct("probe_grams")).alias("gram")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    candidates = probed.join(grams, ["gram", "salt"]).filter(
+        query_id, "keywords", "first_gram", F.inline(F.array_distinct("probes"))
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    hot = spread(frequency.filter(F.col("n") > titles_per_task).select("gram", parts.alias("parts")), "gram")
+    salted = grams.join(hot, "gram", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(offer_id), F.coalesce("parts", F.lit(1))).cast("int")
+    ).drop("parts")
+    candidates = probed.join(salted, ["gram", "salt"]).filter(
         (F.col("gram") == F.col("first_gram"))
         | ~F.contains(F.col("title_lower"), F.col("first_gram"))
     )

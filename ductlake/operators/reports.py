@@ -16,18 +16,32 @@ def row_totals(parsed: DataFrame) -> DataFrame:
     )
 
 
+def equal_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are equal in all columns as one, with their number in `weight`.
+
+    For counts by article or reason: lines are added up before they are parsed, and no line has to
+    meet its text again.
+    """
+    return lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _weight(df: DataFrame) -> Column:
+    return F.col("weight") if "weight" in df.columns else F.lit(1).cast("long")
+
+
 def article_distribution(parsed: DataFrame) -> DataFrame:
-    """Q7: order lines and pieces per article, most frequent first."""
+    """Q7: order lines and pieces per article, most frequent first; a column `weight` counts equal lines."""
+    weight = _weight(parsed)
     return (
         parsed.filter(F.col("status") == "order").groupBy("article")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("quantity").alias("pieces"))
+        .agg(F.sum(weight).alias("n_lines"), F.sum(F.col("quantity") * weight).alias("pieces"))
         .orderBy(F.desc("n_lines"), "article")
     )
 
 
 def reason_distribution(skipped: DataFrame) -> DataFrame:
-    """Q8: skipped lines per reason."""
-    return skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
+    """Q8: skipped lines per reason; a column `weight` counts equal lines."""
+    return skipped.groupBy("reason").agg(F.sum(_weight(skipped)).alias("n_lines"))
 
 
 def reconcile(manual: DataFrame, parsed: DataFrame, total_label: str = "Итого") -> DataFrame:

@@ -136,9 +136,12 @@ def price_items(skipped: DataFrame, keys: list[str] = []) -> DataFrame:
     """Skipped lines of both kinds to distinct items for the price search.
 
     Lines with a `raw_name` come from the equipment mapping, the others from the specification.
-    Duplicates fall away in the aggregation, before rows are exchanged, and only distinct items are
-    typed.
+    Rows as given fall together first, before rows are exchanged, so that texts and numbers are
+    cleaned once per different row; then cleaned ones do, and only distinct items are typed.
     """
+    used = [c for c in ("raw_name", "name", "model", "size", "unit", "quantity") if c in skipped.columns and c not in keys]
+    skipped = skipped.select(*keys, *used).distinct()
+
     def have(name: str) -> Column:
         return F.col(name).cast("string") if name in skipped.columns else F.lit(None).cast("string")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import articles, classify, size, text
-from ductlake.session import spread
+from ductlake.session import broadcast_checked, spread
 
 # Column -> default used when the input has no such column at all.
 OPTIONAL_INPUTS = {"name": "", "size": "", "unit": "", "quantity": "0"}
@@ -316,7 +316,7 @@ def with_material_check(lines: DataFrame, materials: DataFrame | None) -> DataFr
     wrong = (F.size("material_codes") > 0) & ~F.array_contains("material_codes", F.col("wanted_code"))
     first = F.get(F.col("material_codes"), 0)
     return (
-        lines.join(allowed, "parsed_article", "left")
+        lines.join(broadcast_checked(allowed), "parsed_article", "left")
         .withColumns({
             "material_code": F.when(wrong, first).otherwise(F.col("wanted_code")),
             "material_warning": F.when(
@@ -336,7 +336,7 @@ def with_allowed_check(lines: DataFrame, allowed: DataFrame | None) -> DataFrame
     if allowed is None:
         return lines.withColumn("is_allowed", F.col("parsed_article").isNotNull())
     listed = allowed.select(F.col("article").alias("parsed_article")).withColumn("is_allowed", F.lit(True))
-    return lines.join(listed, "parsed_article", "left").withColumn(
+    return lines.join(broadcast_checked(listed), "parsed_article", "left").withColumn(
         "is_allowed", F.coalesce("is_allowed", F.lit(False))
     )
 

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def write_orders(documents: DataFrame, path: str) -> None:
+    """K1: order documents as a table, in ranges of order_id; the form for many orders."""
+    documents.repartitionByRange("order_id", "fragment_no").write.mode("overwrite").parquet(path)
+
+
 def write_order_xml(documents: DataFrame, path: str) -> None:
     """K1: one folder per order; its files put together in name order are the document.
 
+    For handing over a moderate number of orders; `write_orders` makes no folder per order.
     An order of ordinary length is one file.  Rows are range-partitioned by order and fragment, so a
     very long order is written by several tasks.
     """
@@ -29,6 +35,7 @@ def append_history(offers: DataFrame, path: str) -> None:
     """K3: add kept offers with their item to the history, by day of reading; nothing for none."""
     (
         offers.withColumn("scraped_on", F.to_date("scraped_at"))
+        .repartitionByRange("scraped_on", "scraped_at")  # few files a day, and a full day in several tasks
         .write.mode("append").partitionBy("scraped_on").parquet(path)
     )
 

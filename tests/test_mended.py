@@ -2,11 +2,13 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ductlake.functions import formatting, text
-from ductlake.operators import export, grid, reports, running
+from ductlake.operators import catalogue, equipment, export, grid, reports, running, spec_lines
 from ductlake.sources import dimensions as dim
+from ductlake.sinks import writers
 from ductlake.sources import offer_pages, spec_files
 
 
@@ -75,3 +77,33 @@ def test_folder_of_specifications(spark, tmp_path):
     lines, bad = spec_files.read_spec_files(spark, str(tmp_path))
     assert sorted((r["name"], r["size"], r["quantity"]) for r in lines.collect()) == [("Воздуховод", "", 4.0), ("Отвод\nкрутой", "D160", 3.0), ("Тройник", "D200", 2.0)]
     assert [r.doc_id.rsplit("/", 1)[-1] for r in bad.collect()] == ["c.xlsx"]
+
+
+def test_a_large_catalogue_is_joined_to_the_same_result(spark, monkeypatch):
+    products = spark.range(300).selectExpr("id as catalogue_pos", "concat('a', id) as article", "'round' as section", "concat('Отвод круглый ', id % 40) as name")
+    texts = spark.range(60).selectExpr("concat('Отвод ', id, ' круглый D160') as description")
+    found = lambda: sorted(tuple(r) for r in catalogue.match_descriptions(texts, products, top_n=3, with_similarity=False).collect())
+    whole = found()
+    monkeypatch.setattr(catalogue, "PIECE", 20)
+    monkeypatch.setattr(catalogue, "BROADCAST_PIECES", 1)
+    assert found() == whole and len(whole) == 180
+
+
+def test_equal_lines_count_as_many(spark):
+    lines = spark.createDataFrame([("Воздуховод", "160", "шт", "2")] * 3 + [("Узел", "", "шт", "1")] * 2, "name string, size string, unit string, quantity string")
+    apart, together = (spec_lines.parse_spec_lines(x, dim.builtin_allowed(spark), dim.builtin_materials(spark)) for x in (lines, reports.equal_lines(lines)))
+    assert reports.article_distribution(apart).collect() == reports.article_distribution(together).collect()
+    of = lambda parsed: reports.reason_distribution(parsed.where("status = 'skipped'")).collect()
+    assert of(apart) == of(together) and of(together)[0].n_lines == 2
+
+
+def test_too_many_rules_are_an_error(spark):
+    rules = spark.range(equipment.MAX_RULES + 1).selectExpr("id as priority")
+    with pytest.raises(ValueError):
+        equipment.rules_from(rules)
+
+
+def test_order_documents_as_a_table(spark, tmp_path):
+    documents = spark.range(9).selectExpr("id % 3 as order_id", "id as fragment_no", "1 as n_lines", "'x' as xml")
+    writers.write_orders(documents, str(tmp_path / "orders"))
+    assert spark.read.parquet(str(tmp_path / "orders")).count() == 9 and not list((tmp_path / "orders").glob("order_id=*"))
