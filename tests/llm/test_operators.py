@@ -276,6 +276,44 @@ def test_nearest(spark):
     assert neighbours.nearest(both.limit(0), "id % 20 = 0").count() == 0
 
 
+def plain_nearest(ids, matrix, query, k=20):
+    scores = (matrix * matrix[query]).sum(axis=1)
+    return [ids[j] for j in np.lexsort((ids, -scores)) if j != query][:k]
+
+
+def found_in(matrix, queries, share):
+    ids = np.arange(len(matrix))
+    found = collections.defaultdict(list)
+    for query, row, _ in zip(*neighbours.search(matrix, ids, matrix[queries], queries, 20, neighbours.TREES, share)):
+        found[query].append(row)
+    return found
+
+
+def test_nearest_misses_nothing():
+    rng = np.random.default_rng(3)
+    few, shard, wide = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal(shape) for shape in ((300, 64), (8192, 64), (700, 768))))
+    long_rows = np.where(rng.random((8192, 1)) < 0.01, 5.0, 1.0)
+    one_hot = np.eye(64)[rng.integers(0, 64, 900)]
+    for matrix in (few, shard, shard * long_rows, shard * np.exp(rng.standard_normal((8192, 1))), wide, one_hot, few[:20], few[:21], few[:2], few[:1]):
+        queries = np.arange(0, len(matrix), max(1, len(matrix) // 100))
+        found = found_in(matrix, queries, neighbours.SHARE)
+        assert all(found[q] == plain_nearest(np.arange(len(matrix)), matrix, q) for q in queries)
+    approximate = found_in(few, np.arange(300), 0.7)
+    assert sum(len(set(approximate[q]) & set(plain_nearest(np.arange(300), few, q))) for q in range(300)) > 0.9 * 300 * 20
+
+
+def test_nearest_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 150)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 60)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = sorted(table.collect())
+    ids, matrix = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(table, "id % 3 = 0").collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.vec_id)
+    assert {q: v for q, v in found.items()} == {ids[i]: plain_nearest(ids, matrix, i) for i in range(len(ids)) if ids[i] % 3 == 0}
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50_000, 1 << 31, 1 << 60, (1 << 64) - 1])
 def test_simple8b_round_trip(top):
     rng = np.random.default_rng(top % 97)
