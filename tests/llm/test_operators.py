@@ -360,6 +360,25 @@ def test_language(spark, awkward):
     assert {r.lang_pred for r in language.identify_languages(awkward, language.fit(awkward.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_keeps_its_letters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    alphabet = [chr(0x4E00 + i) for i in range(300)]
+    samples = {f"l{i}": ["".join(alphabet[j] if j % 9 else " " for j in rng.integers(i * 20, i * 20 + 160, 900))] for i in range(7)}
+    texts = [t for i in range(7) for t in (samples[f"l{i}"][0][:300], samples[f"l{i}"][0][200:] * 4)] + [None, "", "12"]
+    whole = language.train(samples, letters=800)
+    assert [round(2 ** c) for c in whole.costs] == [801] * 7 and whole.tables is not None
+    for table_bytes in (1, 3 * 8 * whole.width * 801, 192 << 20):
+        model = language.train(samples, letters=800, table_bytes=table_bytes)
+        assert (model.costs == whole.costs).all() and language.judge(texts, model) == language.judge(texts, whole)
+        with monkeypatch.context() as limits:
+            for name, value in (("LANE", 64), ("LANES", 3), ("HELD_LANES", 7), ("COUNTS", 20)):
+                limits.setattr(language, name, value)
+            cut = language.judge(texts, model)
+        assert cut[0] == language.judge(texts, whole)[0]
+    many = spark.range(450).selectExpr("id as doc_id", "concat('wort', id, ' der die das') as text", "concat('label', id) as lang")
+    assert len(language.fit(many).languages) == 450
+
+
 def test_pipeline(spark, awkward, documents):
     for table in (awkward, documents.limit(0), documents):
         docs = table
