@@ -19,8 +19,10 @@ from ductlake.llm.work import keep
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without a letter go."""
+    """Documents in a known language, or all if none is labelled; null texts and texts without a letter go."""
     model = language.fit(docs.where(F.coalesce(remainder(5) != 0, F.lit(True))))
+    if model is None:
+        return language.with_letters(docs)
     whole = docs.select(F.struct("*").alias("row_"), "text")
     return language.identify_languages(whole, model).where(F.col("lang_pred") != language.UNKNOWN).select("row_.*")
 

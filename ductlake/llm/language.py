@@ -280,6 +280,17 @@ def fit(labelled: DataFrame, rows: int = ROWS, letters: int = LETTERS) -> Model
     return train({lang: [t for _, t in sorted(texts)] for lang, texts in found.items()}, letters, counts=counts)
 
 
+def with_letters(documents: DataFrame) -> DataFrame:
+    """The rows whose text has a letter: those that a model gives a language, whichever it is."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def identify_languages(documents: DataFrame, model: Model | None) -> DataFrame:
     """`documents` with lang_pred and score (by how much the best language is cheaper than the next, 0 to 1).
 

@@ -379,6 +379,13 @@ def test_every_language_keeps_its_letters(spark, monkeypatch):
     assert len(language.fit(many).languages) == 450
 
 
+def test_texts_with_letters_stay_if_nothing_is_labelled(spark, awkward):
+    bare = awkward.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, bare, SF)
+    assert kept.columns == awkward.columns
+    assert collections.Counter(r.text for r in kept.collect()) == collections.Counter(t for t in TEXTS if any(c.isalpha() for c in t or ""))
+
+
 def test_pipeline(spark, awkward, documents):
     for table in (awkward, documents.limit(0), documents):
         docs = table
