@@ -13,6 +13,8 @@ HEADER_FIELDS = ["numberDate", "numberOrder", "INN", "customer", "email", "phone
 MAX_EXPRESSION_RULES = 500
 # Lines that are put together at once while a document is built.
 FRAGMENT_LINES = 20_000
+# Bytes of an order that is put together in one value; Spark's values hold 2 GB at most.
+WHOLE_BYTES = 256 << 20
 
 
 def rules_with_expressions(products: DataFrame) -> list[dict]:
@@ -94,22 +96,36 @@ def product_row_xml(section: str = "section"):
     )
 
 
+def whole_documents(fragments: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Fragments of `order_xml` put together, one row an order.
+
+    The bytes of an order are added up first.  An order above `max_bytes` (`WHOLE_BYTES` if not given)
+    raises an error before its fragments meet in one task: such orders are written as fragments.
+    """
+    limit = WHOLE_BYTES if max_bytes is None else max_bytes
+    sizes = fragments.groupBy("order_id").agg(F.sum(F.octet_length("xml").cast("long")).alias("bytes"))
+    too_large = sizes.where(F.col("bytes") > limit).orderBy(F.desc("bytes")).limit(1).collect()
+    if too_large:
+        order, size = too_large[0]
+        raise ValueError(f"order {order} has {size} bytes of XML, more than {limit}; write its fragments instead")
+    return fragments.groupBy("order_id").agg(
+        F.min("fragment_no").alias("fragment_no"), F.sum("n_lines").cast("int").alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment_no", "xml"))), lambda p: p["xml"]), "").alias("xml"),
+    )
+
+
 def order_xml(
     lines: DataFrame, headers: DataFrame | None = None, fragment_lines: int | None = None
 ) -> DataFrame:
     """K1: order documents as (order_id, fragment_no, n_lines, xml).
 
     `lines` come from `with_characteristic` and have order_id and line_no; lines with an error are
-    left out.  An order is one document of any number of lines, in one row (a value holds 2 GB at
-    most).  A caller that gives `fragment_lines` gets a stream of fragments instead, cut by line
-    number, which put together in order are the document.  Orders without a line produce nothing.
+    left out.  A caller that gives `fragment_lines` gets fragments, cut by line number, which put
+    together in order are the document; no task holds an order.  Without it an order is one document
+    in one row (`whole_documents`), an error above `WHOLE_BYTES`.  Orders without a line produce nothing.
     """
     if fragment_lines is None:
-        parts = order_xml(lines, headers, FRAGMENT_LINES)
-        return parts.groupBy("order_id").agg(
-            F.min("fragment_no").alias("fragment_no"), F.sum("n_lines").cast("int").alias("n_lines"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment_no", "xml"))), lambda p: p["xml"]), "").alias("xml"),
-        )
+        return whole_documents(order_xml(lines, headers, FRAGMENT_LINES))
     good = lines.filter(F.col("error").isNull())
     parts = good.select(
         "order_id",

@@ -34,7 +34,8 @@ def process_spec_lines(
     """Specification lines with order_id and line_no -> orders, skipped lines, XML.
 
     The classified lines feed several outputs; a caller who writes more than one of them should
-    persist `parsed` or write it as a table first.
+    persist `parsed` or write it as a table first.  `documents` are fragments (order_id, fragment_no),
+    one for an ordinary order; `export.whole_documents` puts those of moderate orders together.
     """
     spark: SparkSession = lines.sparkSession
     allowed = dim.builtin_allowed(spark) if allowed is None else allowed
@@ -44,7 +45,7 @@ def process_spec_lines(
     parsed = spec_lines.parse_spec_lines(lines, checked, materials, defaults)
     orders = spec_lines.order_lines(parsed, "order_id", "line_no")
     skipped = spec_lines.skipped_lines(parsed, "order_id", "line_no")
-    documents = export.order_xml(export.with_characteristic(orders, products), headers)
+    documents = export.order_xml(export.with_characteristic(orders, products), headers, export.FRAGMENT_LINES)
     return SpecResult(parsed, orders, skipped, documents)
 
 

@@ -62,6 +62,13 @@ def test_an_order_is_one_document_of_any_length(spark):
     assert found[0].xml.startswith("<?xml") and found[0].xml.rstrip().endswith("</Order>")
 
 
+def test_an_order_too_large_for_one_value_is_an_error(spark):
+    fragments = spark.createDataFrame([(1, 0, 2, "ab"), (1, 1, 1, "я"), (2, 0, 1, "c")], "order_id int, fragment_no long, n_lines int, xml string")
+    assert sorted((r.order_id, r.n_lines, r.xml) for r in export.whole_documents(fragments, 4).collect()) == [(1, 3, "abя"), (2, 1, "c")]
+    with pytest.raises(ValueError, match="order 1 has 4 bytes"):
+        export.whole_documents(fragments, 3)
+
+
 def test_folder_of_specifications(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Наименование;Размер;Ед;Количество\n"Отвод\nкрутой";D160;шт;3\n', encoding="utf-8-sig")
     (tmp_path / "b.csv").write_text("Ед;Изделие;Количество;Наименование;Размер\nшт;;2;Тройник;D200\n", encoding="utf-8")
