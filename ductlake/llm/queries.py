@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ductlake.llm import exact_dedup, language, mixing, neighbours, packing, ppm, quality, simhash, simple8b, urls
+from ductlake.llm import exact_dedup, language, lexical, licences, mixing, neighbours, packing, ppm, quality, simhash, simple8b, spelling, urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,12 +72,45 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    scanned = licences.licence_scan(table(spark, sf, "documents"))
+    return scanned.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_source_mixing, op4_quality_classifier, op5_exact_dedup,
     op6_lm_scoring, op7_url_filter, op8_nearest_neighbours, op9_id_files, op10_language_id,
+    op11_licence_scan, op12_spelling_variants, op13_lexical_search,
 )}
 
 ORACLE = {
+    "op13_lexical_search": r"""
+WITH found AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms FROM documents),
+sized AS (SELECT row, doc_id, terms, len(terms) AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sized),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+counts AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM counts WHERE term IN (SELECT term FROM items) GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, totals),
+scores AS (
+  SELECT i.item_id, c.row, c.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM items AS i JOIN counts AS c USING (term) JOIN weights AS w USING (term), totals GROUP BY i.item_id, c.row, c.doc_id)
+SELECT item_id, CAST(row_number() OVER same AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW same AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER same <= 10
+""",
     "op3_source_mixing": """
 WITH sizes AS (
   SELECT source, CAST(sum(greatest(1, coalesce(length(text), 0))) AS BIGINT) AS size FROM documents GROUP BY source),
