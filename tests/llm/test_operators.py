@@ -281,37 +281,95 @@ def plain_nearest(ids, matrix, query, k=20):
     return [ids[j] for j in np.lexsort((ids, -scores)) if j != query][:k]
 
 
-def found_in(matrix, queries, share):
-    ids = np.arange(len(matrix))
+def found_by(spark, ids, matrix, query_filter, **options):
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(matrix)}), "vec_id long, embedding array<double>")
     found = collections.defaultdict(list)
-    for query, row, _ in zip(*neighbours.search(matrix, ids, matrix[queries], queries, 20, neighbours.TREES, share)):
-        found[query].append(row)
+    for r in sorted(neighbours.nearest(table, query_filter, **options).collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.vec_id)
     return found
 
 
-def test_nearest_misses_nothing():
+def recall_of(found, ids, matrix, queries):
+    places = {i: n for n, i in enumerate(ids.tolist())}
+    hits = sum(len(set(found[ids[q]]) & {ids[j] for j in plain_nearest(np.arange(len(ids)), matrix, q)}) for q in queries)
+    assert len(places) == len(ids)
+    return hits / sum(min(20, len(ids) - 1) for _ in queries)
+
+
+def made_vectors():
     rng = np.random.default_rng(3)
-    few, shard, wide = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal(shape) for shape in ((300, 64), (8192, 64), (700, 768))))
-    long_rows = np.where(rng.random((8192, 1)) < 0.01, 5.0, 1.0)
-    one_hot = np.eye(64)[rng.integers(0, 64, 900)]
-    for matrix in (few, shard, shard * long_rows, shard * np.exp(rng.standard_normal((8192, 1))), wide, one_hot, few[:20], few[:21], few[:2], few[:1]):
-        queries = np.arange(0, len(matrix), max(1, len(matrix) // 100))
-        found = found_in(matrix, queries, neighbours.SHARE)
-        assert all(found[q] == plain_nearest(np.arange(len(matrix)), matrix, q) for q in queries)
-    approximate = found_in(few, np.arange(300), 0.7)
-    assert sum(len(set(approximate[q]) & set(plain_nearest(np.arange(300), few, q))) for q in range(300)) > 0.9 * 300 * 20
+    unit, wide = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal(shape) for shape in ((4096, 64), (1500, 768))))
+    centres = rng.standard_normal((40, 64))
+    return {
+        "unit": unit, "some of norm 5": unit * np.where(rng.random((4096, 1)) < 0.01, 5.0, 1.0), "log-normal norms": unit * np.exp(rng.standard_normal((4096, 1))),
+        "768 dimensions": wide, "clusters": centres[rng.integers(0, 40, 4096)] + 0.1 * rng.standard_normal((4096, 64)), "one hot": np.eye(64)[rng.integers(0, 64, 900)],
+    }
+
+
+@pytest.mark.parametrize("name", list(made_vectors()))
+def test_forest_recall(spark, monkeypatch, name):
+    monkeypatch.setattr(neighbours, "SHARD", 1500)
+    matrix = made_vectors()[name]
+    ids = np.arange(len(matrix))
+    found = found_by(spark, ids, matrix, "id % 41 = 0")
+    recall = recall_of(found, ids, matrix, ids[::41])
+    print(name, recall)
+    assert recall >= 0.93
+    exact = found_by(spark, ids, matrix, "id % 410 = 0", recall=1)
+    assert all(exact[q] == plain_nearest(ids, matrix, q) for q in ids[::410])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_forest_recall_of_given_vectors(spark, sf):
+    rows = sorted(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, matrix = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = found_by(spark, ids, matrix, "true")
+    for step in (1, 20):
+        queries = [i for i in range(len(ids)) if ids[i] % step == 0]
+        recall = recall_of(found, ids, matrix, queries)
+        print(sf, step, recall)
+        assert recall >= 0.93
+
+
+def test_forest_meets_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    matrix = rng.standard_normal((200, 64))[rng.integers(0, 200, 8000)] + 0.05 * rng.standard_normal((8000, 64))
+    norm = np.linalg.norm(matrix, axis=1).max()
+    shard = neighbours.Shard(matrix, np.arange(8000), norm, 20, neighbours.TREES)
+    asked = neighbours.hash_strings(np.column_stack([matrix[:100] / np.linalg.norm(matrix[:100], axis=1, keepdims=True), np.zeros(100)]), shard.planes)
+    lengths = []
+    for q in range(100):
+        cosine = np.sort(matrix @ matrix[q])[-21] / (np.linalg.norm(matrix[q]) * norm)
+        lengths.append(neighbours.prefix_length(np.arccos(cosine), neighbours.TREES, neighbours.RECALL))
+    low, high = shard.under(asked, np.array(lengths))
+    met = [len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(shard.orders, low[:, q], high[:, q])]))) for q in range(100)]
+    assert np.mean(met) < 0.1 * 8000
+
+
+def test_prefix_length_is_what_the_columns_compute(spark):
+    assert neighbours.prefix_length(0.0, 32, 0.95) == neighbours.BITS and neighbours.prefix_length(np.pi, 32, 0.95) == 0 and neighbours.prefix_length(1.0, 32, 1) == 0
+    share = 1 - (1 - (1 - 1.13 / np.pi) ** neighbours.prefix_length(1.13, 32, 0.95)) ** 32
+    assert 0.95 <= share < 1
 
 
 def test_nearest_over_several_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    matrix = rng.standard_normal((500, 12))
+    ids = rng.permutation(500)
+    matrix[17] = matrix[40]
+    exact = {ids[i]: [ids[j] for j in np.lexsort((ids, -(matrix * matrix[i]).sum(axis=1))) if j != i][:20] for i in range(500) if ids[i] % 3 == 0}
     monkeypatch.setattr(neighbours, "SHARD", 150)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 60)
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
-    rows = sorted(table.collect())
-    ids, matrix = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    found = collections.defaultdict(list)
-    for r in sorted(neighbours.nearest(table, "id % 3 = 0").collect(), key=lambda r: r["rank"]):
-        found[r.query_id].append(r.vec_id)
-    assert {q: v for q, v in found.items()} == {ids[i]: plain_nearest(ids, matrix, i) for i in range(len(ids)) if ids[i] % 3 == 0}
+    assert found_by(spark, ids, matrix, "id % 3 = 0", recall=1) == exact
+
+
+def test_repeated_ids_have_one_answer(spark):
+    rows = [(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (3, [0.1, 1.0])]
+    for parts in (1, 2, 3, 4):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(table, "id = 1", k=1).collect())
+        assert found == [(1, 1, 3, 1.0)]
 
 
 @pytest.mark.parametrize("top", [1, 2, 300, 50_000, 1 << 31, 1 << 60, (1 << 64) - 1])
