@@ -21,19 +21,20 @@ def header_mask(normalised: Column) -> Column:
     return mask
 
 
-def map_headers(headers: list[str]) -> dict[str, str]:
-    """Column name -> target for one table's headers, each target given once, left to right."""
+def header_targets(headers: list[str]) -> list[str | None]:
+    """The target of each of one table's columns, or None; each target is given once, left to right."""
     import re
 
-    mapping: dict[str, str] = {}
-    free = list(TARGETS)
+    out: list[str | None] = []
     for header in headers:
         name = re.sub(r"\s+", " ", re.sub(r"[._\\/|-]+", " ", header.lower().strip().replace("ё", "е")))
-        target = next((t for t in free if any(k in name for k in fv.HEADER_KEYWORDS[t])), None)
-        if target:
-            mapping[header] = target
-            free.remove(target)
-    return mapping
+        out.append(next((t for t in TARGETS if t not in out and any(k in name for k in fv.HEADER_KEYWORDS[t])), None))
+    return out
+
+
+def map_headers(headers: list[str]) -> dict[str, str]:
+    """Column name -> target for one table's headers."""
+    return {h: t for h, t in zip(headers, header_targets(headers)) if t}
 
 
 def map_header_cells(cells: DataFrame, keys: list[str]) -> DataFrame:

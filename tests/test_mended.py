@@ -114,3 +114,63 @@ def test_order_documents_as_a_table(spark, tmp_path):
     documents = spark.range(9).selectExpr("id % 3 as order_id", "id as fragment_no", "1 as n_lines", "'x' as xml")
     writers.write_orders(documents, str(tmp_path / "orders"))
     assert spark.read.parquet(str(tmp_path / "orders")).count() == 9 and not list((tmp_path / "orders").glob("order_id=*"))
+
+
+SHEET_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def write_sheet(path, rows):
+    cell = lambda t: f'<c t="inlineStr"><is><t>{t}</t></is></c>'
+    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {SHEET_NS}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_no_column_is_lost_to_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Наименование;"Ед.\nизм.";Количество\n"Отвод";"ш\nт";5\n', encoding="utf-8")
+    lines, bad = spec_files.read_spec_files(spark, str(tmp_path))
+    assert [(r["name"], r["unit"], r["quantity"]) for r in lines.collect()] == [("Отвод", "ш\nт", 5.0)] and bad.count() == 0
+
+
+def test_every_file_gives_lines_or_an_error(spark, tmp_path):
+    text = "Наименование;Размер;Ед;Количество\nВоздуховод;{};м;{}\n"
+    (tmp_path / "a.csv").write_text(text.format("D100", 1), encoding="utf-8-sig")
+    (tmp_path / "b.tsv").write_text(text.format("D200", 2).replace(";", "\t"), encoding="utf-8")
+    (tmp_path / "c.dat").write_text(text.format("D300", 3), encoding="utf-8")
+    (tmp_path / "noname").write_text(text.format("D400", 4) + "Отвод;D100;шт;1;лишнее\n\n;;;\nОтвод;D125\n", encoding="utf-8")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.txt").write_text("Количество;Пусто;Наименование\n7;;Тройник\n", encoding="utf-8")
+    write_sheet(tmp_path / "e.xlsx", [["Наименование", "Количество"], ["Заглушка", "5"]])
+    write_sheet(tmp_path / "f.XLSM", [["", "Проект"], ["Поз.", "Наименование и техническая характеристика", "Ед. изм.", "Кол-во"], ["1", "Воздуховод D160", "м.", "4,5"], ["2", "воздуховод  d160", "м", "9"]])
+    (tmp_path / "g.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    (tmp_path / "h.pdf").write_bytes(b"%PDF-1.4\n\xff\xfe\x00")
+    (tmp_path / "i.csv").write_text("", encoding="utf-8")
+    (tmp_path / "j.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / ".hidden.csv").write_text(text.format("D500", 5), encoding="utf-8")
+    lines, bad = spec_files.read_spec_files(spark, str(tmp_path))
+    got = sorted((r.doc_id.rsplit("/", 1)[-1], r["name"], r["size"], r["unit"], r["quantity"]) for r in lines.collect())
+    assert got == [
+        ("a.csv", "Воздуховод", "D100", "м", 1.0), ("b.tsv", "Воздуховод", "D200", "м", 2.0), ("c.dat", "Воздуховод", "D300", "м", 3.0),
+        ("d.txt", "Тройник", "", "шт", 7.0), ("e.xlsx", "Заглушка", "", "шт", 5.0), ("f.XLSM", "Воздуховод D160", "", "м", 4.5),
+        ("noname", "Воздуховод", "D400", "м", 4.0), ("noname", "Отвод", "D100", "шт", 1.0), ("noname", "Отвод", "D125", "м", 0.0),
+    ]
+    errors = {r.doc_id.rsplit("/", 1)[-1]: (r.row_no, r.error) for r in bad.collect()}
+    assert errors.keys() == {"noname", "g.xls", "h.pdf", "i.csv", "j.xlsx"}
+    assert errors["noname"] == (2, "row 2 has 5 fields, its header 4") and errors["i.csv"] == (None, "no header row") and "UnicodeDecodeError" in errors["h.pdf"][1]
+    one_by_one = spec_files.read_spec_rows(spark, [f"file://{tmp_path}"], partition_bytes=1)
+    assert one_by_one.rdd.getNumPartitions() == 11 and one_by_one.where("kind <> 'error'").count() == 12
+    with pytest.raises(Exception, match="FileNotFound|nowhere"):
+        spec_files.read_spec_rows(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_reading_files_needs_no_exchange_for_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Наименование;Количество\nОтвод;1\n", encoding="utf-8")
+    plan = spec_files.read_spec_rows(spark, str(tmp_path)).where("kind = 'table'")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_quote_that_never_ends_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('Наименование;Количество\nОтвод;1\n"Тройник;' + "x" * (17 << 20), encoding="utf-8")
+    lines, bad = spec_files.read_spec_files(spark, str(tmp_path))
+    assert [r["name"] for r in lines.collect()] == ["Отвод"] and "field larger than field limit" in bad.first().error
