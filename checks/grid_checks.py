@@ -334,10 +334,9 @@ def _characteristic_sql() -> tuple[str, str]:
     source = {"A0": "pa0", "A1": "pa1", "A2": "pa2", "B0": "pb0", "B1": "pb1", "B2": "pb2", "D0": "pd0", "D1": "pd1",
               "D2": "pd2", "L0": "pl0", "L1": "pl1", "L2": "pl2", "P0": "pp0", "R0": "pr0", "U0": "pu0"}
     texts, errors = [], []
-    for line in fv.ARTICLE_TABLE.strip().splitlines():
-        article, _, _, params, _ = line.split("|")
+    for article, _, _, params, _ in fv.ARTICLES:
         parts, missing = [], []
-        for p in params.split():
+        for p in params:
             value = "100" if fv.FORCED_PARAMS.get(article, {}).get(p) else source[p]
             number = f"CAST(round_even({value}, 0) AS BIGINT)"
             shown = f"printf('%04d', {number})" if p[0] in "DABLP" else f"CAST({number} AS VARCHAR)"
@@ -352,9 +351,9 @@ def _characteristic_sql() -> tuple[str, str]:
 
 
 _CH_TEXT, _CH_MISSING = _characteristic_sql()
-_NAMES = ", ".join(f"('{a}', '{n}')" for a, _, n, _, _ in (line.split("|") for line in fv.ARTICLE_TABLE.strip().splitlines()))
+_NAMES = ", ".join(f"('{a}', '{n or ''}')" for a, _, n, _, _ in fv.ARTICLES)
 _PRODUCTS = ", ".join(
-    f"({i}, '{a}', '{s or 'round'}', '{n}')" for i, (a, s, n, _, _) in enumerate(line.split("|") for line in fv.ARTICLE_TABLE.strip().splitlines())
+    f"({i}, '{a}', '{s or 'round'}', '{n or ''}')" for i, (a, s, n, _, _) in enumerate(fv.ARTICLES)
 )
 _NORM = "trim(regexp_replace(regexp_replace(replace(lower({0}), 'ё', 'е'), '[^a-zа-я0-9x*×х/\\-. ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _DESC = fx.for_oracle(_DESCRIPTION)
@@ -363,7 +362,7 @@ _D0 = o.num(_DX, r"(?i)(?:d|dn|ф)\s*([0-9]+)")
 _A0 = o.num(_DX, r"(?i)([0-9]{2,4})\s*x\s*([0-9]{2,4})", 1)
 _BARE = o.num(f"trim({_DX})", rf"(?:^|{_NW})([0-9]{{2,4}})\s*$")
 _ROUND = f"coalesce({_D0}, CASE WHEN {_A0} IS NULL AND {_BARE} BETWEEN 50 AND 1600 THEN {_BARE} END)"
-_WORD_SCORE = " + ".join(f"CASE WHEN contains(norm, '{w}') AND contains(pn, '{w}') THEN 3.0 ELSE 0.0 END" for w in fv.MATCH_WORDS)
+_WORD_SCORE = " + ".join(f"CASE WHEN contains(norm, '{w}') AND contains(pn, '{w}') THEN 3.0 ELSE 0.0 END" for w in [*fv.DUCT_WORDS, *fv.FITTING_WORDS])
 
 
 def _xml(tag: str, value: str, pad: int) -> str:

@@ -167,8 +167,8 @@ _LOW = "translate(lower(token), 'х×*', 'xxx')"
 _RS = r"^([0-9]{2,5})\s*x\s*([0-9]{2,5})(?:\s*[x_-]\s*([0-9]{2,5}))?$"
 _LS = r"^(?:d|dn|ф)\s*([0-9]{2,5})\s*[-_]\s*([0-9]{2,5})$"
 _CS = r"^(?:d|dn|ф)?\s*([0-9]{2,5})$"
-_LISTED = ", ".join(f"('{line.split('|')[0]}')" for line in fv.ARTICLE_TABLE.strip().splitlines())
-_CODES = ", ".join(f"('{a}', '{c}')" for c, names in fv.ARTICLE_MATERIALS.items() for a in names.split())
+_LISTED = ", ".join(f"('{article}')" for article, *_ in fv.ARTICLES)
+_CODES = ", ".join(f"('{a}', '{','.join(codes)}')" for a, codes in fv.ARTICLE_MATERIALS.items())
 
 ORACLE = {
     "spec_order_lines": f"""WITH {o.parsed(_LINE)}

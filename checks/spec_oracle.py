@@ -177,8 +177,8 @@ def parsed(base: str) -> str:
     rect_size = r"^([0-9]{2,5})\s*x\s*([0-9]{2,5})(?:\s*[x_-]\s*([0-9]{2,5}))?$"
     long_size = r"^(?:d|dn|ф)\s*([0-9]{2,5})\s*[-_]\s*([0-9]{2,5})$"
     circ_size = r"^(?:d|dn|ф)?\s*([0-9]{2,5})$"
-    codes = ", ".join(f"('{a}', '{c}')" for c, names in fv.ARTICLE_MATERIALS.items() for a in names.split())
-    allowed = ", ".join(f"('{line.split('|')[0]}')" for line in fv.ARTICLE_TABLE.strip().splitlines())
+    codes = ", ".join(f"('{a}', '{','.join(codes)}')" for a, codes in fv.ARTICLE_MATERIALS.items())
+    allowed = ", ".join(f"('{article}')" for article, *_ in fv.ARTICLES)
 
     def short(name: str) -> str:
         return f"CASE WHEN article IN {name}"

@@ -16,7 +16,6 @@ DEFAULT_ADAPTER_L1_MM = 50.0
 DEFAULT_MIN_OFFERS = 3
 DEFAULT_MAX_AGE_DAYS = 7
 DEFAULT_XML_THICKNESS = "0.7"
-OCR_MIN_RECT_SIDE = 100
 
 # --- Units -----------------------------------------------------------------------------------
 
@@ -179,9 +178,10 @@ DESIGNATION_VARIABLES = {
 
 ROUND_HINTS = ["кругл", "кр", "ф", "d", "dn"]
 RECT_HINTS = ["прямоуг", "прям", "п"]
-MATCH_WORDS = [
-    "прямошовн", "спираль", "навивн", "фланец", "отвод", "переход", "тройник", "заглушка",
-    "врезка", "насадок", "крестовина", "пленум", "шумоглуш", "диффузор", "решетк",
+DUCT_WORDS = ["прямошовн", "спираль", "навивн"]
+FITTING_WORDS = [
+    "фланец", "отвод", "переход", "тройник", "заглушка", "врезка", "насадок", "крестовина", "пленум",
+    "шумоглуш", "диффузор", "решетк",
 ]
 
 # --- Price search ------------------------------------------------------------------------------------
@@ -208,11 +208,6 @@ SITE_SELECTORS = [
     ("airvek", "https://www.airvek.ru", "/index.php?route=product/search", "search",
      ".product-layout", ".caption h4 a", ".price", None),
 ]
-# Search listings: engine, base url, query parameter, hit selector.
-SEARCH_LISTINGS = [
-    ("yandex", "https://yandex.ru/search/", "text", ".serp-item"),
-    ("google", "https://www.google.com/search", "q", "div.g"),
-]
 
 # --- Equipment rules -----------------------------------------------------------------------------------
 # Order is priority.  The first dimension pattern of every rule is the AxB one unless stated.
@@ -287,169 +282,298 @@ SKIP_KEYWORDS = [
     "кронштейн", "смесительный узел", "регулятор скорости", "подставка",
 ]
 
-# --- Catalogue: article|section|name|parameters in order|provenance of the parameters ------------------
+# --- Catalogue: (article, section, name, parameters in order, provenance of the parameters) -------------
 # "recovered" parameter lists are documented ones; "derived" lists are the keys the classifier emits.
 
-ARTICLE_TABLE = """
-1-1-1|round|Воздуховод круглого сечения прямошовный|D0 L0|recovered
-1-1-2|round|Воздуховод круглого сечения спирально-навивной|D0 L0|recovered
-1-1-3|round|||
-1-2-1|rectangular|Воздуховод прямоугольного сечения|A0 B0 L0|recovered
-1-2-2|rectangular|||
-2-1-1|round|Отвод круглого сечения|D0 R0 U0|recovered
-2-1-2|round|Отвод круглого сечения конический|D0 R0 U0|derived
-2-1-3|round|Отвод круглого сечения гофрированный|D0 R0 U0|derived
-2-2-1|rectangular|Отвод прямоугольного сечения радиусный|A0 B0 R0 U0|recovered
-2-2-2|rectangular|Отвод прямоугольного сечения прямой|A0 B0 R0 U0|derived
-2-2-3|rectangular|Отвод прямоугольного сечения косой|A0 B0 R0 U0|derived
-2-2-4|rectangular|Отвод прямоугольного сечения пирамидальный|A0 B0 R0 U0|derived
-3-1-1|round|Переход круглого сечения центральный|D0 D1 L0|derived
-3-1-2|round|Переход круглого сечения односторонний||
-3-1-3|round|Переход круглого сечения со смещением||
-3-2-1|rectangular|Переход прямоугольного сечения тип 1|A0 B0 A1 B1 L0|derived
-3-2-2|rectangular|Переход прямоугольного сечения тип 2||
-3-2-3|rectangular|Переход прямоугольного сечения тип 3||
-3-2-4|rectangular|Переход прямоугольного сечения тип 4||
-3-2-5|rectangular|Переход прямоугольного сечения тип 5||
-3-2-6|rectangular|Переход прямоугольного сечения тип 6||
-3-3-1|round|Переход с прямоугольного на круглое сечения тип 1|A0 B0 D0 L0|derived
-3-3-2|round|Переход с прямоугольного на круглое сечения тип 2||
-3-3-3|round|Переход с прямоугольного на круглое сечения тип 3||
-3-3-4|round|Переход с прямоугольного на круглое сечения тип 4||
-3-3-5|round|Переход с прямоугольного на круглое сечения тип 5||
-3-3-6|round|Переход с прямоугольного на круглое сечения тип 6||
-4-1-1|round|Тройник круглого сечения с круглой прямой врезкой|D0 D2 L0 L2|recovered
-4-1-2|round|Тройник круглого сечения с круглой косой врезкой||
-4-1-3|round|Тройник круглого сечения с прямоугольной прямой врезкой|D0 A2 B2 L0 L2|derived
-4-1-4|round|Тройник круглого сечения с прямоугольной косой врезкой||
-4-1-5|round|Тройник круглого сечения аспирационный||
-4-1-6|round|Тройник круглого сечения штаны||
-4-1-7|round|Тройник круглого сечения конический с прямой врезкой||
-4-1-8|round|Тройник круглого сечения конический с косой врезкой||
-4-1-9|round|||
-4-1-10|round|||
-4-2-1|rectangular|Тройник прямоугольного сечения с круглой прямой врезкой|A0 B0 D2 L0 L2|derived
-4-2-2|rectangular|Тройник прямоугольного сечения с круглой косой врезкой||
-4-2-3|rectangular|Тройник прямоугольного сечения с прямоугольной прямой врезкой|A0 B0 A2 B2 L0 L2|recovered
-4-2-4|rectangular|Тройник прямоугольного сечения с прямоугольной косой врезкой||
-4-2-5|rectangular|Тройник прямоугольного сечения штаны 180||
-4-2-6|rectangular|Тройник прямоугольного сечения штаны 90||
-4-2-7|rectangular|Тройник прямоугольного сечения штаны 0||
-4-2-8|rectangular|Тройник прямоугольного сечения переходный с прямой врезкой||
-4-2-9|rectangular|Тройник прямоугольного сечения переходный с радиусной врезкой||
-5-1-1|round|Крестовина круглого сечения центральная|D0 L0|derived
-5-1-2|round|Крестовина круглого сечения со смещением||
-5-1-3|round|Крестовина круглого сечения аспирационная||
-5-1-4|round|Крестовина круглого сечения с прямоугольной врезкой||
-5-1-5|round|Крестовина круглого сечения конусная с прямыми круглыми врезками||
-5-1-6|round|Крестовина круглого сечения конусная с косыми круглыми врезками||
-5-2-1|rectangular|Крестовина прямоугольного сечения центральная|A0 B0 L0|derived
-5-2-2|rectangular|Крестовина прямоугольного сечения со смещением||
-5-2-3|rectangular|Крестовина прямоугольного сечения с прямоугольной косой врезкой||
-5-2-4|rectangular|Крестовина прямоугольного сечения с круглой врезкой||
-6-1-1|round|Заглушка круглого сечения|D0 P0|derived
-6-1-2|round|Заглушка круглого сечения с сеткой||
-6-2-1|rectangular|Заглушка прямоугольного сечения|A0 B0 P0|recovered
-6-2-2|rectangular|Заглушка прямоугольного сечения с сеткой||
-7-1-1|round|Утка круглого сечения||
-7-1-2|round|Утка круглого сечения с переходом||
-7-2-1|rectangular|Утка прямоугольного сечения косая||
-7-2-2|rectangular|Утка прямоугольного сечения радиусная||
-7-2-3|rectangular|Утка прямоугольного сечения со смещением в 2-х плоскостях||
-8-1-1|round|Врезка круглого сечения прямая в круглый воздуховод|D0 L0|derived
-8-1-2|round|Врезка круглого сечения косая в круглый воздуховод||
-8-1-3|round|Врезка круглого сечения прямая в прямоугольный воздуховод||
-8-1-4|round|Врезка круглого сечения косая в прямоугольный воздуховод||
-8-1-5|round|Врезка круглого сечения воротниковая||
-8-1-6|round|Врезка круглого сечения в плоскость||
-8-2-1|rectangular|Врезка прямоугольного сечения прямая в прямоугольный воздуховод|A0 B0 L0|recovered
-8-2-2|rectangular|Врезка прямоугольного сечения косая в прямоугольный воздуховод||
-8-2-3|rectangular|Врезка прямоугольного сечения радиусная в прямоугольный воздуховод||
-8-2-4|round|Врезка прямоугольного сечения прямая в круглый воздуховод||
-8-2-5|round|Врезка прямоугольного сечения косая в круглый воздуховод||
-8-2-6|round|Врезка прямоугольного сечения радиусная в круглый воздуховод||
-8-2-7|rectangular|Врезка прямоугольного сечения в плоскость||
-9-1-1|round|Зонт крышный круглого сечения||
-9-1-2|round|Зонт крышный круглого сечения (дефлектор)||
-9-2-1|rectangular|Зонт прямоугольного сечения с коньком||
-9-2-2|rectangular|Зонт прямоугольного сечения скошеный||
-9-2-3|rectangular|Зонт прямоугольного сечения с прямым коньком||
-10-1-1|round|КСД кр. сечения для круглого диффузора с пр. врезкой|D0 D1 L0 L1|derived
-10-1-2|round|КСД кр. сечения для круглого диффузора с кр. врезкой||
-10-2-1|round|КСД пр. сечения для кр. диффузора с кр. врезкой||
-10-2-2|round|КСД пр. сечения для кр. диффузора с пр. врезкой||
-10-2-3|rectangular|КСД пр. сечения для пр. диффузора с кр. врезкой|A0 B0 D1 L0 L1|derived
-10-2-4|rectangular|КСД пр. сечения для пр. диффузора с пр. врезкой||
-10-3-1|rectangular|КСД для настенного щелевого диффузора 1||
-10-3-2|rectangular|КСД для настенного щелевого диффузора 2||
-10-3-3|rectangular|КСД для потолочного щелевого диффузора 1||
-10-3-4|rectangular|КСД для потолочного щелевого диффузора 2||
-12-1-1|round|Ниппель||
-12-2-4|rectangular|Ниппель прямоугольный||
-12-2-3|rectangular|Рейка||
-12-2-1|rectangular|Шина и УГФ||
-12-1-3|round|Фланец (кр)|D0 P0|recovered
-12-2-2|rectangular|Фланец (пр)|A0 B0 P0|derived
-15-1-1|round|Шумоглушитель трубчатый круглый ГТК|D0 L0|derived
-15-1-2|round|Шумоглушитель трубчатый круглый спиральный|D0 L0|derived
-15-2-1|rectangular|Шумоглушитель трубчатый прямоугольный ГТП|A0 B0 L0|derived
-15-2-2|rectangular|Шумоглушитель пластинчатый|A0 B0 L0|derived
-15-2-3|rectangular|Шумоглушитель с обтекателем|A0 B0 L0|derived
-15-2-4|rectangular|Шумоглушитель пластинчатый тип 4|B0 L0 A2|recovered
-15-2-5|rectangular|Шумоглушитель с обтекателем тип 5|B0 A2|derived
-15-2-6|rectangular|Шумоглушитель с круглыми врезками|A0 B0 L0|derived
-15-2-7|rectangular|Шумоглушитель канальный|A0 B0 L0|derived
-16-1-1|round|Дроссель круглого сечения|D0 L0|derived
-16-2-1|rectangular|Дроссель прямоугольного сечения|A0 B0 L0|derived
-17-1-1|round|Фильтр круглого сечения кассетный|D0 L0|derived
-17-1-2|round|Фильтр круглого сечения карманный|D0 L0|derived
-17-1-3|round|Корпус фильтра для круглых каналов|D0 L0|derived
-17-1-4||Фильтровальный элемент для круглых каналов||
-17-2-1|rectangular|Фильтр прямоугольного сечения кассетный|A0 B0 L0|derived
-17-2-2|rectangular|Фильтр прямоугольного сечения карманный|A0 B0 L0|derived
-17-2-3|rectangular|Корпус фильтра для прямоугольных каналов|A0 B0 L0|derived
-17-2-4||Фильтровальный элемент для прямоугольных каналов||
-18-1-1|round|Обратный клапан круглого сечения лепестковый (5.904-41)||
-18-1-3|round|Обратный клапан круглого сечения бабочка (RSK)|D0 L0|derived
-18-2-1|rectangular|Обратный клапан прямоугольного сечения лепестковый|A0 B0 L0|derived
-19-1-1|round|Зонт вытяжной круглого сечения тип 1||
-19-1-2|round|Зонт вытяжной круглого сечения тип 2||
-19-2-1|rectangular|Зонт вытяжной прямоугольного сечения тип 1||
-19-2-2|rectangular|Зонт вытяжной прямоугольного сечения тип 2||
-19-2-3|rectangular|Зонт вытяжной прямоугольного сечения тип 3||
-19-2-4|rectangular|Зонт вытяжной прямоугольного сечения тип 4||
-19-2-5|rectangular|Зонт вытяжной прямоугольного сечения тип 5||
-19-2-6|rectangular|Зонт вытяжной прямоугольного сечения тип 6||
-19-2-7|rectangular|Кассета жироуловителя (сетка)||
-19-2-8|rectangular|Кассета жироуловителя (лабиринт)||
-20-1|round|Противопожарный клапан круглого сечения|D0 L0|derived
-20-2|rectangular|Противопожарный клапан прямоугольного сечения|A0 B0 L0|derived
-21-1-1|round|Клапан воздушный круглого сечения|D0 L0|derived
-21-2-1|rectangular|Клапан воздушный прямоугольного сечения|A0 B0 L0|derived
-29-1-3|round|Монтажный стакан|D0 L0|derived
-"""
+ARTICLES = [
+    ("1-1-1", "round", "Воздуховод круглого сечения прямошовный", ["D0", "L0"], "recovered"),
+    ("1-1-2", "round", "Воздуховод круглого сечения спирально-навивной", ["D0", "L0"], "recovered"),
+    ("1-1-3", "round", None, [], None),
+    ("1-2-1", "rectangular", "Воздуховод прямоугольного сечения", ["A0", "B0", "L0"], "recovered"),
+    ("1-2-2", "rectangular", None, [], None),
+    ("2-1-1", "round", "Отвод круглого сечения", ["D0", "R0", "U0"], "recovered"),
+    ("2-1-2", "round", "Отвод круглого сечения конический", ["D0", "R0", "U0"], "derived"),
+    ("2-1-3", "round", "Отвод круглого сечения гофрированный", ["D0", "R0", "U0"], "derived"),
+    ("2-2-1", "rectangular", "Отвод прямоугольного сечения радиусный", ["A0", "B0", "R0", "U0"], "recovered"),
+    ("2-2-2", "rectangular", "Отвод прямоугольного сечения прямой", ["A0", "B0", "R0", "U0"], "derived"),
+    ("2-2-3", "rectangular", "Отвод прямоугольного сечения косой", ["A0", "B0", "R0", "U0"], "derived"),
+    ("2-2-4", "rectangular", "Отвод прямоугольного сечения пирамидальный", ["A0", "B0", "R0", "U0"], "derived"),
+    ("3-1-1", "round", "Переход круглого сечения центральный", ["D0", "D1", "L0"], "derived"),
+    ("3-1-2", "round", "Переход круглого сечения односторонний", [], None),
+    ("3-1-3", "round", "Переход круглого сечения со смещением", [], None),
+    ("3-2-1", "rectangular", "Переход прямоугольного сечения тип 1", ["A0", "B0", "A1", "B1", "L0"], "derived"),
+    ("3-2-2", "rectangular", "Переход прямоугольного сечения тип 2", [], None),
+    ("3-2-3", "rectangular", "Переход прямоугольного сечения тип 3", [], None),
+    ("3-2-4", "rectangular", "Переход прямоугольного сечения тип 4", [], None),
+    ("3-2-5", "rectangular", "Переход прямоугольного сечения тип 5", [], None),
+    ("3-2-6", "rectangular", "Переход прямоугольного сечения тип 6", [], None),
+    ("3-3-1", "round", "Переход с прямоугольного на круглое сечения тип 1", ["A0", "B0", "D0", "L0"], "derived"),
+    ("3-3-2", "round", "Переход с прямоугольного на круглое сечения тип 2", [], None),
+    ("3-3-3", "round", "Переход с прямоугольного на круглое сечения тип 3", [], None),
+    ("3-3-4", "round", "Переход с прямоугольного на круглое сечения тип 4", [], None),
+    ("3-3-5", "round", "Переход с прямоугольного на круглое сечения тип 5", [], None),
+    ("3-3-6", "round", "Переход с прямоугольного на круглое сечения тип 6", [], None),
+    ("4-1-1", "round", "Тройник круглого сечения с круглой прямой врезкой", ["D0", "D2", "L0", "L2"], "recovered"),
+    ("4-1-2", "round", "Тройник круглого сечения с круглой косой врезкой", [], None),
+    ("4-1-3", "round", "Тройник круглого сечения с прямоугольной прямой врезкой", ["D0", "A2", "B2", "L0", "L2"], "derived"),
+    ("4-1-4", "round", "Тройник круглого сечения с прямоугольной косой врезкой", [], None),
+    ("4-1-5", "round", "Тройник круглого сечения аспирационный", [], None),
+    ("4-1-6", "round", "Тройник круглого сечения штаны", [], None),
+    ("4-1-7", "round", "Тройник круглого сечения конический с прямой врезкой", [], None),
+    ("4-1-8", "round", "Тройник круглого сечения конический с косой врезкой", [], None),
+    ("4-1-9", "round", None, [], None),
+    ("4-1-10", "round", None, [], None),
+    ("4-2-1", "rectangular", "Тройник прямоугольного сечения с круглой прямой врезкой", ["A0", "B0", "D2", "L0", "L2"], "derived"),
+    ("4-2-2", "rectangular", "Тройник прямоугольного сечения с круглой косой врезкой", [], None),
+    ("4-2-3", "rectangular", "Тройник прямоугольного сечения с прямоугольной прямой врезкой", ["A0", "B0", "A2", "B2", "L0", "L2"], "recovered"),
+    ("4-2-4", "rectangular", "Тройник прямоугольного сечения с прямоугольной косой врезкой", [], None),
+    ("4-2-5", "rectangular", "Тройник прямоугольного сечения штаны 180", [], None),
+    ("4-2-6", "rectangular", "Тройник прямоугольного сечения штаны 90", [], None),
+    ("4-2-7", "rectangular", "Тройник прямоугольного сечения штаны 0", [], None),
+    ("4-2-8", "rectangular", "Тройник прямоугольного сечения переходный с прямой врезкой", [], None),
+    ("4-2-9", "rectangular", "Тройник прямоугольного сечения переходный с радиусной врезкой", [], None),
+    ("5-1-1", "round", "Крестовина круглого сечения центральная", ["D0", "L0"], "derived"),
+    ("5-1-2", "round", "Крестовина круглого сечения со смещением", [], None),
+    ("5-1-3", "round", "Крестовина круглого сечения аспирационная", [], None),
+    ("5-1-4", "round", "Крестовина круглого сечения с прямоугольной врезкой", [], None),
+    ("5-1-5", "round", "Крестовина круглого сечения конусная с прямыми круглыми врезками", [], None),
+    ("5-1-6", "round", "Крестовина круглого сечения конусная с косыми круглыми врезками", [], None),
+    ("5-2-1", "rectangular", "Крестовина прямоугольного сечения центральная", ["A0", "B0", "L0"], "derived"),
+    ("5-2-2", "rectangular", "Крестовина прямоугольного сечения со смещением", [], None),
+    ("5-2-3", "rectangular", "Крестовина прямоугольного сечения с прямоугольной косой врезкой", [], None),
+    ("5-2-4", "rectangular", "Крестовина прямоугольного сечения с круглой врезкой", [], None),
+    ("6-1-1", "round", "Заглушка круглого сечения", ["D0", "P0"], "derived"),
+    ("6-1-2", "round", "Заглушка круглого сечения с сеткой", [], None),
+    ("6-2-1", "rectangular", "Заглушка прямоугольного сечения", ["A0", "B0", "P0"], "recovered"),
+    ("6-2-2", "rectangular", "Заглушка прямоугольного сечения с сеткой", [], None),
+    ("7-1-1", "round", "Утка круглого сечения", [], None),
+    ("7-1-2", "round", "Утка круглого сечения с переходом", [], None),
+    ("7-2-1", "rectangular", "Утка прямоугольного сечения косая", [], None),
+    ("7-2-2", "rectangular", "Утка прямоугольного сечения радиусная", [], None),
+    ("7-2-3", "rectangular", "Утка прямоугольного сечения со смещением в 2-х плоскостях", [], None),
+    ("8-1-1", "round", "Врезка круглого сечения прямая в круглый воздуховод", ["D0", "L0"], "derived"),
+    ("8-1-2", "round", "Врезка круглого сечения косая в круглый воздуховод", [], None),
+    ("8-1-3", "round", "Врезка круглого сечения прямая в прямоугольный воздуховод", [], None),
+    ("8-1-4", "round", "Врезка круглого сечения косая в прямоугольный воздуховод", [], None),
+    ("8-1-5", "round", "Врезка круглого сечения воротниковая", [], None),
+    ("8-1-6", "round", "Врезка круглого сечения в плоскость", [], None),
+    ("8-2-1", "rectangular", "Врезка прямоугольного сечения прямая в прямоугольный воздуховод", ["A0", "B0", "L0"], "recovered"),
+    ("8-2-2", "rectangular", "Врезка прямоугольного сечения косая в прямоугольный воздуховод", [], None),
+    ("8-2-3", "rectangular", "Врезка прямоугольного сечения радиусная в прямоугольный воздуховод", [], None),
+    ("8-2-4", "round", "Врезка прямоугольного сечения прямая в круглый воздуховод", [], None),
+    ("8-2-5", "round", "Врезка прямоугольного сечения косая в круглый воздуховод", [], None),
+    ("8-2-6", "round", "Врезка прямоугольного сечения радиусная в круглый воздуховод", [], None),
+    ("8-2-7", "rectangular", "Врезка прямоугольного сечения в плоскость", [], None),
+    ("9-1-1", "round", "Зонт крышный круглого сечения", [], None),
+    ("9-1-2", "round", "Зонт крышный круглого сечения (дефлектор)", [], None),
+    ("9-2-1", "rectangular", "Зонт прямоугольного сечения с коньком", [], None),
+    ("9-2-2", "rectangular", "Зонт прямоугольного сечения скошеный", [], None),
+    ("9-2-3", "rectangular", "Зонт прямоугольного сечения с прямым коньком", [], None),
+    ("10-1-1", "round", "КСД кр. сечения для круглого диффузора с пр. врезкой", ["D0", "D1", "L0", "L1"], "derived"),
+    ("10-1-2", "round", "КСД кр. сечения для круглого диффузора с кр. врезкой", [], None),
+    ("10-2-1", "round", "КСД пр. сечения для кр. диффузора с кр. врезкой", [], None),
+    ("10-2-2", "round", "КСД пр. сечения для кр. диффузора с пр. врезкой", [], None),
+    ("10-2-3", "rectangular", "КСД пр. сечения для пр. диффузора с кр. врезкой", ["A0", "B0", "D1", "L0", "L1"], "derived"),
+    ("10-2-4", "rectangular", "КСД пр. сечения для пр. диффузора с пр. врезкой", [], None),
+    ("10-3-1", "rectangular", "КСД для настенного щелевого диффузора 1", [], None),
+    ("10-3-2", "rectangular", "КСД для настенного щелевого диффузора 2", [], None),
+    ("10-3-3", "rectangular", "КСД для потолочного щелевого диффузора 1", [], None),
+    ("10-3-4", "rectangular", "КСД для потолочного щелевого диффузора 2", [], None),
+    ("12-1-1", "round", "Ниппель", [], None),
+    ("12-2-4", "rectangular", "Ниппель прямоугольный", [], None),
+    ("12-2-3", "rectangular", "Рейка", [], None),
+    ("12-2-1", "rectangular", "Шина и УГФ", [], None),
+    ("12-1-3", "round", "Фланец (кр)", ["D0", "P0"], "recovered"),
+    ("12-2-2", "rectangular", "Фланец (пр)", ["A0", "B0", "P0"], "derived"),
+    ("15-1-1", "round", "Шумоглушитель трубчатый круглый ГТК", ["D0", "L0"], "derived"),
+    ("15-1-2", "round", "Шумоглушитель трубчатый круглый спиральный", ["D0", "L0"], "derived"),
+    ("15-2-1", "rectangular", "Шумоглушитель трубчатый прямоугольный ГТП", ["A0", "B0", "L0"], "derived"),
+    ("15-2-2", "rectangular", "Шумоглушитель пластинчатый", ["A0", "B0", "L0"], "derived"),
+    ("15-2-3", "rectangular", "Шумоглушитель с обтекателем", ["A0", "B0", "L0"], "derived"),
+    ("15-2-4", "rectangular", "Шумоглушитель пластинчатый тип 4", ["B0", "L0", "A2"], "recovered"),
+    ("15-2-5", "rectangular", "Шумоглушитель с обтекателем тип 5", ["B0", "A2"], "derived"),
+    ("15-2-6", "rectangular", "Шумоглушитель с круглыми врезками", ["A0", "B0", "L0"], "derived"),
+    ("15-2-7", "rectangular", "Шумоглушитель канальный", ["A0", "B0", "L0"], "derived"),
+    ("16-1-1", "round", "Дроссель круглого сечения", ["D0", "L0"], "derived"),
+    ("16-2-1", "rectangular", "Дроссель прямоугольного сечения", ["A0", "B0", "L0"], "derived"),
+    ("17-1-1", "round", "Фильтр круглого сечения кассетный", ["D0", "L0"], "derived"),
+    ("17-1-2", "round", "Фильтр круглого сечения карманный", ["D0", "L0"], "derived"),
+    ("17-1-3", "round", "Корпус фильтра для круглых каналов", ["D0", "L0"], "derived"),
+    ("17-1-4", None, "Фильтровальный элемент для круглых каналов", [], None),
+    ("17-2-1", "rectangular", "Фильтр прямоугольного сечения кассетный", ["A0", "B0", "L0"], "derived"),
+    ("17-2-2", "rectangular", "Фильтр прямоугольного сечения карманный", ["A0", "B0", "L0"], "derived"),
+    ("17-2-3", "rectangular", "Корпус фильтра для прямоугольных каналов", ["A0", "B0", "L0"], "derived"),
+    ("17-2-4", None, "Фильтровальный элемент для прямоугольных каналов", [], None),
+    ("18-1-1", "round", "Обратный клапан круглого сечения лепестковый (5.904-41)", [], None),
+    ("18-1-3", "round", "Обратный клапан круглого сечения бабочка (RSK)", ["D0", "L0"], "derived"),
+    ("18-2-1", "rectangular", "Обратный клапан прямоугольного сечения лепестковый", ["A0", "B0", "L0"], "derived"),
+    ("19-1-1", "round", "Зонт вытяжной круглого сечения тип 1", [], None),
+    ("19-1-2", "round", "Зонт вытяжной круглого сечения тип 2", [], None),
+    ("19-2-1", "rectangular", "Зонт вытяжной прямоугольного сечения тип 1", [], None),
+    ("19-2-2", "rectangular", "Зонт вытяжной прямоугольного сечения тип 2", [], None),
+    ("19-2-3", "rectangular", "Зонт вытяжной прямоугольного сечения тип 3", [], None),
+    ("19-2-4", "rectangular", "Зонт вытяжной прямоугольного сечения тип 4", [], None),
+    ("19-2-5", "rectangular", "Зонт вытяжной прямоугольного сечения тип 5", [], None),
+    ("19-2-6", "rectangular", "Зонт вытяжной прямоугольного сечения тип 6", [], None),
+    ("19-2-7", "rectangular", "Кассета жироуловителя (сетка)", [], None),
+    ("19-2-8", "rectangular", "Кассета жироуловителя (лабиринт)", [], None),
+    ("20-1", "round", "Противопожарный клапан круглого сечения", ["D0", "L0"], "derived"),
+    ("20-2", "rectangular", "Противопожарный клапан прямоугольного сечения", ["A0", "B0", "L0"], "derived"),
+    ("21-1-1", "round", "Клапан воздушный круглого сечения", ["D0", "L0"], "derived"),
+    ("21-2-1", "rectangular", "Клапан воздушный прямоугольного сечения", ["A0", "B0", "L0"], "derived"),
+    ("29-1-3", "round", "Монтажный стакан", ["D0", "L0"], "derived"),
+]
 FORCED_PARAMS = {"8-2-1": {"L0": "100"}}
 
 # --- Material codes an article may be made of ------------------------------------------------------------
 
 ARTICLE_MATERIALS = {
-    "1,2,3": """
-        1-1-1 1-1-2 1-1-3 1-2-1 1-2-2 2-1-1 2-1-2 2-1-3 2-2-1 2-2-2 2-2-3 2-2-4 3-1-1 3-1-2
-        3-1-3 3-2-1 3-2-2 3-2-3 3-2-4 3-2-5 3-2-6 3-3-1 3-3-2 3-3-3 3-3-4 3-3-5 3-3-6 4-1-1
-        4-1-2 4-1-3 4-1-4 4-1-5 4-1-6 4-1-7 4-1-8 4-1-9 4-1-10 4-2-1 4-2-2 4-2-3 4-2-4 4-2-5
-        4-2-6 4-2-7 4-2-8 4-2-9 5-1-1 5-1-2 5-1-3 5-1-4 5-1-5 5-1-6 5-2-1 5-2-2 5-2-3 5-2-4
-        6-1-1 6-1-2 6-2-1 6-2-2 7-1-1 7-1-2 7-2-1 7-2-2 7-2-3 8-1-1 8-1-2 8-1-3 8-1-4 8-1-5
-        8-1-6 8-2-1 8-2-2 8-2-3 8-2-4 8-2-5 8-2-6 8-2-7 9-1-1 9-1-2 9-2-1 9-2-2 9-2-3 10-1-1
-        10-1-2 10-2-1 10-2-2 10-2-3 10-2-4 10-3-1 10-3-2 10-3-3 10-3-4 12-1-1 12-2-4 12-2-3
-        12-2-1 12-1-3 12-2-2 15-1-1 15-1-2 15-2-3 16-1-1 16-2-1
-    """,
-    "1,2": """
-        17-1-1 17-1-2 17-1-3 17-1-4 17-2-1 17-2-2 17-2-3 17-2-4 18-1-1 18-1-3 18-2-1 19-1-1
-        19-1-2 19-2-1 19-2-2 19-2-3 19-2-4 19-2-5 19-2-6 19-2-7 19-2-8 19-5-1 19-5-2 19-6-1
-        19-6-2 29-1-1
-    """,
-    "1": """
-        13-1-1 13-2-1 21-1-1 21-2-1 28-1-2 30-1-1 30-1-2 30-2-1 30-2-2 15-2-1 15-2-2 15-2-4
-        15-2-5 15-2-6 15-2-7 20-1 20-2 29-1-3
-    """,
+    "1-1-1": ["1", "2", "3"],
+    "1-1-2": ["1", "2", "3"],
+    "1-1-3": ["1", "2", "3"],
+    "1-2-1": ["1", "2", "3"],
+    "1-2-2": ["1", "2", "3"],
+    "2-1-1": ["1", "2", "3"],
+    "2-1-2": ["1", "2", "3"],
+    "2-1-3": ["1", "2", "3"],
+    "2-2-1": ["1", "2", "3"],
+    "2-2-2": ["1", "2", "3"],
+    "2-2-3": ["1", "2", "3"],
+    "2-2-4": ["1", "2", "3"],
+    "3-1-1": ["1", "2", "3"],
+    "3-1-2": ["1", "2", "3"],
+    "3-1-3": ["1", "2", "3"],
+    "3-2-1": ["1", "2", "3"],
+    "3-2-2": ["1", "2", "3"],
+    "3-2-3": ["1", "2", "3"],
+    "3-2-4": ["1", "2", "3"],
+    "3-2-5": ["1", "2", "3"],
+    "3-2-6": ["1", "2", "3"],
+    "3-3-1": ["1", "2", "3"],
+    "3-3-2": ["1", "2", "3"],
+    "3-3-3": ["1", "2", "3"],
+    "3-3-4": ["1", "2", "3"],
+    "3-3-5": ["1", "2", "3"],
+    "3-3-6": ["1", "2", "3"],
+    "4-1-1": ["1", "2", "3"],
+    "4-1-2": ["1", "2", "3"],
+    "4-1-3": ["1", "2", "3"],
+    "4-1-4": ["1", "2", "3"],
+    "4-1-5": ["1", "2", "3"],
+    "4-1-6": ["1", "2", "3"],
+    "4-1-7": ["1", "2", "3"],
+    "4-1-8": ["1", "2", "3"],
+    "4-1-9": ["1", "2", "3"],
+    "4-1-10": ["1", "2", "3"],
+    "4-2-1": ["1", "2", "3"],
+    "4-2-2": ["1", "2", "3"],
+    "4-2-3": ["1", "2", "3"],
+    "4-2-4": ["1", "2", "3"],
+    "4-2-5": ["1", "2", "3"],
+    "4-2-6": ["1", "2", "3"],
+    "4-2-7": ["1", "2", "3"],
+    "4-2-8": ["1", "2", "3"],
+    "4-2-9": ["1", "2", "3"],
+    "5-1-1": ["1", "2", "3"],
+    "5-1-2": ["1", "2", "3"],
+    "5-1-3": ["1", "2", "3"],
+    "5-1-4": ["1", "2", "3"],
+    "5-1-5": ["1", "2", "3"],
+    "5-1-6": ["1", "2", "3"],
+    "5-2-1": ["1", "2", "3"],
+    "5-2-2": ["1", "2", "3"],
+    "5-2-3": ["1", "2", "3"],
+    "5-2-4": ["1", "2", "3"],
+    "6-1-1": ["1", "2", "3"],
+    "6-1-2": ["1", "2", "3"],
+    "6-2-1": ["1", "2", "3"],
+    "6-2-2": ["1", "2", "3"],
+    "7-1-1": ["1", "2", "3"],
+    "7-1-2": ["1", "2", "3"],
+    "7-2-1": ["1", "2", "3"],
+    "7-2-2": ["1", "2", "3"],
+    "7-2-3": ["1", "2", "3"],
+    "8-1-1": ["1", "2", "3"],
+    "8-1-2": ["1", "2", "3"],
+    "8-1-3": ["1", "2", "3"],
+    "8-1-4": ["1", "2", "3"],
+    "8-1-5": ["1", "2", "3"],
+    "8-1-6": ["1", "2", "3"],
+    "8-2-1": ["1", "2", "3"],
+    "8-2-2": ["1", "2", "3"],
+    "8-2-3": ["1", "2", "3"],
+    "8-2-4": ["1", "2", "3"],
+    "8-2-5": ["1", "2", "3"],
+    "8-2-6": ["1", "2", "3"],
+    "8-2-7": ["1", "2", "3"],
+    "9-1-1": ["1", "2", "3"],
+    "9-1-2": ["1", "2", "3"],
+    "9-2-1": ["1", "2", "3"],
+    "9-2-2": ["1", "2", "3"],
+    "9-2-3": ["1", "2", "3"],
+    "10-1-1": ["1", "2", "3"],
+    "10-1-2": ["1", "2", "3"],
+    "10-2-1": ["1", "2", "3"],
+    "10-2-2": ["1", "2", "3"],
+    "10-2-3": ["1", "2", "3"],
+    "10-2-4": ["1", "2", "3"],
+    "10-3-1": ["1", "2", "3"],
+    "10-3-2": ["1", "2", "3"],
+    "10-3-3": ["1", "2", "3"],
+    "10-3-4": ["1", "2", "3"],
+    "12-1-1": ["1", "2", "3"],
+    "12-2-4": ["1", "2", "3"],
+    "12-2-3": ["1", "2", "3"],
+    "12-2-1": ["1", "2", "3"],
+    "12-1-3": ["1", "2", "3"],
+    "12-2-2": ["1", "2", "3"],
+    "17-1-1": ["1", "2"],
+    "17-1-2": ["1", "2"],
+    "17-1-3": ["1", "2"],
+    "17-1-4": ["1", "2"],
+    "17-2-1": ["1", "2"],
+    "17-2-2": ["1", "2"],
+    "17-2-3": ["1", "2"],
+    "17-2-4": ["1", "2"],
+    "18-1-1": ["1", "2"],
+    "18-1-3": ["1", "2"],
+    "18-2-1": ["1", "2"],
+    "19-1-1": ["1", "2"],
+    "19-1-2": ["1", "2"],
+    "19-2-1": ["1", "2"],
+    "19-2-2": ["1", "2"],
+    "19-2-3": ["1", "2"],
+    "19-2-4": ["1", "2"],
+    "19-2-5": ["1", "2"],
+    "19-2-6": ["1", "2"],
+    "19-2-7": ["1", "2"],
+    "19-2-8": ["1", "2"],
+    "13-1-1": ["1"],
+    "13-2-1": ["1"],
+    "15-1-1": ["1", "2", "3"],
+    "15-1-2": ["1", "2", "3"],
+    "15-2-3": ["1", "2", "3"],
+    "16-1-1": ["1", "2", "3"],
+    "16-2-1": ["1", "2", "3"],
+    "19-5-1": ["1", "2"],
+    "19-5-2": ["1", "2"],
+    "19-6-1": ["1", "2"],
+    "19-6-2": ["1", "2"],
+    "21-1-1": ["1"],
+    "21-2-1": ["1"],
+    "28-1-2": ["1"],
+    "29-1-1": ["1", "2"],
+    "30-1-1": ["1"],
+    "30-1-2": ["1"],
+    "30-2-1": ["1"],
+    "30-2-2": ["1"],
+    "15-2-1": ["1"],
+    "15-2-2": ["1"],
+    "15-2-4": ["1"],
+    "15-2-5": ["1"],
+    "15-2-6": ["1"],
+    "15-2-7": ["1"],
+    "20-1": ["1"],
+    "20-2": ["1"],
+    "29-1-3": ["1"],
 }

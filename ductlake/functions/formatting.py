@@ -21,98 +21,98 @@ def format_parameter(name: Column, value: Column) -> Column:
     )
 
 
-def _reduce_call(name: str, args: list[Column]) -> Column:
-    if name == "max" and len(args) > 1:
-        return F.greatest(*args)
-    if name == "min" and len(args) > 1:
-        return F.least(*args)
-    if name == "round" and len(args) == 1:
-        return F.rint(args[0])
-    raise ValueError(f"call not allowed in a default expression: {name}")
+BINARY_NODES = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.FloorDiv: "//", ast.Mod: "%", ast.Pow: "**"}
+TOKEN = "struct<kind: string, name: string, value: double>"
 
 
-def compile_expression(expression: str, known: dict[str, Column]) -> Column:
-    """Arithmetic over known parameters as a column; anything outside the allow-list raises.
+def postfix(expression: str) -> list[tuple[str, str | None, float | None]]:
+    """An arithmetic expression as postfix tokens (kind, name, value); anything outside the allow-list raises.
 
-    The rule text is a few characters of configuration, read once while the plan is built.  A
-    parameter that is missing in a row, or a division by zero, makes the value null.
+    Kinds: number, name, negative, the binary operators, max, min and round (of a value and its digits).
     """
-    used: list[Column] = []
-
-    def build(node: ast.AST) -> Column:
+    def build(node: ast.AST) -> list[tuple[str, str | None, float | None]]:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return F.lit(float(node.value))
-        if isinstance(node, ast.Name) and node.id in known:
-            used.append(known[node.id])
-            return known[node.id]
+            return [("number", None, float(node.value))]
+        if isinstance(node, ast.Name):
+            return [("name", node.id, None)]
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-            inner = build(node.operand)
-            return -inner if isinstance(node.op, ast.USub) else inner
+            return build(node.operand) + ([("negative", None, None)] if isinstance(node.op, ast.USub) else [])
+        if isinstance(node, ast.BinOp) and type(node.op) in BINARY_NODES:
+            return build(node.left) + build(node.right) + [(BINARY_NODES[type(node.op)], None, None)]
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
-            if node.func.id == "round" and len(node.args) == 2:
-                digits = ast.literal_eval(node.args[1])
-                return F.bround(build(node.args[0]), int(digits))
-            return _reduce_call(node.func.id, [build(a) for a in node.args])
-        if isinstance(node, ast.BinOp):
-            left, right = build(node.left), build(node.right)
-            if isinstance(node.op, ast.Add):
-                return left + right
-            if isinstance(node.op, ast.Sub):
-                return left - right
-            if isinstance(node.op, ast.Mult):
-                return left * right
-            if isinstance(node.op, ast.Div):
-                return F.try_divide(left, right)
-            if isinstance(node.op, ast.FloorDiv):
-                return F.floor(F.try_divide(left, right)).cast("double")
-            if isinstance(node.op, ast.Mod):
-                return left - F.floor(F.try_divide(left, right)) * right
-            if isinstance(node.op, ast.Pow):
-                return F.pow(left, right)
+            parts = [build(a) for a in node.args]
+            if node.func.id in ("max", "min") and len(parts) > 1:
+                return parts[0] + [t for part in parts[1:] for t in [*part, (node.func.id, None, None)]]
+            if node.func.id == "round" and len(parts) in (1, 2):
+                return parts[0] + (parts[1] if len(parts) == 2 else [("number", None, 0.0)]) + [("round", None, None)]
         raise ValueError(f"not allowed in a default expression: {ast.dump(node)}")
 
-    value = build(ast.parse(expression, mode="eval").body)
-    for column in used:
-        value = F.when(column.isNotNull(), value)
-    return value
+    try:
+        return build(ast.parse(expression.strip(), mode="eval").body)
+    except SyntaxError as fault:
+        raise ValueError(f"not an expression: {expression}") from fault
 
 
-def is_expression(text: str | None) -> bool:
-    """Whether a default needs compiling; plain numbers do not."""
-    if text is None:
-        return False
-    try:
-        float(text)
-        return False
-    except ValueError:
-        return True
+def evaluate_postfix(tokens: Column, known: Column) -> Column:
+    """Value of postfix tokens over a map of known parameters: one fold, whose state is the stack.
 
+    A parameter that is not known, or a division by zero, makes the value null.
+    """
+    def step(stack: Column, token: Column) -> Column:
+        size, kind = F.size(stack), token["kind"]
+        a, b = F.get(stack, size - 2), F.get(stack, size - 1)
+        both = a.isNotNull() & b.isNotNull()
+        scale = F.pow(F.lit(10.0), b)
+        value = (
+            F.when(kind == "number", token["value"])
+            .when(kind == "name", F.try_element_at(known, token["name"]))
+            .when(kind == "negative", -b)
+            .when(kind == "+", a + b).when(kind == "-", a - b).when(kind == "*", a * b).when(kind == "/", F.try_divide(a, b))
+            .when(kind == "//", F.floor(F.try_divide(a, b)).cast("double"))
+            .when(kind == "%", a - F.floor(F.try_divide(a, b)) * b)
+            .when(kind == "**", F.pow(a, b))
+            .when((kind == "max") & both, F.greatest(a, b)).when((kind == "min") & both, F.least(a, b))
+            .when(kind == "round", F.rint(a * scale) / scale)
+        )
+        taken = F.when(kind.isin("number", "name"), 0).when(kind == "negative", 1).otherwise(2)
+        return F.array_append(F.slice(stack, F.lit(1), F.greatest(size - taken, F.lit(0))), value)
 
-def _result(names: list[str], values: list[Column]) -> Column:
-    parts = [
-        F.concat(F.lit(n), format_parameter(F.lit(n), v), F.lit(n + "_")) for n, v in zip(names, values)
-    ]
-    missing = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(n)) for n, v in zip(names, values)]))
-    return F.struct(F.concat(*parts).alias("text"), F.get(missing, 0).alias("missing"))
+    return F.get(F.aggregate(tokens, F.array().cast("array<double>"), step), 0)
 
 
-def compiled_characteristic(rule: dict, params: Column) -> Column:
-    """struct(text, missing) for one article whose defaults are expressions.
+def settled_characteristic(required: Column, params: Column, defaults: Column, forced: Column) -> Column:
+    """struct(text, missing) from defaults and forced values as postfix tokens by parameter.
 
-    Parameters are settled in the listed order, so an expression sees the ones before it.
+    Parameters are settled in the listed order, so an expression sees the ones before it.  A value that an
+    invalid expression (one token of kind `invalid`) should give is missing.
     """
-    known = {p: F.try_element_at(params, F.lit(p)) for p in fv.PARAM_NAMES}
-    defaults, forced = rule.get("default_params") or {}, rule.get("force_params") or {}
-    values = []
-    for name in rule["xml_parameters"]:
-        value = known.get(name, F.try_element_at(params, F.lit(name)))
-        if name in defaults:
-            value = F.coalesce(value, compile_expression(str(defaults[name]), known))
-        if name in forced:
-            value = compile_expression(str(forced[name]), {**known, name: value})
-        known[name] = value
-        values.append(value)
-    return _result(list(rule["xml_parameters"]), values)
+    def with_value(known: Column, p: Column, value: Column) -> Column:
+        others = F.map_filter(known, lambda k, _: k != p)
+        return F.map_concat(others, F.map_from_arrays(F.array(p), F.array(value)))
+
+    def named(value: Column, use) -> Column:
+        """`use` of a value that is computed once, however often it is named."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def settle(known: Column, p: Column) -> Column:
+        def with_force(given: Column) -> Column:
+            force = F.try_element_at(forced, p)
+            return F.when(force.isNull(), given).otherwise(evaluate_postfix(force, with_value(known, p, given)))
+
+        default = F.try_element_at(defaults, p)
+        return named(F.coalesce(F.try_element_at(known, p), F.when(default.isNotNull(), evaluate_postfix(default, known))), with_force)
+
+    def step(state: Column, p: Column) -> Column:
+        return named(settle(state["known"], p), lambda value: F.struct(
+            with_value(state["known"], p, value).alias("known"),
+            F.concat(state["text"], p, F.coalesce(format_parameter(p, value), F.lit("")), p, F.lit("_")).alias("text"),
+            F.coalesce(state["missing"], F.when(value.isNull(), p)).alias("missing"),
+        ))
+
+    start = F.struct(
+        F.coalesce(params, F.create_map().cast("map<string,double>")).alias("known"), F.lit("").alias("text"), F.lit(None).cast("string").alias("missing"),
+    )
+    return F.aggregate(required, start, step, lambda end: F.struct(F.when(end["missing"].isNull(), end["text"]).alias("text"), end["missing"].alias("missing")))
 
 
 def numeric_characteristic(

@@ -25,7 +25,7 @@ def word_mask(text: Column) -> Column:
     """Bit i is set when catalogue word i occurs."""
     bits = [
         F.when(F.contains(text, F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0))
-        for i, w in enumerate(fv.MATCH_WORDS)
+        for i, w in enumerate([*fv.DUCT_WORDS, *fv.FITTING_WORDS])
     ]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 

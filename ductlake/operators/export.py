@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
@@ -10,68 +10,85 @@ from ductlake.functions import classify, formatting as fmt
 from ductlake.session import broadcast_checked
 
 HEADER_FIELDS = ["numberDate", "numberOrder", "INN", "customer", "email", "phone", "contact"]
-MAX_EXPRESSION_RULES = 500
 # Lines that are put together at once while a document is built.
 FRAGMENT_LINES = 20_000
 # Bytes of an order that is put together in one value; Spark's values hold 2 GB at most.
 WHOLE_BYTES = 256 << 20
 
 
-def rules_with_expressions(products: DataFrame) -> list[dict]:
-    """Products whose default or forced values have to be computed; configuration, read once."""
-    candidates = products.select(
-        "article", "xml_parameters", "default_params", "force_params"
-    ).filter(
-        F.exists(
-            F.concat(
-                F.coalesce(F.map_values("default_params"), F.array().cast("array<string>")),
-                F.coalesce(F.map_values("force_params"), F.array().cast("array<string>")),
-            ),
-            lambda v: v.try_cast("double").isNull(),
-        )
-    )
-    found = candidates.limit(MAX_EXPRESSION_RULES + 1).collect()
-    if len(found) > MAX_EXPRESSION_RULES:
-        raise ValueError(f"more than {MAX_EXPRESSION_RULES} products with expressions; each becomes a branch of one expression")
-    return [r.asDict(recursive=True) for r in found]
+def _plain_numbers(values: Column) -> Column:
+    return F.forall(F.coalesce(F.map_values(values), F.array().cast("array<string>")), lambda v: v.try_cast("double").isNotNull() | v.isNull())
+
+
+def _postfix_maps(batches):
+    """The default and forced values of products as postfix tokens; what is no expression becomes one token `invalid`."""
+    import pyarrow as pa
+
+    def tokens(text: str | None) -> list[dict]:
+        try:
+            found = fmt.postfix(text or "")
+        except (ValueError, RecursionError, MemoryError) as fault:
+            found = [("invalid", str(fault), None)]
+        return [dict(zip(("kind", "name", "value"), t)) for t in found]
+
+    kind = pa.map_(pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64())])))
+    for batch in batches:
+        columns = [pa.array([None if m is None else [(k, tokens(v)) for k, v in m] for m in c.to_pylist()], kind) for c in batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["article", "default_tokens", "force_tokens"])
+
+
+TOKEN_MAPS = f"article string, default_tokens map<string, array<{fmt.TOKEN}>>, force_tokens map<string, array<{fmt.TOKEN}>>"
+
+
+def compiled_products(products: DataFrame) -> DataFrame:
+    """X4, F-X6: products with the postfix tokens of their default and forced values where any of these is computed.
+
+    Expressions are compiled where the products lie, one row a product; products of plain numbers, and the
+    built-in ones with them, never reach Python.
+    """
+    # Rows keep their own columns in a struct: a product table may hold further ones.
+    known = products.select("article", "name", "section", "xml_parameters", "default_params", "force_params", (F.col("provenance") if "provenance" in products.columns else F.lit("given")).alias("provenance"))
+    plain = _plain_numbers(F.col("default_params")) & _plain_numbers(F.col("force_params"))
+    computed = known.where(~plain)
+    tokens = computed.select("article", "default_params", "force_params").mapInArrow(_postfix_maps, TOKEN_MAPS)
+    empty = F.lit(None).cast(f"map<string, array<{fmt.TOKEN}>>")
+    return known.where(plain).withColumns({"default_tokens": empty, "force_tokens": empty, "computed": F.lit(False)}).unionByName(
+        computed.join(tokens, "article").withColumn("computed", F.lit(True)))
 
 
 def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:
     """J3, F-X5: product name, section, characteristic, or the reason there is none.
 
-    A line whose article is unknown or that lacks a required parameter gets an `error` and leaves the
-    other lines of its order alone.
+    A line whose article is unknown, whose article's parameter list is not known, or that lacks a required
+    parameter gets an `error` and leaves the other lines of its order alone.
     """
-    rules = rules_with_expressions(products)
-    dimension = broadcast_checked(
-        products.select(
-            "article", F.col("name").alias("product_name"), "section",
-            "xml_parameters", "default_params", "force_params",
-        )
-    )
+    dimension = broadcast_checked(compiled_products(products).withColumnRenamed("name", "product_name"))
     joined = lines.join(dimension, "article", "left")
-    built = fmt.numeric_characteristic(
-        F.col("xml_parameters"), F.col("params"), F.col("default_params"), F.col("force_params")
-    )
-    for rule in rules:
-        built = F.when(
-            F.col("article") == rule["article"], fmt.compiled_characteristic(rule, F.col("params"))
-        ).otherwise(built)
+    required = F.coalesce("xml_parameters", F.array().cast("array<string>"))
+    built = F.when(
+        F.col("computed"), fmt.settled_characteristic(required, F.col("params"), F.col("default_tokens"), F.col("force_tokens"))
+    ).otherwise(fmt.numeric_characteristic(required, F.col("params"), F.col("default_params"), F.col("force_params")))
+    unknown_list = (F.size(required) == 0) & (F.coalesce("provenance", F.lit("")) == "")
+    article = F.concat(F.lit("Для артикула "), "article")
+    tokens = F.coalesce(F.try_element_at("force_tokens", F.col("built_missing")), F.try_element_at("default_tokens", F.col("built_missing")))
+    invalid = F.filter(tokens, lambda t: t["kind"] == "invalid")
+    # Behind a generator, so that no filter or later column computes the parameters a second time.
     return (
-        joined.withColumn("built", built)
+        joined.select("*", F.inline(F.array(built)).alias("built_text", "built_missing"))
         .withColumns({
-            "characteristic": F.col("built.text"),
+            "characteristic": F.when(~unknown_list, F.col("built_text")),
             "error": F.when(
                 F.col("section").isNull(),
                 F.concat(F.lit("Артикул "), "article", F.lit(" не найден в сопоставлении")),
             ).when(
-                F.col("built.missing").isNotNull(),
-                F.concat(
-                    F.lit("Для артикула "), "article", F.lit(" не хватает параметра "), "built.missing"
-                ),
+                unknown_list, F.concat(article, F.lit(" неизвестен список параметров"))
+            ).when(
+                F.size(invalid) > 0, F.concat(article, F.lit(" недопустимо выражение параметра "), "built_missing", F.lit(": "), F.get(invalid, 0)["name"]),
+            ).when(
+                F.col("built_missing").isNotNull(), F.concat(article, F.lit(" не хватает параметра "), "built_missing"),
             ),
         })
-        .drop("built", "xml_parameters", "default_params", "force_params")
+        .drop("built_text", "built_missing", "xml_parameters", "default_params", "force_params", "default_tokens", "force_tokens", "computed", "provenance")
     )
 
 

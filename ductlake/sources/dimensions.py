@@ -44,31 +44,27 @@ def inline_table(spark: SparkSession, columns: list[str], rows: list[tuple]) ->
 # --- built-in tables --------------------------------------------------------------------------
 
 
-def _article_rows() -> list[list[str]]:
-    return [line.split("|") for line in fv.ARTICLE_TABLE.strip().splitlines()]
-
-
 def builtin_allowed(spark: SparkSession) -> DataFrame:
     return inline_table(
         spark, ["article", "section", "name"],
-        [(a, s or None, n or None) for a, s, n, _, _ in _article_rows()],
+        [(a, s, n) for a, s, n, _, _ in fv.ARTICLES],
     )
 
 
 def builtin_materials(spark: SparkSession) -> DataFrame:
     return inline_table(
         spark, ["article", "codes"],
-        [(a, codes.split(",")) for codes, names in fv.ARTICLE_MATERIALS.items() for a in names.split()],
+        list(fv.ARTICLE_MATERIALS.items()),
     )
 
 
 def builtin_product_rows() -> list[dict]:
     return [
         {
-            "article": a, "section": s or "round", "name": n, "xml_parameters": params.split(),
-            "default_params": {}, "force_params": fv.FORCED_PARAMS.get(a, {}), "provenance": origin,
+            "article": a, "section": s or "round", "name": n or "", "xml_parameters": params,
+            "default_params": {}, "force_params": fv.FORCED_PARAMS.get(a, {}), "provenance": origin or "",
         }
-        for a, s, n, params, origin in _article_rows()
+        for a, s, n, params, origin in fv.ARTICLES
     ]
 
 

@@ -75,15 +75,21 @@ def test_units_and_models(spark):
 
 
 def test_expressions(spark):
-    known = {"A0": F.lit(300.0), "B0": F.lit(200.0), "D0": F.lit(None).cast("double")}
-    assert one(spark, formatting.compile_expression("max(A0, B0) / 2", known)) == 150
-    assert one(spark, formatting.compile_expression("A0 + B0 * 2", known)) == 700
-    assert one(spark, formatting.compile_expression("max(A0, D0)", known)) is None
-    assert one(spark, formatting.compile_expression("A0 / 0", known)) is None
-    assert one(spark, formatting.compile_expression("A0 // 7 % 5 - round(2.5)", known)) == 0
-    for bad in ("__import__('os')", "().__class__", "A0['x']", "C9 + 1", "open(A0)"):
+    known = F.map_from_arrays(F.array(F.lit("A0"), F.lit("B0"), F.lit("D0")), F.array(F.lit(300.0), F.lit(200.0), F.lit(None).cast("double")))
+
+    def value(expression):
+        rows = spark.createDataFrame([(formatting.postfix(expression),)], f"tokens array<{formatting.TOKEN}>")
+        return rows.select(formatting.evaluate_postfix(F.col("tokens"), known).alias("v")).first().v
+
+    assert value("max(A0, B0) / 2") == 150
+    assert value("A0 + B0 * 2") == 700
+    assert value("max(A0, D0)") is None
+    assert value("A0 / 0") is None and value("C9 + 1") is None
+    assert value("A0 // 7 % 5 - round(2.5)") == 0
+    assert value("-(A0 - 100) ** 2 + min(3, 2, 7) * +1.5") == -39997 and value("round(A0 / 7, 2)") == 42.86 and value("-7 // 2 - (-7 % 3)") == -6
+    for bad in ("__import__('os')", "().__class__", "A0['x']", "open(A0)", "A0 if B0 else 1", "lambda: 1", "", "A0 +", "max(A0)", "'x'", "round(A0, digits=1)"):
         with pytest.raises(ValueError):
-            formatting.compile_expression(bad, known)
+            formatting.postfix(bad)
 
 
 def test_format_parameter(spark):

@@ -5,10 +5,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ductlake import fixed_values as fv
 from ductlake.functions import formatting, text
 from ductlake.operators import catalogue, equipment, export, grid, reports, running, spec_lines
 from ductlake.sources import dimensions as dim
-from ductlake.sinks import writers
+from ductlake.sinks import order_files, writers
 from ductlake.sources import offer_pages, spec_files
 
 
@@ -174,3 +175,86 @@ def test_a_quote_that_never_ends_is_an_error(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_text('Наименование;Количество\nОтвод;1\n"Тройник;' + "x" * (17 << 20), encoding="utf-8")
     lines, bad = spec_files.read_spec_files(spark, str(tmp_path))
     assert [r["name"] for r in lines.collect()] == ["Отвод"] and "field larger than field limit" in bad.first().error
+
+
+def order_fragments(spark, n_lines=25_000):
+    lines = spark.range(n_lines).select(
+        F.lit("1/а").alias("order_id"), F.col("id").alias("line_no"), F.lit("1-1-2").alias("article"),
+        F.expr("map('D0', 160D, 'L0', 10D)").alias("params"), F.lit(1).alias("quantity"), F.lit("1").alias("material_code"), F.lit(0.8).alias("thickness"),
+        *[F.lit("0").alias(f"connection_{i}") for i in range(4)], F.lit("").alias("system"), F.lit("c").alias("comment"))
+    small = lines.limit(40).withColumn("order_id", F.concat(F.lit("s"), F.col("line_no") % 20))
+    return export.order_xml(export.with_characteristic(lines.unionAll(small), dim.builtin_products(spark)), fragment_lines=1000)
+
+
+def test_an_order_over_many_tasks_is_one_file(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    fragments = order_fragments(spark)
+    order_files.write_order_files(fragments, str(tmp_path / "out"))
+    files = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert files == sorted(["order_1%2F%D0%B0.xml", *(f"order_s{i}.xml" for i in range(20))])
+    assert len(ElementTree.parse(tmp_path / "out" / files[0]).find("Tabl")) == 25_000
+    assert all(len(ElementTree.parse(tmp_path / "out" / f).find("Tabl")) == 2 for f in files[1:])
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception, match="FileExists"):
+        order_files.write_order_files(fragments, str(tmp_path / "out"))
+    order_files.write_order_files(fragments.where("order_id = 's1'"), f"file://{tmp_path}/out", overwrite=True)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["order_s1.xml"] and [p.name for p in tmp_path.iterdir()] == ["out"]
+    order_files.write_order_files(fragments.limit(0), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_the_pieces_of_an_order_come_from_several_tasks(spark, tmp_path):
+    spark.dataSource.register(order_files.OrderPieces)
+    fragments = order_fragments(spark).select("order_id", "fragment_no", "xml").repartitionByRange(4, "order_id", "fragment_no").sortWithinPartitions("order_id", "fragment_no")
+    fragments.write.format(order_files.PIECES).option("path", str(tmp_path / "staging")).mode("append").save()
+    pieces = {r.file: r.pieces for r in order_files.ordered_pieces(spark, str(tmp_path / "staging")).collect()}
+    assert len(pieces) == 21 and len(pieces["order_1%2F%D0%B0.xml"]) > 1
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    fragments = order_fragments(spark, 5_000).withColumn("xml", F.when(F.col("fragment_no") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("xml")))
+    with pytest.raises(Exception, match="lost"):
+        order_files.write_order_files(fragments, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_an_article_without_a_known_parameter_list_is_an_error(spark):
+    lines = spark.createDataFrame([("10-2-4", {"A0": 1.0}), ("1-1-2", {"D0": 160.0, "L0": 10.0})], "article string, params map<string,double>")
+    found = {r.article: (r.characteristic, r.error) for r in export.with_characteristic(lines, dim.builtin_products(spark)).collect()}
+    assert found == {"10-2-4": (None, "Для артикула 10-2-4 неизвестен список параметров"), "1-1-2": ("D00160D0_L00010L0_", None)}
+    own = spark.createDataFrame([("10-2-4", "x", "round", [], {}, {}, "file")], "article string, name string, section string, xml_parameters array<string>, default_params map<string,string>, force_params map<string,string>, provenance string")
+    assert export.with_characteristic(lines, own).where("article = '10-2-4' and characteristic = '' and error is null").count() == 1
+
+
+def test_many_products_with_expressions_are_data(spark):
+    ddl = "array<string>", "map<string,string>"
+    products = lambda n: spark.range(n).selectExpr(
+        "concat('p', id) as article", "'n' as name", "'round' as section", f"cast(array('D0', 'R0', 'U0') as {ddl[0]}) as xml_parameters",
+        "case id % 3 when 0 then map('R0', 'D0 * 1.5', 'U0', 'R0 + 1') when 1 then map('R0', concat('max(D0, ', id, ') / 2'), 'U0', '90') else map('R0', 'open(D0)', 'U0', '1') end as default_params",
+        "case when id % 5 = 0 then map('U0', 'round(U0 / 7)') else map() end as force_params")
+    lines = spark.range(20_000).selectExpr("concat('p', id) as article", "map('D0', cast(id % 900 as double)) as params")
+
+    def plan_size(n):
+        return len(export.with_characteristic(lines, products(n))._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(plan_size(20_000) - plan_size(50)) < 200
+    wrong = 0
+    for r in export.with_characteristic(lines, products(20_000)).collect():
+        i, d = int(r.article[1:]), float(r.params["D0"])
+        if i % 3 == 2:
+            wrong += not (r.characteristic is None and "недопустимо выражение параметра R0" in r.error)
+            continue
+        radius = d * 1.5 if i % 3 == 0 else max(d, i) / 2
+        angle = radius + 1 if i % 3 == 0 else 90
+        angle = round(angle / 7) if i % 5 == 0 else angle
+        wrong += (r.characteristic, r.error) != (f"D0{round(d):04d}D0_R0{round(radius)}R0_U0{round(angle)}U0_", None)
+    assert wrong == 0
+
+
+def test_fixed_values_are_what_was_published():
+    assert len(fv.ARTICLES) == 136 and len(fv.ARTICLE_MATERIALS) == 148 and fv.ARTICLES[0][:3] == ("1-1-1", "round", "Воздуховод круглого сечения прямошовный")
+    assert fv.ARTICLE_MATERIALS["17-1-1"] == ["1", "2"] and fv.ARTICLE_MATERIALS["20-1"] == ["1"] and fv.ARTICLE_MATERIALS["4-1-10"] == ["1", "2", "3"]
+    assert fv.DUCT_WORDS + fv.FITTING_WORDS[:2] == ["прямошовн", "спираль", "навивн", "фланец", "отвод"] and fv.RECT_HINTS == ["прямоуг", "прям", "п"]
+    assert (fv.DEFAULT_THICKNESS, fv.DEFAULT_ROUND_LENGTH_MM, fv.DEFAULT_RECT_LENGTH_MM, fv.DEFAULT_ADAPTER_L1_MM, fv.DEFAULT_MIN_OFFERS, fv.DEFAULT_MAX_AGE_DAYS) == (0.8, 3000.0, 1250.0, 50.0, 3, 7)
+    assert fv.FORCED_PARAMS == {"8-2-1": {"L0": "100"}} and fv.INTEGER_PARAMS == ["U0", "R0", "Z"] and len(fv.PADDED_PARAMS) == 20
