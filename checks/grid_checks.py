@@ -89,6 +89,48 @@ def first_wins_dedupe(spark, sf):
     return lines.select("doc_id", "line_no", "name", "unit", F.col("quantity").cast("double").alias("quantity"))
 
 
+# Equipment tables of five columns, turned by table: name, quantity, unit, manufacturer, position; some rows continue
+# the one above, some are headings, and a table lies on one of five pages.
+_EQUIPMENT_GRID = """
+SELECT p_partkey % 8 AS table_no, p_partkey % 8 % 5 + 1 AS page, p_partkey AS row_no, p_partkey % 8 % 5 AS turn,
+  CASE WHEN p_partkey % 91 = 0 THEN 'ОБОРУДОВАНИЕ' WHEN p_size % 6 = 5 THEN '' ELSE concat(p_name, ' ', p_brand) END AS k0,
+  CASE WHEN p_partkey % 91 = 0 OR p_size % 7 = 3 THEN '' ELSE replace(CAST(p_size + 0.5 AS STRING), '.', ',') END AS k1,
+  CASE WHEN p_partkey % 91 = 0 OR p_size % 6 = 2 THEN '' WHEN p_size % 2 = 0 THEN 'шт' ELSE 'м' END AS k2,
+  CASE WHEN p_partkey % 91 <> 0 AND p_size % 3 = 0 THEN 'SYSTEMAIR' ELSE '' END AS k3,
+  CASE WHEN p_partkey % 91 <> 0 AND p_size % 9 = 1 THEN CAST(p_partkey % 1000 AS STRING) ELSE '' END AS k4
+FROM {part}
+"""
+
+
+def equipment_document(spark, sf):
+    """Cells of whole tables to equipment lines: roles, headings, continued rows and validity, for the listed pages."""
+    wide = load(spark, sf, _EQUIPMENT_GRID)
+    places = F.array(*[F.struct(((F.lit(i) + F.col("turn")) % 5).cast("int").alias("col_no"), F.col(f"k{i}").alias("text")) for i in range(5)])
+    cells = wide.select("table_no", "page", "row_no", F.inline(places))
+    lines = grid.equipment_lines(grid.select_pages(cells, [1, 2, 4, 9]), ["page", "table_no"], block_rows=BLOCK)
+    return lines.select("page", "table_no", "row_no", "raw_name", "model", "manufacturer", "unit", "quantity")
+
+
+def free_header_lines(spark, sf):
+    """Tables with free headers to specification lines with defaults."""
+    rows = load(spark, sf, """SELECT s_suppkey AS row_no, s_name AS `Наименование / изделие`, CASE s_suppkey % 4 WHEN 0 THEN ' DN150 ' WHEN 1 THEN '100x200' WHEN 2 THEN 'сечение Ф 160' END AS `Размер`,
+        CASE WHEN s_suppkey % 3 = 0 THEN ' компл ' END AS `Ед.изм`, CASE s_suppkey % 5 WHEN 0 THEN 'нет' WHEN 1 THEN '2,5' ELSE CAST(s_nationkey AS STRING) END AS `Кол-во`,
+        CAST(NULL AS STRING) AS `Материал`, CASE WHEN s_suppkey % 2 = 0 THEN '0,9' ELSE 'x' END AS `Толщина_мм` FROM {supplier}""")
+    return schema.spec_rows(schema.normalise_columns(rows, ["row_no"]))
+
+
+def edited_rows(spark, sf):
+    """Rows edited by hand, with their keys and texts as typed."""
+    rows = load(spark, sf, """SELECT c_custkey AS ` ID `, concat('  ', c_name, ' ') AS `Name`, CASE c_custkey % 3 WHEN 0 THEN concat('{"D0": ', CAST(c_custkey % 900 AS STRING), '}') WHEN 1 THEN '{oops' END AS `Params`,
+        CASE c_custkey % 4 WHEN 0 THEN '3' WHEN 1 THEN ' 2,5 ' WHEN 2 THEN 'x' END AS `Quantity`, CASE c_custkey % 5 WHEN 0 THEN '1.2' WHEN 1 THEN '' ELSE 'abc' END AS `thickness ` FROM {customer}""".replace('{"D0"', '{{"D0"').replace("'}'", "'}}'").replace("'{oops'", "'{{oops'"))
+    return schema.editor_rows(rows).select("id", "name", params_text(F.col("params")).alias("params"), "quantity", "thickness")
+
+
+def page_selection(spark, sf):
+    lines = load(spark, sf, "SELECT l_orderkey, l_linenumber AS page, l_quantity FROM {lineitem}")
+    return grid.select_pages(lines, [1, 3, 99]).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
 _HEADER_CELLS = """
 SELECT l_orderkey AS table_no, l_linenumber AS col_no, CASE min(l_partkey) % 12
     WHEN 0 THEN 'Наименование' WHEN 1 THEN 'Размер сечения' WHEN 2 THEN 'Ед.изм' WHEN 3 THEN 'Кол-во'
@@ -111,8 +153,15 @@ SELECT p_partkey AS doc_id, 1 AS line_no, concat(p_name, CASE p_partkey % 3 WHEN
 """
 
 
+# A table of each even part: its lines are what the union keeps of that part.
+_TABLE_LINES = """
+SELECT p_partkey AS doc_id, p_name AS name, concat('D', CAST(p_size * 10 AS STRING)) AS size, 'шт' AS unit, CAST(p_size AS DOUBLE) AS quantity,
+  CAST(0.5 AS DOUBLE) AS thickness, 'черная' AS material FROM {part} WHERE p_partkey % 2 = 0 AND p_size % 3 > 0
+"""
+
+
 def text_line_fallback(spark, sf):
-    """Lines of documents (hardly any matches) and of part texts; documents of even parts have a table."""
+    """Lines of documents (hardly any matches) and of part texts; documents of even parts have a table, some an empty one."""
     docs = table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     )
@@ -120,7 +169,7 @@ def text_line_fallback(spark, sf):
     lines = grid.union_all([docs, parts])
     parsed = grid.text_spec_lines(lines, ["doc_id"])
     tables = load(spark, sf, "SELECT p_partkey AS doc_id FROM {part} WHERE p_partkey % 2 = 0")
-    return grid.table_or_text(parsed.limit(0), tables, parsed, ["doc_id"])
+    return grid.table_or_text(load(spark, sf, _TABLE_LINES), tables, parsed, ["doc_id"])
 
 
 # --- rules --------------------------------------------------------------------------------------
@@ -161,9 +210,30 @@ def characteristic(spark, sf):
 
 def order_xml(spark, sf):
     headers = load(spark, sf, "SELECT CAST(c_custkey AS BIGINT) AS order_id, c_name AS customer, concat('A&', c_mktsegment) AS contact FROM {customer}")
-    lines = _ordered(spark, sf).withColumn("error", F.when(F.col("order_id") % 7 == 3, F.col("error")))
-    lines = lines.withColumn("characteristic", F.coalesce("characteristic", F.lit("")))
-    return export.order_xml(lines, headers, fragment_lines=1000)
+    return export.order_xml(_ordered(spark, sf), headers, fragment_lines=1000)
+
+
+# Products with computed values and lines of them; the last kind's expression is not allowed.
+_COMPUTED = """
+SELECT concat('P', CAST(p_partkey AS STRING)) AS article, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'round' ELSE 'rectangular' END AS section,
+  array('A0', 'D0', 'R0', 'U0') AS xml_parameters,
+  map('R0', CASE p_partkey % 6 WHEN 0 THEN 'D0 * 1.5' WHEN 1 THEN 'max(A0, B0, 60) / 2' WHEN 2 THEN 'A0 + D0 * 2' WHEN 3 THEN 'round(D0 / 3)' WHEN 4 THEN '-A0 ** 2 + min(D0, 70)' ELSE 'open(D0)' END,
+    'U0', CASE p_partkey % 6 WHEN 2 THEN '(R0 - 3) // 7 % 5' ELSE '90' END) AS default_params,
+  CASE WHEN p_partkey % 4 = 0 THEN map('U0', 'U0 / 4 + 1') ELSE map() END AS force_params
+FROM {part}
+"""
+_COMPUTED_LINES = """
+SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part, CAST(l_quantity * 10 AS DOUBLE) AS d0, CAST(l_linenumber * 100 AS DOUBLE) AS a0,
+  CASE WHEN l_linenumber % 2 = 0 THEN CAST(50 AS DOUBLE) END AS b0, CASE WHEN l_linenumber = 5 THEN CAST(7 AS DOUBLE) END AS r0 FROM {lineitem}
+"""
+
+
+def default_expressions(spark, sf):
+    lines = load(spark, sf, _COMPUTED_LINES)
+    given = F.map_filter(F.create_map(*[x for p in ("A0", "B0", "D0", "R0") for x in (F.lit(p), F.col(p.lower()))]), lambda _, v: v.isNotNull())
+    lines = lines.select("order_id", "line_no", F.concat(F.lit("P"), F.col("part").cast("string")).alias("article"), given.alias("params"))
+    return export.with_characteristic(lines, load(spark, sf, _COMPUTED)).select(
+        "order_id", "line_no", "article", "characteristic", F.split("error", ":")[0].alias("error"))
 
 
 def connection_codes(spark, sf):
@@ -215,6 +285,11 @@ def catalogue_list(spark, sf):
     return reports.catalogue_list(load(spark, sf, _ENTRIES))
 
 
+def catalogue_columns(spark, sf):
+    entries = load(spark, sf, f"SELECT *, concat('ед', code) AS unit, length(name) AS weight FROM ({_ENTRIES}) AS e")
+    return reports.catalogue_list(entries, "unit", "weight")
+
+
 def first_entries(spark, sf):
     return reports.first_entries(load(spark, sf, _ENTRIES), 50)
 
@@ -253,7 +328,8 @@ def block_assembly(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         column_roles, sparse_row_merge, equipment_rows, header_carry_forward, first_wins_dedupe,
-        header_keyword_map, text_line_fallback, rule_category_match, characteristic, order_xml,
+        header_keyword_map, text_line_fallback, rule_category_match, characteristic, order_xml, default_expressions,
+        equipment_document, free_header_lines, edited_rows, page_selection, catalogue_columns,
         connection_codes, catalogue_match_score, catalogue_match_full, description_dims, reconcile,
         parameter_usage, catalogue_list, first_entries, connection_list, like_search, nested_orders,
         block_assembly,
@@ -351,6 +427,7 @@ def _characteristic_sql() -> tuple[str, str]:
 
 
 _CH_TEXT, _CH_MISSING = _characteristic_sql()
+_CH_KNOWN = o.in_list([article for article, _, _, params, _ in fv.ARTICLES if params])
 _NAMES = ", ".join(f"('{a}', '{n or ''}')" for a, _, n, _, _ in fv.ARTICLES)
 _PRODUCTS = ", ".join(
     f"({i}, '{a}', '{s or 'round'}', '{n or ''}')" for i, (a, s, n, _, _) in enumerate(fv.ARTICLES)
@@ -419,21 +496,42 @@ ORACLE = {
           FROM l WHERE length(line) >= 5 AND doc_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0))
         SELECT doc_id, trim(x.n, ' -;:') AS name, trim(x.s) AS size, lower(x.u) AS unit, CAST(replace(x.q, ',', '.') AS DOUBLE) AS quantity,
           coalesce(TRY_CAST(replace(regexp_extract(line, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*мм', 1), ',', '.') AS DOUBLE), 0.8) AS thickness, 'оцинкованная' AS material
-        FROM p WHERE x IS NOT NULL""",
+        FROM p WHERE x IS NOT NULL UNION ALL SELECT * FROM ({fx.for_oracle(_TABLE_LINES)}) AS tl""",
     "rule_category_match": _equipment_oracle(),
     "characteristic": f"""WITH {o.parsed(fx.for_oracle(fx.SPEC_LINE))}, n(article, pname) AS (VALUES {_NAMES}),
-        c AS (SELECT line_no, article, {_CH_TEXT} AS t, {_CH_MISSING} AS miss FROM out WHERE ordered)
-        SELECT line_no, article, CASE WHEN miss IS NULL THEN t END AS characteristic,
-          CASE WHEN miss IS NOT NULL THEN concat('Для артикула ', article, ' не хватает параметра ', miss) END AS error, pname AS product_name FROM c JOIN n USING (article)""",
+        c AS (SELECT line_no, article, {_CH_TEXT} AS t, {_CH_MISSING} AS miss, article IN {_CH_KNOWN} AS known FROM out WHERE ordered)
+        SELECT line_no, article, CASE WHEN known AND miss IS NULL THEN t END AS characteristic,
+          CASE WHEN NOT known THEN concat('Для артикула ', article, ' неизвестен список параметров') WHEN miss IS NOT NULL THEN concat('Для артикула ', article, ' не хватает параметра ', miss) END AS error, pname AS product_name FROM c JOIN n USING (article)""",
     "order_xml": f"""WITH {o.parsed(fx.for_oracle(fx.SPEC_LINE))}, n(article, pname) AS (VALUES {_NAMES}),
-        c AS (SELECT out.*, CASE WHEN {_CH_MISSING} IS NULL THEN {_CH_TEXT} ELSE '' END AS ch, {_CH_MISSING} AS miss FROM out WHERE ordered),
-        r AS (SELECT order_id, line_no, line_no // 1000 AS fragment_no, {_ROW_XML} AS x FROM c JOIN n USING (article) WHERE order_id % 7 <> 3 OR miss IS NULL),
+        c AS (SELECT out.*, {_CH_TEXT} AS ch, {_CH_MISSING} AS miss FROM out WHERE ordered AND article IN {_CH_KNOWN}),
+        r AS (SELECT order_id, line_no, line_no // 1000 AS fragment_no, {_ROW_XML} AS x FROM c JOIN n USING (article) WHERE miss IS NULL),
         p AS (SELECT order_id, fragment_no, count(*) AS n_lines, string_agg(x, '' ORDER BY line_no) AS body FROM r GROUP BY ALL),
         e AS (SELECT *, min(fragment_no) OVER (PARTITION BY order_id) AS lo, max(fragment_no) OVER (PARTITION BY order_id) AS hi FROM p)
         SELECT order_id, CAST(fragment_no AS BIGINT) AS fragment_no, CAST(n_lines AS INTEGER) AS n_lines, concat(
           CASE WHEN fragment_no = lo THEN '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Order>' || chr(10) || {_HEAD_XML} || '  <Tabl>' || chr(10) ELSE '' END, body,
           CASE WHEN fragment_no = hi THEN '  </Tabl>' || chr(10) || '</Order>' || chr(10) ELSE '' END) AS xml
         FROM e LEFT JOIN customer ON c_custkey = order_id""",
+    "default_expressions": f"""WITH l AS (SELECT *, 'P' || CAST(part AS VARCHAR) AS article FROM ({fx.for_oracle(_COMPUTED_LINES)}) AS x),
+        r AS (SELECT *, coalesce(r0, CASE part % 6 WHEN 0 THEN d0 * 1.5 WHEN 1 THEN CASE WHEN b0 IS NOT NULL THEN greatest(a0, b0, 60) / 2 END WHEN 2 THEN a0 + d0 * 2
+            WHEN 3 THEN round_even(d0 / 3, 0) WHEN 4 THEN -(a0 * a0) + least(d0, 70) END) AS rr FROM l),
+        u AS (SELECT *, CASE WHEN part % 6 = 2 THEN floor((rr - 3) / 7) - 5 * floor(floor((rr - 3) / 7) / 5) ELSE 90 END AS u1 FROM r),
+        f AS (SELECT *, CASE WHEN part % 4 = 0 THEN u1 / 4 + 1 ELSE u1 END AS u0 FROM u)
+        SELECT order_id, line_no, article, CASE WHEN rr IS NOT NULL THEN concat('A0', printf('%04d', CAST(a0 AS BIGINT)), 'A0_D0', printf('%04d', CAST(d0 AS BIGINT)), 'D0_R0',
+            CAST(round_even(rr, 0) AS BIGINT), 'R0_U0', CAST(round_even(u0, 0) AS BIGINT), 'U0_') END AS characteristic,
+          CASE WHEN rr IS NULL THEN concat('Для артикула ', article, CASE WHEN part % 6 = 5 THEN ' недопустимо выражение параметра R0' ELSE ' не хватает параметра R0' END) END AS error FROM f""",
+    "equipment_document": f"""WITH g AS (SELECT * FROM ({fx.for_oracle(_EQUIPMENT_GRID)}) AS x WHERE page IN (1, 2, 4) AND k0 <> 'ОБОРУДОВАНИЕ' AND concat(k0, k1, k2, k3, k4) <> ''),
+        v AS (SELECT *, k0 = '' AND concat(k1, k2, k3, k4) <> '' AND regexp_full_match(concat_ws(' ', nullif(k1, ''), nullif(k4, '')), '[0-9\s,]+') AND concat(k2, k3) = '' AS digits_only FROM g),
+        n AS (SELECT *, sum(CASE WHEN k0 <> '' OR NOT (k1 <> '' OR k2 <> '' OR k3 <> '' OR k4 <> '') THEN 1 ELSE 0 END) OVER (PARTITION BY page, table_no ORDER BY row_no) AS grp FROM v WHERE NOT digits_only),
+        m AS (SELECT page, table_no, grp, min(row_no) AS row_no, arg_min(k0, row_no) AS opening, arg_max(k0, row_no) FILTER (WHERE k0 <> '') AS raw_name, arg_max(k1, row_no) FILTER (WHERE k1 <> '') AS quantity,
+            arg_max(k2, row_no) FILTER (WHERE k2 <> '') AS unit, arg_max(k3, row_no) FILTER (WHERE k3 <> '') AS manufacturer FROM n GROUP BY ALL)
+        SELECT page, table_no, row_no, raw_name, '' AS model, coalesce(manufacturer, '') AS manufacturer, coalesce(unit, 'шт') AS unit, quantity FROM m WHERE opening <> '' AND quantity IS NOT NULL""",
+    "free_header_lines": """SELECT s_suppkey AS row_no, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'DN150' WHEN 1 THEN '100x200' WHEN 2 THEN 'сечение Ф 160' ELSE '' END AS size,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'компл' WHEN s_suppkey % 4 IN (0, 1, 2) THEN 'м' ELSE 'шт' END AS unit,
+        CASE s_suppkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 2.5 ELSE CAST(s_nationkey AS DOUBLE) END AS quantity, 'оцинкованная' AS material, CASE WHEN s_suppkey % 2 = 0 THEN 0.9 ELSE 0.8 END AS thickness FROM supplier""",
+    "edited_rows": """SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('D0=', c_custkey % 900) ELSE '' END AS params,
+        CASE c_custkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 2.5 ELSE 0.0 END AS quantity, CASE WHEN c_custkey % 5 = 0 THEN 1.2 ELSE 0.8 END AS thickness FROM customer""",
+    "page_selection": "SELECT l_linenumber AS page, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY ALL",
+    "catalogue_columns": f"WITH e AS ({fx.for_oracle(_ENTRIES)}) SELECT e.code, e.name, concat('ед', e.code) AS unit, length(e.name) AS weight, g.name AS group_name FROM e LEFT JOIN e AS g ON e.parent_code = g.code WHERE NOT e.is_group AND NOT e.is_deleted",
     "connection_codes": f"""SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN CASE WHEN {_SECTION_ROUND} THEN '1' ELSE '0' END
         WHEN 1 THEN CASE WHEN {_SECTION_ROUND} THEN '2' ELSE '8' END WHEN 2 THEN CASE WHEN {_SECTION_ROUND} THEN '2' ELSE '8' END
         WHEN 3 THEN CASE WHEN {_SECTION_ROUND} THEN '3' ELSE '0' END WHEN 4 THEN CASE WHEN {_SECTION_ROUND} THEN '4' ELSE '5' END
