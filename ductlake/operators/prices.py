@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import queries as q
-from ductlake.operators.equipment import _by_rule
 from ductlake.session import spread
 
 ITEM_KEYS = ["item_name", "item_size"]
@@ -141,10 +140,7 @@ def expand_items(items: DataFrame, stop_words: list[str] | None = None) -> DataF
 def _stage(offers: DataFrame, stage: int, sources: list[str] | None, columns: list[str]) -> DataFrame:
     """Relevant offers with the stage they belong to and their arrival order."""
     if sources:
-        position = _by_rule(
-            F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int") - 1,
-            [F.lit(i) for i in range(len(sources))],
-        )
+        position = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int") - 1
         registered = offers.filter(F.col("source").isin(sources)).withColumn("source_no", position)
     else:
         registered = offers.withColumn("source_no", F.lit(0))

@@ -105,10 +105,55 @@ def test_equal_lines_count_as_many(spark):
     assert of(apart) == of(together) and of(together)[0].n_lines == 2
 
 
-def test_too_many_rules_are_an_error(spark):
-    rules = spark.range(equipment.MAX_RULES + 1).selectExpr("id as priority")
-    with pytest.raises(ValueError):
-        equipment.rules_from(rules)
+def many_rules(spark, n):
+    letters = "translate(cast(id as string), '0123456789', 'абвгдежзик')"
+    return spark.range(n).selectExpr(
+        "id as priority", "concat('r', id) as id", "concat('Имя ', id) as name", f"array(concat({letters}, 'х'), concat('К', {letters}, ' ', {letters})) as keywords",
+        "array(concat('Z', id), case when id % 3 = 0 then 'общий' end) as aliases", "case when id % 7 > 0 then concat('1-', id) end as article_round", "concat('2-', id) as article_rect",
+        "array('(?<A>[0-9]+)x(?<B>[0-9]+)', concat('\\\\b[zZ]', id, '-(?<D>[0-9]+)'), '(bad') as dimension_patterns",
+        "map('L0', cast(id as double)) as default_params", "map('A0', 'D0', 'B0', 'A0') as round_derived_params")
+
+
+def test_many_rules_equal_brute_force(spark, monkeypatch):
+    import random
+    import re
+
+    monkeypatch.setattr(equipment, "AUTOMATON_BYTES", 400_000)
+    rules = many_rules(spark, 50_000)
+    plain = rules.orderBy("priority").collect()
+    rng = random.Random(2)
+    texts = ["", "общий", "не общий-то", "необщий", "Вентилятор z7", "z12", "xz12", "z12_"]
+    for _ in range(250):
+        r = plain[rng.randrange(50_000)]
+        texts.append(rng.choice([f"изделие {r.keywords[0]} 10x20", f"{r.keywords[1].upper()}!", f"Z{r.priority}-{rng.randrange(100, 900)}", f"aZ{r.priority}", f"насос z{r.priority}-5", f"слово {rng.randrange(99)}"]))
+    lines = spark.createDataFrame([(i, t, None, "", None) for i, t in enumerate(texts)], "n int, raw_name string, model string, unit string, quantity string")
+    lists = equipment.pattern_lists(equipment.rules_from(rules))
+    assert len(lists) > 3
+    got = {r.n: r for r in equipment.map_equipment(lines, rules, ["насос", "вентилятор"]).collect()}
+    # One pattern of all keywords would hide which rule is first, so every rule is asked in turn.
+    tests = [([k.lower() for k in r.keywords], [(a.lower(), re.compile(r"\b" + re.escape(a.lower()) + r"\b")) for a in r.aliases if a]) for r in plain]
+    for i, text in enumerate(texts):
+        low = text.lower()
+        first = next((n for n, (keywords, aliases) in enumerate(tests) if any(k in low for k in keywords) or any(a in low and p.search(low) for a, p in aliases)), None)
+        r = got[i]
+        if first is None:
+            word = next((w for w in ("насос", "вентилятор") if w in low), None)
+            assert r.reason == (f"Оборудование не производится ({word})" if word else "Не удалось распознать категорию"), text
+            continue
+        pair, alone = re.search(r"([0-9]+)x([0-9]+)", text), re.search(rf"\b[zZ]{first}-([0-9]+)", text)
+        if pair:
+            assert (r.article, r.params) == (f"2-{first}", {"A0": float(pair[1]), "B0": float(pair[2]), "L0": float(first)}), text
+        elif alone:
+            d = float(alone[1])
+            assert (r.article, r.params) == (f"1-{first}" if first % 7 else f"2-{first}", {"D0": d, "A0": d, "B0": d, "L0": float(first)}), text
+        else:
+            assert r.reason == f"Не удалось извлечь размеры для категории Имя {first}", text
+
+
+def test_plan_size_does_not_depend_on_the_rules(spark):
+    lines = spark.createDataFrame([("x", "", "", "")], "raw_name string, model string, unit string, quantity string")
+    sizes = [len(equipment.map_equipment(lines, many_rules(spark, n))._jdf.queryExecution().optimizedPlan().toString()) for n in (5, 5_000)]
+    assert abs(sizes[0] - sizes[1]) < 100
 
 
 def test_order_documents_as_a_table(spark, tmp_path):
