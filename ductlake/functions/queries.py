@@ -58,7 +58,11 @@ def query_keywords(query: Column) -> Column:
 
 def is_relevant(title: Column, keywords: Column) -> Column:
     """All keywords but one (and at least one) occur in the title; no keywords accept everything."""
-    lowered = F.lower(title)
+    return has_keywords(F.lower(title), keywords)
+
+
+def has_keywords(lowered: Column, keywords: Column) -> Column:
+    """As `is_relevant`, for a title in lower case."""
     hits = F.size(F.filter(keywords, lambda k: F.contains(lowered, k)))
     return (F.size(keywords) == 0) | (hits >= F.greatest(F.lit(1), F.size(keywords) - 1))
 

@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ductlake import fixed_values as fv
 from ductlake.functions import queries as q
@@ -41,8 +42,9 @@ def _is_valid(offers: DataFrame) -> Column:
 
 def relevant_offers(offers: DataFrame) -> DataFrame:
     """Offers whose title fits the query they answer."""
-    keyed = offers.withColumn("_keywords", q.query_keywords(F.col("query")))
-    return keyed.filter(q.is_relevant(F.col("title"), F.col("_keywords"))).drop("_keywords")
+    # Behind a generator: keywords and the lowered title are computed once a row, not wherever the test names them.
+    keyed = offers.select("*", F.inline(F.array(F.struct(q.query_keywords(F.col("query")).alias("_keywords"), F.lower("title").alias("_title")))))
+    return keyed.filter(q.has_keywords(F.col("_title"), F.col("_keywords"))).select(*offers.columns)
 
 
 def fresh_offers(history: DataFrame, as_of: datetime | str, max_age_days: int) -> DataFrame:
@@ -150,18 +152,59 @@ def _stage(offers: DataFrame, stage: int, sources: list[str] | None, columns: li
     )
 
 
+def _partial_answers(n: int):
+    """Of each batch and (stage, query): the n cheapest priced offers; the first row carries the number of all."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            keyed = table.append_column("unpriced", pc.invert(table["priced"]))
+            order = pc.sort_indices(keyed, sort_keys=[(c, "ascending") for c in ("stage", "query", "unpriced", "price", "source_no", "seq")])
+            kept = keyed.take(order)
+            stage = kept["stage"].combine_chunks().to_numpy(zero_copy_only=False)
+            query = kept["query"].combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, (stage[1:] != stage[:-1]) | (query[1:] != query[:-1])])
+            sizes = np.diff(np.r_[starts, len(stage)])
+            place = np.arange(len(stage)) - np.repeat(starts, sizes)
+            unpriced = kept["unpriced"].combine_chunks().to_numpy(zero_copy_only=False)
+            wanted = (place == 0) | ((place < n) & ~unpriced)
+            counts = np.where(place == 0, np.repeat(sizes, sizes), 0)
+            out = kept.drop_columns("unpriced").append_column("n_offers", pa.array(counts, pa.int64()))
+            yield from out.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return run
+
+
+# Shares of a hot query in the first of two steps, after each batch of offers is reduced to n of a query.
+ANSWER_SALTS = 64
+
+
 def query_answers(staged: DataFrame, n: int = 3) -> DataFrame:
-    """Per stage and query: number of relevant offers and its n cheapest.
+    """Per stage and query: number of relevant offers and its n cheapest, in one pass over the offers.
 
     What an item keeps is among the n cheapest of each of its queries, so offers are reduced to one
-    row per query before items come in; a query shared by many items does not multiply offers.
+    row per query before items come in; a query shared by many items does not multiply offers.  A count and
+    n offers merge with others of the same query: they are made of each batch, before any exchange, and
+    meet in two steps, the first by shares of a query.
     """
+    known = staged.filter(F.col("query").isNotNull()).withColumn("priced", F.coalesce(F.col("price") > 0, F.lit(False)))
+    schema = T.StructType([*known.schema.fields, T.StructField("n_offers", T.LongType())])
+    merged = known.mapInArrow(_partial_answers(n), schema).withColumn("salt", F.pmod(F.xxhash64("seq", "source_no"), F.lit(ANSWER_SALTS)))
     keys = ["stage", "query"]
-    counts = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_offers"))
-    top = top_offers(staged, keys, ["source_no", "seq"], n).groupBy(*keys).agg(
-        F.collect_list(F.struct("price", "source_no", "seq", "offer")).alias("top")
-    )
-    return counts.join(top, keys, "left")
+    for by in ([*keys, "salt"], keys):
+        part = Window.partitionBy(*by)
+        merged = merged.withColumns({
+            "n_offers": F.sum("n_offers").over(part),
+            "rank": F.row_number().over(part.orderBy(F.desc("priced"), "price", "source_no", "seq")),
+        }).filter((F.col("rank") == 1) | (F.col("priced") & (F.col("rank") <= n))).withColumn(
+            "n_offers", F.when(F.col("rank") == 1, F.col("n_offers")).otherwise(F.lit(0)))
+    offer = F.struct("price", "source_no", "seq", "offer")
+    return merged.groupBy(*keys).agg(F.sum("n_offers").alias("n_offers"), F.collect_list(F.when(F.col("priced"), offer)).alias("top"))
 
 
 def search(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import formatting, text
-from ductlake.operators import catalogue, equipment, export, grid, reports, running, spec_lines
+from ductlake.operators import catalogue, equipment, export, grid, prices, reports, running, spec_lines
 from ductlake.sources import dimensions as dim
 from ductlake.sinks import order_files, writers
 from ductlake.sources import offer_pages, spec_files
@@ -303,3 +303,25 @@ def test_fixed_values_are_what_was_published():
     assert fv.DUCT_WORDS + fv.FITTING_WORDS[:2] == ["прямошовн", "спираль", "навивн", "фланец", "отвод"] and fv.RECT_HINTS == ["прямоуг", "прям", "п"]
     assert (fv.DEFAULT_THICKNESS, fv.DEFAULT_ROUND_LENGTH_MM, fv.DEFAULT_RECT_LENGTH_MM, fv.DEFAULT_ADAPTER_L1_MM, fv.DEFAULT_MIN_OFFERS, fv.DEFAULT_MAX_AGE_DAYS) == (0.8, 3000.0, 1250.0, 50.0, 3, 7)
     assert fv.FORCED_PARAMS == {"8-2-1": {"L0": "100"}} and fv.INTEGER_PARAMS == ["U0", "R0", "Z"] and len(fv.PADDED_PARAMS) == 20
+
+
+def test_offers_are_read_once_and_a_hot_query_is_spread(spark, tmp_path):
+    import re
+
+    names = "source string, query string, title string, price decimal(18,2), seq long"
+    offers = spark.range(1_000_000).selectExpr(
+        "case when id % 2 = 0 then 'A' else 'B' end as source", "case when id % 5 = 0 then concat('клапан ', id % 200) else 'клапан' end as query", "'Клапан x' as title",
+        "cast(case when id % 3 = 0 then 0 else (id * 7919) % 1000003 + 1 end as decimal(18,2)) as price", "id as seq")
+    offers.write.parquet(str(tmp_path / "offers"))
+    stored = spark.read.schema(names).parquet(str(tmp_path / "offers"))
+    fallback = spark.createDataFrame([("F", "клапан", "клапан", None, 1), ("F", None, "клапан", 1, 2)], "source string, query string, title string, price int, seq long").withColumn("price", F.col("price").cast("decimal(18,2)"))
+    items = spark.createDataFrame([("клапан", ""), ("клапан", "7"), ("насос", "")], "item_name string, item_size string")
+    found = prices.search(items, stored, fallback, sources=["B", "A"], min_offers=900_000, stop_words=[])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[", plan)) == 1
+    rows = {(r.item_name, r.item_size): r for r in found.collect()}
+    expected = sorted(((i * 7919) % 1000003 + 1, i) for i in range(1_000_000) if i % 3 and i % 5)[:3]
+    hot = rows["клапан", ""]
+    assert (hot.n_queries, hot.n_found, hot.used_fallback) == (2, 800_001, True)
+    assert [(int(o.price), o.seq) for o in hot.top] == expected
+    assert rows["насос", ""].n_found == 0 and rows["насос", ""].top in (None, [])
