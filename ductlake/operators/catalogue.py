@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductlake.functions import matching as m
@@ -13,6 +13,8 @@ from ductlake.session import spread
 PIECE = 512
 # A catalogue of at most so many pieces (4096 products) is broadcast; a larger one is joined.
 BROADCAST_PIECES = 8
+# Parts in which classes of products meet classes of texts.
+CLASS_PIECES = 8
 
 
 def _product_features(products: DataFrame) -> DataFrame:
@@ -46,6 +48,57 @@ def description_features(texts: DataFrame, column: str = "description") -> DataF
     })
 
 
+TEXT_CLASS = ["text_mask", "text_hints", "inferred"]
+
+
+def product_classes(products: DataFrame, top_n: int) -> DataFrame:
+    """(section, mask, best): products that every text scores alike, and their first `top_n` in catalogue order.
+
+    The rank is cut per task before the exchange, so a class of very many products sends n rows a task.
+    """
+    first = Window.partitionBy("section", "mask").orderBy("catalogue_pos", "article")
+    kept = _product_features(products).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= top_n)
+    return kept.groupBy("section", "mask").agg(F.collect_list(F.struct("catalogue_pos", "article")).alias("best"))
+
+
+def scored_classes(texts: DataFrame, classes: DataFrame, top_n: int) -> DataFrame:
+    """Text classes with their best products: (`TEXT_CLASS`, best of (neg, catalogue_pos, article)).
+
+    Sections, word bits and hints are all that a score without letters looks at, so classes of texts meet
+    classes of products; both are bounded by the words and not by the number of texts or products.
+    """
+    pieces = classes.withColumn("piece", F.pmod(F.xxhash64("section", "mask"), F.lit(CLASS_PIECES)).cast("int")).groupBy("piece").agg(
+        F.collect_list(F.struct("section", "mask", "best")).alias("classes"))
+    asked = texts.select(*TEXT_CLASS).distinct().withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(CLASS_PIECES - 1))))
+
+    def of_class(c: Column) -> Column:
+        base = m.keyword_score(F.col("text_mask"), F.col("text_hints"), c["mask"], c["section"]) + m.section_bonus(F.col("inferred"), c["section"])
+        return F.transform(c["best"], lambda p: F.struct((-base).alias("neg"), p["catalogue_pos"].alias("catalogue_pos"), p["article"].alias("article")))
+
+    def best(entries: Column) -> Column:
+        return F.slice(F.array_sort(entries), 1, top_n)
+
+    of_piece = asked.join(pieces, "piece").select(*TEXT_CLASS, best(F.flatten(F.transform("classes", of_class))).alias("best"))
+    return of_piece.groupBy(*TEXT_CLASS).agg(best(F.flatten(F.collect_list("best"))).alias("best"))
+
+
+def match_by_classes(texts: DataFrame, products: DataFrame, top_n: int = 5, column: str = "description") -> DataFrame:
+    """As `match_descriptions` without letters, class by class: (description, rank, article, score)."""
+    described = description_features(texts, column)
+    found = scored_classes(described, product_classes(products, top_n), top_n)
+    known = [F.coalesce(F.col("inferred"), F.lit("")).alias("inferred_") if c == "inferred" else F.col(c) for c in TEXT_CLASS]
+    keys = ["text_mask", "text_hints", "inferred_"]
+    joined = described.select("description", *known).join(spread(found.select(*known, "best"), *TEXT_CLASS[:2]), keys)
+    return _ranks(joined)
+
+
+def _ranks(ranked: DataFrame) -> DataFrame:
+    return ranked.select("description", F.posexplode("best").alias("pos", "b")).select(
+        "description", (F.col("pos") + 1).alias("rank"), F.col("b.article").alias("article"),
+        (-F.col("b.neg")).alias("score"),
+    )
+
+
 def _held(name: str, value: Column) -> Column:
     return F.inline(F.array(F.struct(value.alias(name))))
 
@@ -58,8 +111,11 @@ def match_descriptions(
 
     Descriptions are deduplicated first.  Scoring is one projection per catalogue piece; a piece
     keeps only the products whose largest possible score can still reach the n-th surest one, and
-    only those are compared letter by letter.  Join the result back on the description.
+    only those are compared letter by letter.  Join the result back on the description.  Without letters
+    the work is by classes (`match_by_classes`).
     """
+    if not with_similarity:
+        return match_by_classes(texts, products, top_n, column)
     pieces = product_pieces(products)
     n_pieces = (products.agg(F.max("catalogue_pos")).first()[0] or 0) // PIECE + 1
     features = description_features(texts, column).withColumn(
@@ -90,56 +146,36 @@ def match_descriptions(
             ),
         ),
     )
-    if with_similarity:
-        # Each step leaves through a generator: a column used inside a lambda would otherwise be
-        # computed again for every element.
-        held = scored.select("description", "norm", _held("scored", F.col("scored")))
-        sure = F.sort_array(F.transform("scored", lambda s: s["base"]), asc=False)
-        floored = held.select(
-            "description", "norm", "scored", _held("floor", F.coalesce(F.get(sure, top_n - 1), F.lit(-1.0)))
-        )
-        pruned = floored.select(
-            "description", "norm",
-            _held("scored", F.filter("scored", lambda s: s["base"] + s["bound"] * 10 >= F.col("floor"))),
-        )
-        best = m.top_similar(top_n)(
-            F.col("norm"),
-            F.transform("scored", lambda s: s["name"]),
-            F.transform("scored", lambda s: s["base"]),
-            F.transform("scored", lambda s: s["bound"]),
-        )
-        ranked = pruned.withColumn("best", best).withColumn(
-            "best",
-            F.transform(
-                "best",
-                lambda b: F.struct(
-                    (-b["score"]).alias("neg"),
-                    F.get(F.col("scored"), b["position"])["catalogue_pos"].alias("catalogue_pos"),
-                    F.get(F.col("scored"), b["position"])["article"].alias("article"),
-                ),
-            ),
-        )
-    else:
-        ranked = scored.withColumn(
+    # Each step leaves through a generator: a column used inside a lambda would otherwise be
+    # computed again for every element.
+    held = scored.select("description", "norm", _held("scored", F.col("scored")))
+    sure = F.sort_array(F.transform("scored", lambda s: s["base"]), asc=False)
+    floored = held.select(
+        "description", "norm", "scored", _held("floor", F.coalesce(F.get(sure, top_n - 1), F.lit(-1.0)))
+    )
+    pruned = floored.select(
+        "description", "norm",
+        _held("scored", F.filter("scored", lambda s: s["base"] + s["bound"] * 10 >= F.col("floor"))),
+    )
+    best = m.top_similar(top_n)(
+        F.col("norm"),
+        F.transform("scored", lambda s: s["name"]),
+        F.transform("scored", lambda s: s["base"]),
+        F.transform("scored", lambda s: s["bound"]),
+    )
+    ranked = pruned.withColumn("best", best).withColumn(
+        "best",
+        F.transform(
             "best",
-            F.slice(
-                F.array_sort(
-                    F.transform(
-                        "scored",
-                        lambda s: F.struct(
-                            (-s["base"]).alias("neg"), s["catalogue_pos"].alias("catalogue_pos"),
-                            s["article"].alias("article"),
-                        ),
-                    )
-                ),
-                1, top_n,
+            lambda b: F.struct(
+                (-b["score"]).alias("neg"),
+                F.get(F.col("scored"), b["position"])["catalogue_pos"].alias("catalogue_pos"),
+                F.get(F.col("scored"), b["position"])["article"].alias("article"),
             ),
-        )
+        ),
+    )
     if n_pieces > 1:
         ranked = ranked.groupBy("description").agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top_n).alias("best")
         )
-    return ranked.select("description", F.posexplode("best").alias("pos", "b")).select(
-        "description", (F.col("pos") + 1).alias("rank"), F.col("b.article").alias("article"),
-        (-F.col("b.neg")).alias("score"),
-    )
+    return _ranks(ranked)

@@ -90,7 +90,7 @@ def test_folder_of_specifications(spark, tmp_path):
 def test_a_large_catalogue_is_joined_to_the_same_result(spark, monkeypatch):
     products = spark.range(300).selectExpr("id as catalogue_pos", "concat('a', id) as article", "'round' as section", "concat('Отвод круглый ', id % 40) as name")
     texts = spark.range(60).selectExpr("concat('Отвод ', id, ' круглый D160') as description")
-    found = lambda: sorted(tuple(r) for r in catalogue.match_descriptions(texts, products, top_n=3, with_similarity=False).collect())
+    found = lambda: sorted(tuple(r) for r in catalogue.match_descriptions(texts, products, top_n=3).collect())
     whole = found()
     monkeypatch.setattr(catalogue, "PIECE", 20)
     monkeypatch.setattr(catalogue, "BROADCAST_PIECES", 1)
@@ -325,3 +325,22 @@ def test_offers_are_read_once_and_a_hot_query_is_spread(spark, tmp_path):
     assert (hot.n_queries, hot.n_found, hot.used_fallback) == (2, 800_001, True)
     assert [(int(o.price), o.seq) for o in hot.top] == expected
     assert rows["насос", ""].n_found == 0 and rows["насос", ""].top in (None, [])
+
+
+def test_classes_of_a_catalogue_equal_all_pairs(spark):
+    words = "array('отвод', 'переход', 'тройник', 'заглушка', 'прямошовный', 'спирально-навивной', 'решетка', 'узел')"
+    products = spark.range(10_000).selectExpr(
+        "(id * 7919) % 10000 as catalogue_pos", "concat('a', id) as article", "case id % 3 when 0 then 'round' when 1 then 'rectangular' end as section",
+        f"concat(element_at({words}, cast(id % 8 + 1 as int)), ' ', element_at({words}, cast(id div 8 % 8 + 1 as int)), ' ', id) as name")
+    texts = spark.range(300).selectExpr(f"concat(element_at({words}, cast(id % 8 + 1 as int)), ' ', element_at({words}, cast(id div 8 % 8 + 1 as int)), case id % 4 when 0 then ' D160' when 1 then ' 100x200' else ' ю' end, ' ', id) as description")
+    described, classes = catalogue.description_features(texts).persist(), catalogue.product_classes(products, 5)
+    pairs = described.select(*catalogue.TEXT_CLASS).distinct().count() * classes.count()
+    assert pairs < 300 * 10_000 / 10
+    scores = catalogue.m.keyword_score(F.col("text_mask"), F.col("text_hints"), F.col("mask"), F.col("section")) + catalogue.m.section_bonus(F.col("inferred"), F.col("section"))
+    plain = {}
+    for r in described.join(catalogue._product_features(products), how="cross").select("description", "article", "catalogue_pos", scores.alias("score")).collect():
+        plain.setdefault(r.description, []).append((-r.score, r.catalogue_pos, r.article))
+    got = {}
+    for r in catalogue.match_descriptions(texts, products, with_similarity=False).orderBy("description", "rank").collect():
+        got.setdefault(r.description, []).append((r.article, r.score))
+    assert got == {d: [(a, -s) for s, _, a in sorted(v)[:5]] for d, v in plain.items()}
