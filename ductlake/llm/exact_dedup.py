@@ -8,7 +8,8 @@ open-addressing table, and compares complete contents there.  Rows then get thei
 number of their representative.  Spill files are the task's own and go when it ends.
 
 Defined results: a null text equals an empty one; of equal texts the row with the largest doc_id stays, of
-repeated rows with that doc_id exactly one; null doc_ids count as smallest; other columns are ignored.
+repeated rows with that doc_id exactly one; null doc_ids count as smallest; other columns are ignored; very long
+texts are compared whole, one at a time in memory; an empty table gives no rows.
 """
 
 from __future__ import annotations

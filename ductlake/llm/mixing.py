@@ -83,13 +83,3 @@ def mix_sources(
     keyed = copies.withColumn("shuffle_key", draw(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")))
     # Dealt by the key and sorted inside each part: a shuffle of the whole mixture with one exchange.
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
-
-
-def poisson_thresholds(rate: float, terms: int = TERMS) -> list[float]:
-    """Sums of the Poisson distribution, for tests."""
-    p, total, out = math.exp(-rate), math.exp(-rate), []
-    for k in range(1, terms + 1):
-        out.append(total)
-        p = p * rate / k
-        total += p
-    return out

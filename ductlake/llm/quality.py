@@ -10,8 +10,9 @@ Two features are shapes and not strings: a word that repeats the one before it,
 which weighs more the shorter the text is.
 
 Defined results: null texts count as empty; a text without a word scores 0; without labels of
-both kinds every other score is 0.5; of several labels for a doc_id the smallest counts; repeated rows get equal
-scores; very long texts are read in blocks cut at white space; other columns are ignored.
+both kinds every other score is 0.5; of several labels for a doc_id the smallest counts, and of several texts
+for a labelled one the text of the smallest hash; repeated rows get equal scores; very long texts are read in
+blocks cut at white space; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -135,19 +136,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.nda
     """Train on at most `sample` labelled documents, chosen by a hash of doc_id."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
     def run(batches):
         for batch in batches:
-            for doc, text, label in zip(*(batch.column(k) for k in range(3))):
+            for doc, text, label, text_hash in zip(*(batch.column(k) for k in range(4))):
                 buckets, counts = features(text.as_py())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([doc.as_py()], pa.int64()), pa.array([buckets.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([counts.astype("<f4").tobytes()], pa.binary()), pa.array([label.as_py()], pa.int32())], names=["doc_id", "buckets", "counts", "label"])
-
-    found = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label").mapInArrow(run, "doc_id long, buckets binary, counts binary, label int")
-    samples = sorted(((r.doc_id, r.buckets, r.counts, r.label) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4"), label) for _, b, c, label in samples[: 2 * sample]])
+                    pa.array([doc.as_py()], pa.int64()), pa.array([text_hash.as_py()], pa.int64()), pa.array([buckets.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([counts.astype("<f4").tobytes()], pa.binary()), pa.array([label.as_py()], pa.int32())], names=["doc_id", "text_hash", "buckets", "counts", "label"])
+
+    found = texts.mapInArrow(run, "doc_id long, text_hash long, buckets binary, counts binary, label int")
+    # One text of each doc_id, so at most `sample` rows reach the driver.
+    single = found.groupBy("doc_id").agg(F.min(F.struct("text_hash", "buckets", "counts", "label")).alias("r")).select("doc_id", "r.*")
+    samples = sorted(((r.doc_id, r.buckets, r.counts, r.label) for r in single.toLocalIterator()), key=lambda r: r[0])
+    return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4"), label) for _, b, c, label in samples])
 
 
 def quality_scores(documents: DataFrame, odds: np.ndarray) -> DataFrame:

@@ -11,7 +11,8 @@ with one bit left out, which bounds a group by 2**17 distinct fingerprints whate
 
 Defined results: texts without words, empty and null ones have fingerprint zero and are linked like any
 other; fewer words than a shingle give one shingle of all; repeated rows get equal results; null doc_ids
-count as larger than any other (a component of null doc_ids has a null id); other columns are ignored.
+count as larger than any other (a component of null doc_ids has a null id); other columns are ignored; very
+long texts are read whole, in blocks cut at white space; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,10 +5,14 @@ a text are the ids of its pieces one after another.  `Encoder` splits plain Lati
 pattern, remembers the ids of each piece as bytes and joins them; the tokenizers library computes the
 ids of every piece that is not remembered.  All other texts (other scripts, control characters,
 combining marks, the strings of special tokens) go to the library whole.  The result is the library's in both cases.
+
+The split patterns are those of two kinds of files, told by the file's own sections (`KNOWN`); every text of any
+other file goes to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
@@ -21,6 +25,19 @@ PIECES = {
     "bytes": rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+",
     "words": rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+",
 }
+# What a file of each kind says of its normalizer, split and model (the model without its tables).
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+KNOWN = {
+    "bytes": (None, {**_LEVEL, "use_regex": True}, {"end_of_word_suffix": None}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {**_LEVEL, "use_regex": False}]},
+        {"end_of_word_suffix": "</w>"},
+    ),
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 # Outside this range the whole text goes to the library (U+0130 has a lower case of two letters).
 NOT_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]")
 
@@ -29,6 +46,14 @@ MAX_PIECES = 1_200_000
 MAX_PIECE_LETTERS = 64
 
 
+def kind_of(content: str) -> str | None:
+    """Which of `KNOWN` a tokenizer file is, or None."""
+    file = json.loads(content)
+    model = {k: v for k, v in file["model"].items() if k not in ("vocab", "merges")}
+    found = (file.get("normalizer"), file.get("pre_tokenizer"))
+    return next((kind for kind, (normalizer, split, more) in KNOWN.items() if found == (normalizer, split) and model == {**_MODEL, **more}), None)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -42,11 +67,14 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            content = file.read()
+        self.tokenizer = Tokenizer.from_str(content)
+        kind = kind_of(content)
         self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.lower = self.tokenizer.normalizer is not None
-        self.pieces = re.compile(PIECES["words" if self.lower else "bytes"]).findall
+        self.lower = kind == "words"
+        self.pieces = re.compile(PIECES[kind]).findall if kind else None
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
 
@@ -61,7 +89,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if NOT_PLAIN.search(text) or any(s in text for s in self.special):
+        if self.pieces is None or NOT_PLAIN.search(text) or any(s in text for s in self.special):
             return self.library(text)
         known, pieces = self.known, self.pieces(text.lower() if self.lower else text)
         try:

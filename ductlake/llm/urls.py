@@ -9,7 +9,8 @@ equal too.  The longest rule wins.
 
 The file is bounded by `MAX_INDEX_BYTES` (an error beyond it).  Defined results: a null url or one without
 `://` has empty host and path; of repeated rules the blocking one counts; rules of equal length: the
-longer host wins; a url without a rule is allowed; other columns are ignored.
+longer host wins; a url without a rule is allowed; other columns are ignored; of a very long url only suffixes
+and prefixes of lengths that rules have are probed; an empty table gives no rows.
 """
 
 from __future__ import annotations

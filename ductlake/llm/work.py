@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; on one machine a local one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='ductlake-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -30,17 +32,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a kept table that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_folder(spark)
-    path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
-    if path.split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 BLOCK = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 

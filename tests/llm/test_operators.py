@@ -53,6 +53,37 @@ def test_encoder_equals_the_library(name):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library(name, text), repr(text)
 
 
+def test_another_tokenizer_file_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
+        known = json.load(file)
+    other = {**known, "pre_tokenizer": {**known["pre_tokenizer"], "add_prefix_space": True}}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    own, whole = Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert own.pieces is None and Encoder(queries.tokenizer_file("byte_bpe_50k.json")).pieces and Encoder(queries.tokenizer_file("word_bpe_49k.json")).lower
+    for text in ("word and word", "x", ""):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert own.ids("word") != Encoder(queries.tokenizer_file("byte_bpe_50k.json")).ids("word")
+
+
+def test_kept_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from ductlake.llm import work
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work.shared_folder(Session())
+
+
 def test_best_fit():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
     assert packing.cut(5, 2) == [(0, 1), (1, 2), (3, 2)] and packing.cut(4, 2) == [(0, 2), (2, 2)] and packing.cut(1, 2) == [(0, 1)]
@@ -72,7 +103,7 @@ def test_packing(spark, awkward, documents):
                 at += length
             assert at <= 2048
         if texts:
-            for r in rows[:60]:
+            for r in rows:
                 ids = library("byte_bpe_50k.json", texts[r.doc_id]) + [0]
                 assert r.ids_crc32 == crc(ids[r.start : r.start + r.length])
             # No fewer sequences than the tokens ask for, and at most a hundredth more.
@@ -156,6 +187,11 @@ def test_exact_dedup(awkward, documents):
             assert collections.Counter((r.doc_id, r.text or "") for r in whole.collect()) == collections.Counter((None if max(g) < 0 else max(g), t) for t, g in groups.items())
 
 
+def test_exact_dedup_of_an_empty_table(awkward):
+    assert exact_dedup.exact_duplicates(awkward.limit(0)).count() == 0
+    assert exact_dedup.first_of_equal(awkward.limit(0)).count() == 0
+
+
 def test_grace_spills_until_a_bucket_fits(tmp_path):
     records = [(hashlib.sha256(b"%d" % (i % 300)).digest(), i, 1, i, b"%d" % (i % 300) * 50) for i in range(900)]
     groups = list(exact_dedup.grace(iter(records), tmp_path, 2000))
@@ -193,10 +229,54 @@ def test_quality(spark, documents, awkward):
     found = quality.quality_scores(awkward, odds).collect()
     assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found) and {r.score for r in found if r.doc_id in (1, 2, 3)} == {0.0}
     assert set(np.unique(quality.fit(big, labels.limit(0)))) == {0.0}
+    assert quality.quality_scores(awkward.limit(0), odds).count() == 0
     word = next(iter(quality.features("ab")[0]))
     assert word == quality.END and quality.score("w " * 300_000, odds) == pytest.approx(quality.score("w " * 200_000, odds), abs=0.05)
 
 
+def plain_features(text):
+    """Buckets of a text with their counts, by whole numbers and one dictionary."""
+    data = bytes(32 if b in (9, 10, 11, 12, 13, 32) else b for b in (text or "").encode())
+    full = 1 << 64
+    found = collections.Counter({quality.END: 1})
+
+    def bucket(h):
+        return 2 + ((h * int(quality.ODD) % full) >> (64 - quality.BITS)) % (quality.BUCKETS - 2)
+
+    words = [sum((b + 1) * pow(quality.BASE, i, full) for i, b in enumerate(w)) % full for w in data.split()]
+    found.update(map(bucket, words))
+    for a, b in zip(words, words[1:]):
+        found[bucket((31 * a + b) % full)] += 1
+        found[quality.REPEAT] += a == b
+    for size, salt in ((3, 7), (4, 13)):
+        for i in range(len(data) - size + 1):
+            gram = 0
+            for b in data[i : i + size]:
+                gram = (gram << 8) ^ (b + 1)
+            found[bucket((2 * gram + (salt << 40)) % full)] += 1
+    return found
+
+
+def test_quality_scores_against_plain_vectors(spark, documents, awkward):
+    rng = np.random.default_rng(1)
+    vectors, weights = rng.standard_normal((quality.BUCKETS, 4)), rng.standard_normal((2, 4)) * 3
+    odds = vectors @ (weights[1] - weights[0])
+    short = awkward.where("text is null or length(text) < 1000")
+    for table in (documents, short):
+        for r, s in zip(table.orderBy("doc_id", "text").collect(), quality.quality_scores(table.orderBy("doc_id", "text").coalesce(1), odds).collect()):
+            found = plain_features(r.text)
+            mean = sum(n * vectors[b] for b, n in found.items()) / found.total()
+            z = np.exp(weights @ mean)
+            assert s.doc_id == r.doc_id and s.score == pytest.approx(z[1] / z.sum() if (r.text or "").strip() else 0.0)
+
+
+def test_quality_takes_one_text_of_a_document(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    texts = [(1, "good text here"), (2, "bad bad bad"), (2, "other"), (2, "bad bad bad"), (1, None)]
+    first = [quality.fit(spark.createDataFrame(texts * n, "doc_id long, text string").repartition(n), labels) for n in (1, 3)]
+    assert (first[0] == first[1]).all() and first[0].any()
+
+
 def plain_ppm(training):
     runs = collections.defaultdict(collections.Counter)
     for text in training:
@@ -249,6 +329,7 @@ def test_urls(spark):
         (11, DOTS + "example.com", "/de/", "example.com/de/", "block"), (12, DOTS + "com", "/de/", None, "allow"),
     }
     assert urls.judge_urls(pages, []).where("verdict = 'allow' and rule is null").count() == len(given)
+    assert urls.judge_urls(pages.limit(0), queries.RULES).count() == 0
     many = [(f"h{i}.com", f"/p{i % 7}", "block") for i in range(3000)]
     judged = urls.judge_urls(spark.range(5000).selectExpr("id as page_id", "concat('http://w.h', id, '.com/p', id % 7, '/q') as url"), many)
     assert judged.where("verdict = 'block'").count() == 3000
@@ -418,6 +499,57 @@ def test_language(spark, awkward):
     assert {r.lang_pred for r in language.identify_languages(awkward, language.fit(awkward.limit(0))).collect()} == {"und"}
 
 
+def plain_letters(text):
+    out = []
+    for c in (text or "").lower():
+        c = c if c.isalpha() else " "
+        if c != " " or not out or out[-1] != " ":
+            out.append(c)
+    return "".join(out)
+
+
+def plain_language(text, samples):
+    """Language and score by a plain greedy parse into phrases that lie in the samples."""
+    letters = plain_letters(text)
+    if not any(c.isalpha() for c in letters):
+        return "und", 0.0
+    costs = []
+    for language_, sample in sorted(samples.items()):
+        count = 0
+        for at in range(0, len(letters), language.LANE):
+            phrase = ""
+            for c in letters[at : at + language.LANE]:
+                if phrase + c in sample:
+                    phrase += c
+                else:
+                    count, phrase = count + 1, c if c in sample else ""
+            count += phrase != ""
+        costs.append((count * math.log2(len(sample)) / len(letters), language_))
+    (best, found), (second, _) = sorted(costs)[:2]
+    return found, 1 - best / second
+
+
+def test_language_query_against_a_plain_parse(spark, documents):
+    labelled = documents.where((queries.remainder(5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike("[^ ]"))
+    order = [F.length("text") > language.LETTERS, F.xxhash64("doc_id"), F.xxhash64("text")]
+    samples = collections.defaultdict(str)
+    taken = collections.Counter()
+    for r in labelled.orderBy("lang", *order).collect():
+        if taken[r.lang] < language.ROWS and len(samples[r.lang]) < language.LETTERS:
+            taken[r.lang] += 1
+            samples[r.lang] += plain_letters(r.text[: language.LETTERS])[: language.LETTERS - len(samples[r.lang])] + " "
+    assert len(samples) == 4
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, SF).collect()}
+    for r in documents.collect():
+        found, score = plain_language(r.text, samples)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (found, pytest.approx(score)), r.doc_id
+
+
+def test_language_of_an_empty_table(spark, awkward):
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert language.identify_languages(awkward.limit(0), model).count() == 0
+
+
 def test_every_language_keeps_its_letters(spark, monkeypatch):
     rng = np.random.default_rng(5)
     alphabet = [chr(0x4E00 + i) for i in range(300)]
