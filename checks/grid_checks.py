@@ -271,8 +271,8 @@ def reconcile(spark, sf):
 
 
 def parameter_usage(spark, sf):
-    parts = load(spark, sf, "SELECT p_brand AS article, split(p_name, ' ') AS xml_parameters FROM {part}")
-    return reports.parameter_usage(parts).select("parameter", F.array_join("articles", ",").alias("articles"))
+    parts = load(spark, sf, "SELECT p_brand AS article, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) * 7919 AS number, split(p_name, ' ') AS xml_parameters FROM {part}")
+    return reports.parameter_usage(parts, "number")
 
 
 _ENTRIES = """
@@ -549,7 +549,7 @@ ORACLE = {
         p AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'X' ELSE l_returnflag END AS a, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'O'),
         u AS (SELECT a, q AS mq, 0 AS pq FROM m UNION ALL SELECT a, 0, q FROM p)
         SELECT coalesce(a, 'Итого') AS article, CAST(sum(mq) AS BIGINT) AS manual, CAST(sum(pq) AS BIGINT) AS parsed, CAST(sum(pq) - sum(mq) AS BIGINT) AS difference FROM u GROUP BY ROLLUP (a)""",
-    "parameter_usage": "WITH x AS (SELECT DISTINCT p_brand AS b, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT w AS parameter, string_agg(b, ',' ORDER BY b) AS articles FROM x GROUP BY w",
+    "parameter_usage": "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS parameter, p_brand AS article FROM part",
     "catalogue_list": f"WITH e AS ({fx.for_oracle(_ENTRIES)}) SELECT e.code, e.name, g.name AS group_name FROM e LEFT JOIN e AS g ON e.parent_code = g.code WHERE NOT e.is_group AND NOT e.is_deleted",
     "first_entries": f"SELECT code, name FROM ({fx.for_oracle(_ENTRIES)}) AS e WHERE NOT is_group AND NOT is_deleted ORDER BY name, code LIMIT 50",
     "connection_list": "SELECT n_nationkey AS code, n_name AS name, n_regionkey AS section FROM nation WHERE n_nationkey % 6 <> 0",

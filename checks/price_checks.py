@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks.load import load
 from ductlake.functions import queries as fq
 from ductlake.operators import prices, schema
+from ductlake.sources.registry import PriceSource, SourceRegistry
 
 AS_OF = "2000-06-30 00:00:00"
 MAX_AGE = 400
@@ -77,6 +78,41 @@ def title_relevance(spark, sf):
     return prices.title_matches(queries, offers, "query_id", "offer_id")
 
 
+_TITLE_QUERIES = """SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE WHEN p_partkey % 9 = 0 THEN 'a 12 ' WHEN p_partkey % 9 = 1 THEN '' ELSE concat(p_brand, ' ', p_name, ' ', p_type) END AS query FROM {part}"""
+_TITLE_OFFERS = """SELECT s_suppkey AS offer_id, concat('Brand#', CAST(s_suppkey % 25 + 1 AS STRING), ' ', CASE s_suppkey % 3 WHEN 0 THEN 'small ring' WHEN 1 THEN 'red bolt' ELSE 'cold plate' END, ' ECONOMY ', s_name) AS title,
+    CAST(s_acctbal AS DECIMAL(18,2)) AS price FROM {supplier}"""
+
+
+def title_top_offers(spark, sf):
+    return prices.top_title_offers(load(spark, sf, _TITLE_QUERIES), load(spark, sf, _TITLE_OFFERS), "query_id", "offer_id")
+
+
+class Listed(PriceSource):
+    """A source of the checks: as many offers as a query has words, none for a text that holds `fail`."""
+
+    name = "listed"
+
+    def search(self, query):
+        if query.startswith("h"):
+            raise ConnectionError(query)
+        return [{"title": f"{query} {i}", "price": 100 * i + len(query), "url": f"http://listed/{i}"} for i, _ in enumerate(query.split(), 1)]
+
+
+class Single(PriceSource):
+    name = "single"
+
+    def search(self, query):
+        return [{"title": query.upper(), "price": 5 * len(query), "supplier": "S", "url": "http://single"}]
+
+
+def plugged_sources(spark, sf):
+    registry = SourceRegistry()
+    for source in (Single(), Listed()):
+        registry.register_search(source)
+    names = load(spark, sf, "SELECT p_name AS query FROM {part}")
+    return registry.answers(names).select("source", "query", "title", F.col("price").cast("double").alias("price"), "supplier", "url", "seq")
+
+
 def _search(spark, sf, fallback):
     items = load(spark, sf, fx.ITEM)
     offers = load(spark, sf, fx.PRIMARY)
@@ -126,7 +162,7 @@ def item_categories(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         top3_offers, best_offer, fresh_cache_gate, cached_answers, offer_history, offer_validity,
-        query_expansion, offer_relevance, title_relevance, staged_stop, fallback_stage, search_offers,
+        query_expansion, offer_relevance, title_relevance, title_top_offers, plugged_sources, staged_stop, fallback_stage, search_offers,
         price_report, price_item_projection, item_categories,
     )
 }
@@ -195,6 +231,12 @@ ORACLE = {
     "title_relevance": f"""WITH q AS (SELECT p_partkey AS query_id, concat(p_brand, ' ', p_name, ' ', p_size, ' ', p_type) AS query FROM part),
         t AS (SELECT s_suppkey AS offer_id, concat('Brand#', s_suppkey % 25 + 1, ' ', CASE s_suppkey % 3 WHEN 0 THEN 'small ring' WHEN 1 THEN 'red bolt' ELSE 'cold plate' END, ' ECONOMY ', s_name) AS title FROM supplier)
         SELECT query_id, offer_id FROM q, t WHERE {_is_relevant('query', 'title')}""",
+    "title_top_offers": f"""WITH q AS ({fx.for_oracle(_TITLE_QUERIES)}), t AS (SELECT * FROM ({fx.for_oracle(_TITLE_OFFERS)}) AS x WHERE price > 0),
+        r AS (SELECT query_id, offer_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, offer_id) AS rank FROM q, t WHERE {_is_relevant('query', 'title')})
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, offer_id, price FROM r WHERE rank <= 3""",
+    "plugged_sources": """WITH q AS (SELECT DISTINCT p_name AS query FROM part), w AS (SELECT query, unnest(range(1, len(string_split(query, ' ')) + 1)) AS i FROM q WHERE NOT starts_with(query, 'h'))
+        SELECT 'single' AS source, query, upper(query) AS title, CAST(5 * length(query) AS DOUBLE) AS price, 'S' AS supplier, 'http://single' AS url, CAST(0 AS BIGINT) AS seq FROM q
+        UNION ALL SELECT 'listed', query, concat(query, ' ', i), CAST(100 * i + length(query) AS DOUBLE), NULL, concat('http://listed/', i), CAST(i - 1 AS BIGINT) FROM w""",
     "staged_stop": f"{_searched(False)} SELECT item_name, item_size, n_queries, n_found, CAST(coalesce(n, 0) AS INTEGER) AS n_kept FROM totals LEFT JOIN kept_n USING (item_name, item_size)",
     "fallback_stage": f"{_searched(True)} SELECT item_name, item_size, n_queries, n_found, used_fallback, CAST(coalesce(n, 0) AS INTEGER) AS n_kept FROM totals LEFT JOIN kept_n USING (item_name, item_size)",
     "search_offers": f"{_searched(True)} SELECT item_name, item_size, CAST(rank AS INTEGER) AS rank, query, price, source, title FROM priced WHERE rank <= 3",

@@ -327,6 +327,22 @@ def title_matches(
     )
 
 
+def top_title_offers(queries: DataFrame, offers: DataFrame, query_id: str, offer_id: str, n: int = 3, titles_per_task: int = 100_000) -> DataFrame:
+    """The n cheapest priced offers relevant to each query: (query_id, rank, offer_id, price).
+
+    A query without a counted word accepts every offer, so all such queries share one answer, the n cheapest
+    offers of all, and meet no others.
+    """
+    priced = offers.filter(F.col("price") > 0)
+    found = title_matches(queries, priced, query_id, offer_id, titles_per_task).join(priced.select(offer_id, "price"), offer_id)
+    ranked = top_offers(found, [query_id], [offer_id], n).select(query_id, "rank", offer_id, "price")
+    cheapest = priced.select("price", offer_id).orderBy("price", offer_id).limit(n)
+    # One row of n offers.
+    shared = cheapest.agg(F.array_sort(F.collect_list(F.struct("price", offer_id))).alias("best"))
+    everything = accepts_everything(queries, query_id).join(F.broadcast(shared), F.lit(True)).select(query_id, F.posexplode("best").alias("place", "o"))
+    return ranked.unionByName(everything.select(query_id, (F.col("place") + 1).alias("rank"), F.col(f"o.{offer_id}").alias(offer_id), "o.price"))
+
+
 def accepts_everything(queries: DataFrame, query_id: str) -> DataFrame:
     """Queries without a counted word: they accept every offer of their item."""
     return queries.filter(F.size(q.query_keywords(F.col("query"))) == 0).select(query_id)

@@ -57,13 +57,42 @@ def reconcile(manual: DataFrame, parsed: DataFrame, total_label: str = "Итог
     ).withColumn("article", F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col("article"))).drop("is_total")
 
 
-def parameter_usage(products: DataFrame) -> DataFrame:
-    """Q10: which articles a parameter applies to."""
-    return (
-        products.select("article", F.explode("xml_parameters").alias("parameter"))
-        .groupBy("parameter")
-        .agg(F.array_sort(F.collect_set("article")).alias("articles"))
-    )
+# Numbers of one bitmap, as the engine's bitmap functions count them.
+BITMAP_BITS = 32_768
+
+
+def parameter_sets(products: DataFrame, number: str = "catalogue_pos") -> DataFrame:
+    """Q10: the articles a parameter applies to as bitmaps: (parameter, bucket, articles).
+
+    `number` counts articles from 0.  A row holds 32,768 numbers, so a parameter that very many articles
+    share is many rows of bounded size, and bitmaps are made before anything is exchanged.
+    """
+    numbered = products.select((F.col(number).cast("long") + 1).alias("n"), F.explode("xml_parameters").alias("parameter")).where("n > 0")
+    return numbered.groupBy("parameter", F.bitmap_bucket_number("n").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("articles"))
+
+
+def merged_sets(sets: DataFrame) -> DataFrame:
+    """Sets of several catalogues, numbered alike, as one."""
+    return sets.groupBy("parameter", "bucket").agg(F.bitmap_or_agg("articles").alias("articles"))
+
+
+def set_sizes(sets: DataFrame) -> DataFrame:
+    """Articles of each parameter, counted in the bitmaps."""
+    return sets.groupBy("parameter").agg(F.sum(F.bitmap_count("articles")).alias("n_articles"))
+
+
+def set_numbers(sets: DataFrame) -> DataFrame:
+    """(parameter, number) of every bit that is set."""
+    held = sets.select("parameter", "bucket", F.posexplode(F.expr(f"transform(sequence(1, {BITMAP_BITS // 8}), i -> cast(conv(hex(substring(articles, i, 1)), 16, 10) as int))")).alias("byte", "bits"))
+    return held.where("bits <> 0").select("parameter", "bucket", "byte", F.explode(F.expr("filter(sequence(0, 7), k -> (shiftright(bits, k) & 1) = 1)")).alias("bit")).select(
+        "parameter", ((F.col("bucket") - 1) * BITMAP_BITS + F.col("byte") * 8 + F.col("bit")).alias("number"))
+
+
+def parameter_usage(products: DataFrame, number: str = "catalogue_pos") -> DataFrame:
+    """Q10: (parameter, article), a row for each article a parameter applies to."""
+    names = products.select(F.col(number).cast("long").alias("number"), "article").distinct()
+    return set_numbers(parameter_sets(products, number)).join(names, "number").select("parameter", "article")
 
 
 def catalogue_list(entries: DataFrame, *columns: str) -> DataFrame:

@@ -323,20 +323,19 @@ def read_workbook_cells(spark: SparkSession, path: str | list[str]) -> DataFrame
     return files.select("path", "content").mapInPandas(cells, CELLS)
 
 
-def workbook_spec_rows(cells: DataFrame) -> DataFrame:
-    """Cells of files whose first row is a header -> specification lines (N2..N5)."""
+def workbook_spec_rows(cells: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:
+    """Cells of tables (by `keys`) whose first row is a header -> specification lines (N2..N5)."""
     filled = cells.filter(F.coalesce("text", F.lit("")) != "")
-    starts = filled.groupBy("doc_id").agg(F.min("row_no").alias("header_row"))
-    located = filled.join(spread(starts, "doc_id"), "doc_id")
+    starts = filled.groupBy(*keys).agg(F.min("row_no").alias("header_row"))
+    located = filled.join(spread(starts, *keys), keys)
     body = located.filter(F.col("row_no") > F.col("header_row"))
     # A column without any cell below its header takes no part in the mapping.
-    in_use = spread(body.select("doc_id", "col_no").distinct(), "doc_id", "col_no")
-    header = located.filter(F.col("row_no") == F.col("header_row")).select("doc_id", "col_no", "text")
-    targets = schema.map_header_cells(header.join(in_use, ["doc_id", "col_no"], "left_semi"), ["doc_id"])
-    named = body.join(
-        spread(targets, "doc_id", "col_no"), ["doc_id", "col_no"]
-    )
-    wide = named.groupBy("doc_id", "row_no").agg(
+    places = [*keys, "col_no"]
+    in_use = spread(body.select(*places).distinct(), *places)
+    header = located.filter(F.col("row_no") == F.col("header_row")).select(*places, "text")
+    targets = schema.map_header_cells(header.join(in_use, places, "left_semi"), keys)
+    named = body.join(spread(targets, *places), places)
+    wide = named.groupBy(*keys, "row_no").agg(
         *[F.max(F.when(F.col("target") == t, F.col("text"))).alias(t) for t in schema.TARGETS]
     )
     return schema.spec_rows(wide).withColumnRenamed("row_no", "line_no")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ductlake import fixed_values as fv
 from ductlake.functions import formatting, text
 from ductlake.operators import catalogue, equipment, export, grid, prices, reports, running, spec_lines
+from ductlake.plans import pipelines
 from ductlake.sources import dimensions as dim
 from ductlake.sinks import order_files, writers
 from ductlake.sources import offer_pages, spec_files
@@ -344,3 +345,92 @@ def test_classes_of_a_catalogue_equal_all_pairs(spark):
     for r in catalogue.match_descriptions(texts, products, with_similarity=False).orderBy("description", "rank").collect():
         got.setdefault(r.description, []).append((r.article, r.score))
     assert got == {d: [(a, -s) for s, _, a in sorted(v)[:5]] for d, v in plain.items()}
+
+
+def table_cells(spark, tables):
+    data = [(doc, page, no, r, c, t) for (doc, page, no), rows in tables.items() for r, row in enumerate(rows) for c, t in enumerate(row)]
+    return spark.createDataFrame(data, "doc_id string, page int, table_no int, row_no long, col_no int, text string")
+
+
+def test_documents_by_tables_or_by_text(spark):
+    cells = table_cells(spark, {
+        ("a", 1, 0): [["Наименование", "Размер", "Кол-во"], ["Отвод", "D160", "2"], ["Тройник", "", "x"]],
+        ("a", 2, 0): [["Кол-во", "Наименование"], ["3", "Заглушка"]],
+        ("b", 1, 0): [["Примечание"], ["пусто"]],
+    })
+    text = spark.createDataFrame(
+        [("a", 1, 0, "Воздуховод оцинкованный  100 м 400"), ("b", 1, 0, "Отвод круглый D160 шт 1"), ("c", 1, 0, "Отвод круглый D160 шт 10"), ("c", 2, 0, "Отвод круглый D200 шт 11"), ("c", 9, 0, "слова")],
+        "doc_id string, page int, line_no long, text string")
+    found = sorted((r.doc_id, r.page, r["name"], r.size, r.quantity) for r in pipelines.document_lines(cells, text).collect())
+    assert found == [("a", 1, "Отвод", "D160", 2.0), ("a", 1, "Тройник", "", 0.0), ("a", 2, "Заглушка", "", 3.0), ("c", 1, "Отвод круглый", "D160", 10.0), ("c", 2, "Отвод круглый", "D200", 11.0)]
+    # On page 2 only document a has a table; documents without one there are read from their text.
+    assert sorted((r.doc_id, r["name"]) for r in pipelines.document_lines(cells, text, [2]).collect()) == [("a", "Заглушка"), ("c", "Отвод круглый")]
+
+
+def test_equipment_documents_end_to_end(spark):
+    grid_rows = [["Шумоглушитель NKD 500-250", "KORF", "шт", "2"], ["Заслонка CHR 160", "NED", "шт", "3"], ["Вентилятор канальный VC 250", "KORF", "шт", "1"], ["Фильтр кассетный без числа 1", "KORF", "шт", "x1"]]
+    cells = table_cells(spark, {("d", 1, 0): grid_rows, ("d", 2, 1): grid_rows[:1] + grid_rows[2:3], ("e", 1, 0): grid_rows[2:3]})
+    result = pipelines.process_equipment(cells)
+    orders = sorted((r.order_id, r.article, r.quantity) for r in result.spec.orders.collect())
+    assert orders == [("d", "15-2-1", 2), ("d", "15-2-1", 2), ("d", "16-1-1", 3)]
+    assert result.spec.orders.select("line_no").distinct().count() == 3
+    skipped = sorted((r.order_id, r.raw_name, r.reason) for r in result.skipped.collect())
+    assert [s[:2] for s in skipped] == [("d", "Вентилятор канальный VC 250")] * 2 + [("d", "Фильтр кассетный без числа 1"), ("e", "Вентилятор канальный VC 250")]
+    assert result.spec.documents.select("order_id").distinct().count() == 1
+
+
+def test_price_job_writes_back(spark, tmp_path):
+    from datetime import datetime
+    from decimal import Decimal
+
+    now = datetime(2024, 5, 10)
+    ddl = "item_name string, item_size string, source string, query string, title string, price decimal(18,2), scraped_at timestamp"
+    old = [("Клапан", "1", "a", "q", "t", Decimal(5), now.replace(day=d)) for d in (8, 9, 10)]
+    path = str(tmp_path / "history")
+    writers.append_history(spark.createDataFrame(old, ddl), path)
+    skipped = spark.createDataFrame([("Клапан", "1", "шт", "1"), ("Вентилятор", "2", "", "1"), ("Фильтр", "3", "", "1")], "name string, size string, unit string, quantity string")
+    answers = spark.createDataFrame(
+        [("a", "Вентилятор 2", "Вентилятор 2", Decimal(7), 0), ("a", "Вентилятор 2", "Вентилятор 2", Decimal(-1), 1), ("a", "Вентилятор 2", None, Decimal(3), 2), ("b", "Вентилятор 2", "Вентилятор 2", Decimal(6), 0)],
+        "source string, query string, title string, price decimal(18,2), seq long")
+    cached, found = pipelines.run_price_job(skipped, path, answers, now, str(tmp_path / "run1"))
+    assert cached.count() == 3 and sorted(int(r.price) for r in found.collect()) == [6, 7]
+    assert spark.read.parquet(path).where("item_name = 'Вентилятор'").count() == 2
+    again, more = pipelines.run_price_job(skipped, path, answers, now, str(tmp_path / "run2"), min_offers=2)
+    assert again.where("item_name = 'Вентилятор'").count() == 2 and more.count() == 0
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_sources_as_table_functions(spark):
+    from ductlake.sources.registry import PriceSource, SourceRegistry
+
+    class Fake(PriceSource):
+        name = "fake"
+
+        def __init__(self, price):
+            self.price = price
+
+        def search(self, query):
+            if query == "bad":
+                raise TimeoutError
+            return [{"title": "Fake product", "price": self.price, "supplier": "Fake supplier", "url": "https://fake.example"}]
+
+    registry = SourceRegistry()
+    registry.register_search(Fake(1))
+    registry.register_search(Fake("100.5"))
+    assert registry.names() == ["fake"]
+    asked = spark.createDataFrame([("test",), ("test",), ("bad",), (None,), ("other",)], "query string")
+    found = sorted((r.source, r.query, r.title, str(r.price), r.currency, r.supplier, r.url, r.seq) for r in registry.answers(asked).collect())
+    assert found == [("fake", q, "Fake product", "100.50", "RUB", "Fake supplier", "https://fake.example", 0) for q in ("other", "test")]
+    with pytest.raises(Exception, match="query"):
+        registry.get("fake")(spark.range(1).selectExpr("id as q")).collect()
+
+
+def test_parameter_sets_hold_a_million_articles(spark):
+    products = spark.range(1_000_000).selectExpr("id * 3 as catalogue_pos", "concat('a', id) as article", "case when id % 100000 = 0 then array('D0', 'L0') else array('D0') end as xml_parameters")
+    sets = reports.parameter_sets(products)
+    assert {r.parameter: r.n_articles for r in reports.set_sizes(sets).collect()} == {"D0": 1_000_000, "L0": 10}
+    assert sets.agg(F.max(F.length("articles"))).first()[0] == reports.BITMAP_BITS // 8
+    assert sets.where("parameter = 'D0'").count() == -(-3_000_000 // reports.BITMAP_BITS)
+    both = reports.merged_sets(sets.unionAll(reports.parameter_sets(spark.range(1).selectExpr("1L as catalogue_pos", "'x' as article", "array('L0') as xml_parameters"))))
+    assert sorted(r.number for r in reports.set_numbers(both.where("parameter = 'L0'")).collect()) == sorted([1, *(i * 300_000 for i in range(10))])
+    assert reports.parameter_usage(products.where("catalogue_pos % 300000 = 0")).where("parameter = 'L0'").count() == 10
