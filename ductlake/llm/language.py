@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ductlake.llm.work import release
+
 UNKNOWN = "und"
 ROWS = 64
 LETTERS = 24_000
@@ -248,6 +250,7 @@ def _judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float
 
 def _predict(shared, text_column: int):
     def run(batches):
+        release()
         for batch in batches:
             langs, scores = judge(batch.column(text_column).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
+
+from ductlake.llm.work import hold
 
 # The letters and numbers below U+0250, by the Unicode general categories L and N.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -109,10 +110,9 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per file and Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return Encoder(path)
+    return hold(("encoder", path), lambda: Encoder(path))

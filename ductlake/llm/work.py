@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +32,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make: Callable[[], object]) -> object:
+    """A large object that a Python worker keeps from task to task, one at a time: another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what an earlier operator left in this worker."""
+    _HELD.clear()
+
+
 BLOCK = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
