@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.operators import equipment, export, grid, prices, schema, spec_lines
+from ductlake.session import spread
 from ductlake.sinks import writers
 from ductlake.sources import dimensions as dim
 from ductlake.sources.spec_files import workbook_spec_rows
@@ -22,7 +23,10 @@ ROWS_A_TABLE = 10_000_000
 
 @dataclass
 class SpecResult:
-    """All lines with their status, and the frames made of them; everything is lazy."""
+    """All lines with their status, and the frames made of them.
+
+    The frames are lazy; while they are built, the given dimension tables are counted (a few rows each).
+    """
 
     parsed: DataFrame
     orders: DataFrame
@@ -65,6 +69,19 @@ def equipment_to_spec(
     return equipment.map_equipment(lines, rules)
 
 
+def sheet_lines(cells: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:
+    """P5: cells of sheets of both kinds -> specification lines; a sheet with a project marker is read by its own headers.
+
+    The cell form of what the file reader decides while it reads.
+    """
+    filled = grid.filled_cells(cells, keys)
+    marked = spread(grid.project_sheets(filled, keys), *keys)
+    project = grid.project_sheet_lines(filled.join(marked, keys, "left_semi"), keys)
+    tables = workbook_spec_rows(filled.join(marked, keys, "left_anti"), keys)
+    columns = [*keys, "line_no", *schema.TARGETS]
+    return tables.select(*columns).unionByName(schema.spec_rows(project.select(*columns)))
+
+
 def document_lines(
     cells: DataFrame, text_lines: DataFrame, pages: list[int] | None = None, keys: list[str] = grid.TABLE_KEYS,
 ) -> DataFrame:

@@ -434,3 +434,13 @@ def test_parameter_sets_hold_a_million_articles(spark):
     both = reports.merged_sets(sets.unionAll(reports.parameter_sets(spark.range(1).selectExpr("1L as catalogue_pos", "'x' as article", "array('L0') as xml_parameters"))))
     assert sorted(r.number for r in reports.set_numbers(both.where("parameter = 'L0'")).collect()) == sorted([1, *(i * 300_000 for i in range(10))])
     assert reports.parameter_usage(products.where("catalogue_pos % 300000 = 0")).where("parameter = 'L0'").count() == 10
+
+
+def test_sheets_of_both_kinds(spark):
+    cells = table_cells(spark, {
+        ("p", 1, 0): [["", "Проект"], ["Наименование и техническая характеристика", "Тип, марка", "Ед. изм.", "Кол-во"], ["Воздуховод", "D160", "м.", "4,5"], ["Воздуховод", "D160", "м", "9"]],
+        ("t", 1, 0): [["Наименование", "Ед", "Количество"], ["Отвод", "", "2"], ["Отвод", "", "3"]],
+        ("h", 1, 0): [["Наименование и техническая характеристика", "Количество"], ["Отвод", "1"]],
+    }).drop("page", "table_no")
+    found = sorted((r.doc_id, r["name"], r.unit, r.quantity) for r in pipelines.sheet_lines(cells).collect())
+    assert found == [("h", "Отвод", "шт", 1.0), ("p", "Воздуховод D160", "м", 4.5), ("t", "Отвод", "шт", 2.0), ("t", "Отвод", "шт", 3.0)]
