@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import articles, classify, size, text
-from ductlake.session import broadcast_checked, spread
+from ductlake.session import broadcast_checked, held, spread
 
 # Column -> default used when the input has no such column at all.
 OPTIONAL_INPUTS = {"name": "", "size": "", "unit": "", "quantity": "0"}
@@ -49,47 +49,45 @@ def text_features(texts: DataFrame) -> DataFrame:
     """Everything read out of `name` and `size_given`, as columns next to the given ones.
 
     A chain of selects: each computes what the next refers to several times, so a pattern runs once
-    per text, and only where the letters it needs occur.
+    per text, and only where the letters it needs occur.  Each leaves through a generator (`held`).
     """
     inside = F.col("size_given") == ""
-    lowered = texts.withColumns({
+    lowered = held(texts, {
         "name_lower": F.lower("name"),
         "name_canon": F.when(inside, text.canonical_size(F.col("name"))),
     })
-    named = lowered.withColumns({
+    named = held(lowered, {
         "tokens": F.when(inside, text.size_tokens(F.col("name_canon"))),
         "material_named": classify.material_from_name(F.col("name")),
         "thick_text": classify.thickness_text(F.col("name_lower")),
         "ptype": classify.product_type(F.col("name_lower")),
     })
     thick = F.col("thick_text")
-    found = named.withColumns({
+    found = held(named, {
         "size_found": F.when(inside, text.pick_token(F.col("tokens"))).otherwise(F.col("size_given")),
         "thick_grade": classify.thickness_after_grade(thick),
         "thick_mm": classify.thickness_before_mm(thick),
         "is_fitting": F.coalesce(F.col("ptype").isin(articles.FITTING_TYPES), F.lit(False)),
     })
-    measured = found.withColumns({
+    measured = held(found, {
         "size_canon": text.canonical_size(F.col("size_found")),
         "thickness_named": F.when(
             thick.isNotNull(),
             classify.thickness_of(thick, F.col("thick_grade"), F.col("thick_mm")),
         ),
     })
-    repaired = measured.withColumn(
-        "size_fixed", size.repair_canonical(F.col("name_lower"), F.col("size_canon"))
-    )
+    repaired = held(measured, {"size_fixed": size.repair_canonical(F.col("name_lower"), F.col("size_canon"))})
     changed = F.col("size_fixed") != F.col("size_canon")
-    sized = repaired.withColumns({
+    sized = held(repaired, {
         "size": F.when(changed, F.col("size_fixed")).otherwise(F.col("size_found")),
         "ocr_warning": F.when(changed, size.ocr_warning(F.col("size_found"), F.col("size_fixed"))),
     })
-    joined = sized.withColumn("text", F.concat("name", F.lit(" "), "size"))
-    spelled = joined.withColumn("text_x", text.latin_x(F.lower("text")))
+    joined = held(sized, {"text": F.concat("name", F.lit(" "), "size")})
+    spelled = held(joined, {"text_x": text.latin_x(F.lower("text"))})
     line = F.col("text_x")
     fitting = F.col("is_fitting")
     a_sides, b_sides = size.rect_sides(line)
-    tokens = spelled.withColumns({
+    tokens = held(spelled, {
         "a_sides": F.when(fitting, a_sides),
         "b_sides": F.when(fitting, b_sides),
         "rounds": F.when(fitting, size.diameters(line)),
@@ -98,19 +96,18 @@ def text_features(texts: DataFrame) -> DataFrame:
         "dims_read": F.when(fitting, size.read_dimensions(line)),
         "adapter_read": articles.read_adapter(line),
     })
-    coded = tokens.withColumns({
+    coded = held(tokens, {
         "dims_code": size.model_code_size(F.col("dims_read")),
         "adapter": articles.adapter(line, F.col("adapter_read")),
     })
-    return coded.withColumn(
-        "dims",
-        F.when(
+    return held(coded, {
+        "dims": F.when(
             fitting,
             size.combine_dimensions(
                 F.col("dims_read"), F.col("dims_code"), F.col("a_sides"), F.col("b_sides"), F.col("rounds")
             ),
         ),
-    )
+    })
 
 
 def _map_of(params: dict[str, Column]) -> Column:
@@ -133,24 +130,23 @@ def classify_texts(texts: DataFrame, defaults: SpecDefaults = SpecDefaults()) ->
         F.col("ptype"), F.col("name_lower"), F.col("says_rect"), F.col("says_round"), F.col("dims")
     )
     rect, circ = articles.effective_sections(base)
-    flagged = features.withColumns({"rect": rect, "circ": circ})
+    flagged = held(features, {"rect": rect, "circ": circ})
     f = articles.Features(
         F.col("ptype"), F.col("name_lower"), F.col("rect"), F.col("circ"), F.col("dims")
     )
-    branched = flagged.withColumn("branch", articles.tee_branch(f))
+    branched = held(flagged, {"branch": articles.tee_branch(f)})
     branch = F.col("branch")
-    chosen = branched.withColumn(
-        "fitting_article", F.when(F.col("is_fitting"), articles.fitting_article(f, branch))
-    )
+    chosen = held(branched, {"fitting_article": F.when(F.col("is_fitting"), articles.fitting_article(f, branch))})
     decided = F.col("adapter").isNotNull() | F.col("fitting_article").isNotNull()
-    read = chosen.withColumns({
+    seen = held(chosen, {
         "plate_text": articles.read_plate(F.col("fitting_article"), F.col("text")),
         "duct": F.when(
             ~decided & (F.col("size") != ""), size.read_size(size.size_text(F.col("size")))
         ),
-    }).withColumn("section", size.section_of(F.col("duct")))
+    })
+    read = held(seen, {"section": size.section_of(F.col("duct"))})
     duct_round = F.col("section") == "round"
-    routed = read.withColumns({
+    routed = held(read, {
         "text_route": F.when(F.col("adapter").isNotNull(), "adapter")
         .when(F.col("fitting_article").isNotNull(), "fitting")
         .when(F.col("ptype") == "aggregate_fittings", "aggregate")
@@ -222,8 +218,7 @@ def clean_lines(df: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataF
         params = F.when(given, F.col("params").cast("map<string,double>"))
     else:
         article, params = F.lit(None).cast("string"), F.lit(None).cast("map<string,double>")
-    return df.select(
-        *carried,
+    cleaned = df.select(*carried, F.inline(F.array(F.struct(
         *[_column(df, c, d).alias(f"{c}_raw") for c, d in OPTIONAL_INPUTS.items()],
         text.strip(_column(df, "name", "")).alias("name"),
         text.strip(_column(df, "size", "")).alias("size_given"),
@@ -233,7 +228,8 @@ def clean_lines(df: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> DataF
         _column(df, "system", "").alias("system"),
         article.alias("explicit_article"),
         params.alias("explicit_params"),
-    ).filter((F.col("name") != "") | (F.col("size_given") != ""))
+    ))))
+    return cleaned.filter((F.col("name") != "") | (F.col("size_given") != ""))
 
 
 def with_texts(
@@ -260,27 +256,26 @@ def route_lines(lines: DataFrame, defaults: SpecDefaults = SpecDefaults()) -> Da
     Order of the routes: unreadable quantity, explicit article, adapter, fitting, aggregate line,
     duct, everything else.
     """
-    valued = lines.withColumns({
+    valued = held(lines, {
         "quantity": text.number_or_null(F.col("quantity_raw")),
         "thickness": F.coalesce(
             "thickness_named", text.thickness_number(F.col("thickness_raw")), F.lit(fv.DEFAULT_THICKNESS)
         ),
     })
     unit, text_route = F.col("unit"), F.col("text_route")
-    routed = valued.withColumn(
-        "route",
-        F.when(F.col("quantity").isNull() | (F.abs("quantity") >= text.PIECES_LIMIT), "bad_quantity")
+    routed = held(valued, {
+        "route": F.when(F.col("quantity").isNull() | (F.abs("quantity") >= text.PIECES_LIMIT), "bad_quantity")
         .when(F.col("explicit_article").isNotNull(), "explicit")
         .when(text_route.isin("adapter", "fitting"), text_route)
         .when((text_route == "aggregate") | unit.isin(fv.AREA_UNITS), "aggregate")
         .when((text_route == "duct") & unit.isin(fv.METRE_UNITS + fv.PIECE_UNITS), "duct")
         .otherwise("other"),
-    )
+    })
     route = F.col("route")
     by_text = route.isin("adapter", "fitting", "duct")
     explicit_rect = F.map_contains_key("explicit_params", "A0") | F.map_contains_key("explicit_params", "B0")
     material = F.col("material_given") if defaults.prefer_material_column else F.col("material_named")
-    return routed.withColumns({
+    return held(routed, {
         "parsed_article": F.when(route == "explicit", F.col("explicit_article")).when(
             by_text, F.col("text_article")
         ),

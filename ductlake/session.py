@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rule and catalogue tables are hundreds of rows.  Above this row count a table is joined without
@@ -48,3 +48,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, F.xxhash64(*keys))
+
+
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with further columns that leave through a one-row generator.
+
+    The optimiser neither substitutes a generated column into what follows nor derives constraints from
+    its expression.  Through plain selects it does both, and with expressions as large as the classifier's
+    most of a query's fixed time goes there.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
