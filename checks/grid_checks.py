@@ -520,7 +520,7 @@ ORACLE = {
             CAST(round_even(rr, 0) AS BIGINT), 'R0_U0', CAST(round_even(u0, 0) AS BIGINT), 'U0_') END AS characteristic,
           CASE WHEN rr IS NULL THEN concat('Для артикула ', article, CASE WHEN part % 6 = 5 THEN ' недопустимо выражение параметра R0' ELSE ' не хватает параметра R0' END) END AS error FROM f""",
     "equipment_document": f"""WITH g AS (SELECT * FROM ({fx.for_oracle(_EQUIPMENT_GRID)}) AS x WHERE page IN (1, 2, 4) AND k0 <> 'ОБОРУДОВАНИЕ' AND concat(k0, k1, k2, k3, k4) <> ''),
-        v AS (SELECT *, k0 = '' AND concat(k1, k2, k3, k4) <> '' AND regexp_full_match(concat_ws(' ', nullif(k1, ''), nullif(k4, '')), '[0-9\s,]+') AND concat(k2, k3) = '' AS digits_only FROM g),
+        v AS (SELECT *, k0 = '' AND concat(k1, k2, k3, k4) <> '' AND regexp_full_match(concat_ws(' ', nullif(k1, ''), nullif(k4, '')), '[0-9\\s,]+') AND concat(k2, k3) = '' AS digits_only FROM g),
         n AS (SELECT *, sum(CASE WHEN k0 <> '' OR NOT (k1 <> '' OR k2 <> '' OR k3 <> '' OR k4 <> '') THEN 1 ELSE 0 END) OVER (PARTITION BY page, table_no ORDER BY row_no) AS grp FROM v WHERE NOT digits_only),
         m AS (SELECT page, table_no, grp, min(row_no) AS row_no, arg_min(k0, row_no) AS opening, arg_max(k0, row_no) FILTER (WHERE k0 <> '') AS raw_name, arg_max(k1, row_no) FILTER (WHERE k1 <> '') AS quantity,
             arg_max(k2, row_no) FILTER (WHERE k2 <> '') AS unit, arg_max(k3, row_no) FILTER (WHERE k3 <> '') AS manufacturer FROM n GROUP BY ALL)
