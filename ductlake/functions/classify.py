@@ -146,10 +146,8 @@ def thickness_from_name(name: Column) -> Column:
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
-    chain = None
-    for text, code in table.items():
-        chain = F.when(key == text, F.lit(code)) if chain is None else chain.when(key == text, F.lit(code))
-    return chain
+    """The table's code of a key, or null; a literal map, so the key is computed once and not per entry."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for entry in table.items() for x in entry]), key)
 
 
 def connection_code(connection: Column, section: Column) -> Column:

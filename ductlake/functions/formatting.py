@@ -144,7 +144,7 @@ def xml_text(value: Column) -> Column:
 
 def xml_element(tag: str, value: Column, indent: int) -> Column:
     """One line: `<tag>text</tag>`, or `<tag/>` when the text is empty."""
-    text, pad = xml_text(value), " " * indent
-    return F.when(text == "", F.lit(f"{pad}<{tag}/>\n")).otherwise(
-        F.concat(F.lit(f"{pad}<{tag}>"), text, F.lit(f"</{tag}>\n"))
+    given, pad = F.coalesce(value.cast("string"), F.lit("")), " " * indent
+    return F.when(given == "", F.lit(f"{pad}<{tag}/>\n")).otherwise(
+        F.concat(F.lit(f"{pad}<{tag}>"), xml_text(given), F.lit(f"</{tag}>\n"))
     )

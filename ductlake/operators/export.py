@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ductlake import fixed_values as fv
 from ductlake.functions import classify, formatting as fmt
-from ductlake.session import broadcast_checked
+from ductlake.session import broadcast_checked, held
 
 HEADER_FIELDS = ["numberDate", "numberOrder", "INN", "customer", "email", "phone", "contact"]
 # Lines that are put together at once while a document is built.
@@ -92,12 +92,14 @@ def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def product_row_xml(section: str = "section"):
-    """One `productRow` element of twelve children."""
-    side = [
-        fmt.xml_element(f"connection_{i}", classify.connection_code(F.col(f"connection_{i}"), F.col(section)), 6)
-        for i in range(4)
-    ]
+def with_side_codes(lines: DataFrame) -> DataFrame:
+    """`lines` with code_0 to code_3, computed once before the element names them (a long choice each)."""
+    return held(lines, {f"code_{i}": classify.connection_code(F.col(f"connection_{i}"), F.col("section")) for i in range(4)})
+
+
+def product_row_xml():
+    """One `productRow` element of twelve children, over `with_side_codes`."""
+    side = [fmt.xml_element(f"connection_{i}", F.col(f"code_{i}"), 6) for i in range(4)]
     return F.concat(
         F.lit("    <productRow>\n"),
         fmt.xml_element("article", F.col("article"), 6),
@@ -143,7 +145,7 @@ def order_xml(
     """
     if fragment_lines is None:
         return whole_documents(order_xml(lines, headers, FRAGMENT_LINES))
-    good = lines.filter(F.col("error").isNull())
+    good = with_side_codes(lines.filter(F.col("error").isNull()))
     parts = good.select(
         "order_id",
         F.floor(F.col("line_no") / fragment_lines).cast("bigint").alias("fragment_no"),
