@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import ast
+import json
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,39 +84,135 @@ def evaluate_postfix(tokens: Column, known: Column) -> Column:
     return F.get(F.aggregate(tokens, F.array().cast("array<double>"), step), 0)
 
 
-def settled_characteristic(required: Column, params: Column, defaults: Column, forced: Column) -> Column:
-    """struct(text, missing) from defaults and forced values as postfix tokens by parameter.
+def program(required: Column, defaults: Column, forced: Column) -> Column:
+    """Parameter list, default and forced values of a product as one text: equal texts are settled alike."""
+    def pairs(values: Column) -> Column:
+        return F.transform(F.map_entries(values), lambda e: F.array(e["key"], F.coalesce(e["value"], F.lit(""))))
+
+    return F.to_json(F.struct(required.alias("required"), pairs(defaults).alias("defaults"), pairs(forced).alias("forced")))
+
+
+@lru_cache(maxsize=20_000)
+def _compiled(text: str) -> tuple[list[str], dict[str, list], dict[str, list]]:
+    """A program's parameter list and postfix tokens by parameter; what is no expression becomes one token `invalid`."""
+    def tokens(expression: str) -> list[tuple]:
+        try:
+            return postfix(expression)
+        except (ValueError, RecursionError, MemoryError) as fault:
+            return [("invalid", str(fault), None)]
+
+    given = json.loads(text)
+    return given.get("required") or [], *({k: tokens(v) for k, v in given.get(name) or []} for name in ("defaults", "forced"))
+
+
+def _evaluate(tokens: list[tuple], known: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `evaluate_postfix`, for n rows at once: values and which of them are there, from those of the known parameters."""
+    stack = []
+    for kind, name, value in tokens:
+        if kind == "number":
+            stack.append((np.full(n, value), np.ones(n, bool)))
+        elif kind == "name":
+            stack.append(known(name))
+        elif kind == "negative":
+            a, there = stack.pop()
+            stack.append((-a, there))
+        elif kind == "invalid":
+            return np.full(n, np.nan), np.zeros(n, bool)
+        else:
+            (b, there_b), (a, there_a) = stack.pop(), stack.pop()
+            there = there_a & there_b
+            if kind in ("/", "//", "%"):
+                there = there & (b != 0)
+                found = a / b
+                if kind != "/":  # a whole number of 64 bits, as columns have it
+                    found = np.nan_to_num(np.clip(np.floor(found), -(2.0**63), 2.0**63), nan=0.0) + 0.0
+                if kind == "%":
+                    found = a - found * b
+            elif kind == "round":
+                scale = np.power(10.0, b)
+                there = there & (scale != 0)
+                found = np.rint(a * scale) / scale
+            else:
+                found = {"+": np.add, "-": np.subtract, "*": np.multiply, "**": np.power, "max": np.maximum, "min": np.fmin}[kind](a, b)
+            stack.append((found, there))
+    return stack[0]
+
+
+SETTLED = "settled array<double>, missing string, invalid string"
+
+
+def settle(programs: pa.Array, params: pa.Array) -> pa.Array:
+    """Per row the values of the listed parameters, the first one missing, and why if its expression is invalid.
 
     Parameters are settled in the listed order, so an expression sees the ones before it.  A value that an
-    invalid expression (one token of kind `invalid`) should give is missing.
+    invalid expression should give is missing.  The rows of one program are computed together, a whole column a step.
     """
-    def with_value(known: Column, p: Column, value: Column) -> Column:
-        others = F.map_filter(known, lambda k, _: k != p)
-        return F.map_concat(others, F.map_from_arrays(F.array(p), F.array(value)))
-
-    def named(value: Column, use) -> Column:
-        """`use` of a value that is computed once, however often it is named."""
-        return F.get(F.transform(F.array(value), use), 0)
-
-    def settle(known: Column, p: Column) -> Column:
-        def with_force(given: Column) -> Column:
-            force = F.try_element_at(forced, p)
-            return F.when(force.isNull(), given).otherwise(evaluate_postfix(force, with_value(known, p, given)))
-
-        default = F.try_element_at(defaults, p)
-        return named(F.coalesce(F.try_element_at(known, p), F.when(default.isNotNull(), evaluate_postfix(default, known))), with_force)
-
-    def step(state: Column, p: Column) -> Column:
-        return named(settle(state["known"], p), lambda value: F.struct(
-            with_value(state["known"], p, value).alias("known"),
-            F.concat(state["text"], p, F.coalesce(format_parameter(p, value), F.lit("")), p, F.lit("_")).alias("text"),
-            F.coalesce(state["missing"], F.when(value.isNull(), p)).alias("missing"),
-        ))
-
-    start = F.struct(
-        F.coalesce(params, F.create_map().cast("map<string,double>")).alias("known"), F.lit("").alias("text"), F.lit(None).cast("string").alias("missing"),
-    )
-    return F.aggregate(required, start, step, lambda end: F.struct(F.when(end["missing"].isNull(), end["text"]).alias("text"), end["missing"].alias("missing")))
+    import pyarrow.compute as pc
+
+    n = len(programs)
+    offsets = params.offsets.to_numpy()
+    names = pc.dictionary_encode(params.keys.slice(offsets[0], offsets[-1] - offsets[0]))
+    items = params.items.slice(offsets[0], offsets[-1] - offsets[0])
+    values, filled = items.fill_null(np.nan).to_numpy(zero_copy_only=False), items.is_valid().to_numpy(zero_copy_only=False)
+    codes, rows = names.indices.to_numpy(), np.repeat(np.arange(n), np.diff(offsets))
+    given = {}
+    for code, name in enumerate(names.dictionary.to_pylist()):
+        value, there = np.full(n, np.nan), np.zeros(n, bool)
+        at = codes == code
+        value[rows[at]], there[rows[at]] = values[at], filled[at]
+        given[name] = value, there
+    nowhere = np.full(n, np.nan), np.zeros(n, bool)
+
+    encoded = pc.dictionary_encode(programs)
+    kinds = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(kinds, kind="stable")
+    starts = np.searchsorted(kinds[order], np.arange(len(encoded.dictionary) + 1))
+    width, done = np.zeros(n, np.int64), []
+    missing, invalid = np.full(n, None, object), np.full(n, None, object)
+    with np.errstate(all="ignore"):
+        for kind, text in enumerate(encoded.dictionary.to_pylist()):
+            required, defaults, forced = _compiled(text)
+            here = order[starts[kind]:starts[kind + 1]]
+            if not required:
+                continue
+            settled = {}
+
+            def known(name):
+                if name not in settled:
+                    settled[name] = tuple(x[here] for x in given.get(name, nowhere))
+                return settled[name]
+
+            columns = []
+            for p in required:
+                value, there = known(p)
+                if p in defaults and not there.all():
+                    other, also = _evaluate(defaults[p], known, len(here))
+                    value, there = np.where(there, value, other), there | also
+                settled[p] = value, there
+                if p in forced:
+                    settled[p] = _evaluate(forced[p], known, len(here))
+                columns.append(settled[p])
+            width[here] = len(required)
+            present = np.stack([c[1] for c in columns], axis=1)
+            done.append((here, np.stack([c[0] for c in columns], axis=1), present))
+            lacking = np.flatnonzero(~present.all(axis=1))
+            first = np.argmin(present[lacking], axis=1)
+            reasons = [next((t[1] for t in forced.get(p, defaults.get(p, [])) if t[0] == "invalid"), None) for p in required]
+            missing[here[lacking]] = np.array(required, object)[first]
+            invalid[here[lacking]] = np.array(reasons, object)[first]
+    ends = np.cumsum(width)
+    flat, there = np.full(int(width.sum()), np.nan), np.zeros(int(width.sum()), bool)
+    for here, found, present in done:
+        places = (ends - width)[here][:, None] + np.arange(found.shape[1])
+        flat[places], there[places] = found, present
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.float64(), mask=~there))
+    return pa.StructArray.from_arrays([lists, pa.array(missing, pa.string()), pa.array(invalid, pa.string())], names=["settled", "missing", "invalid"])
+
+
+def settled_characteristic(required: Column, settled: Column) -> Column:
+    """struct(text, missing) from the struct that `settle` returns."""
+    parts = F.zip_with(required, settled["settled"], lambda p, v: F.concat(p, F.coalesce(format_parameter(p, v), F.lit("")), p, F.lit("_")))
+    return F.struct(F.when(settled["missing"].isNull(), F.array_join(parts, "")).alias("text"), settled["missing"].alias("missing"))
 
 
 def numeric_characteristic(

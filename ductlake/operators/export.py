@@ -20,40 +20,18 @@ def _plain_numbers(values: Column) -> Column:
     return F.forall(F.coalesce(F.map_values(values), F.array().cast("array<string>")), lambda v: v.try_cast("double").isNotNull() | v.isNull())
 
 
-def _postfix_maps(batches):
-    """The default and forced values of products as postfix tokens; what is no expression becomes one token `invalid`."""
-    import pyarrow as pa
+def product_programs(products: DataFrame) -> DataFrame:
+    """X4, F-X6: products with their `program` (`formatting.program`) where any default or forced value is computed.
 
-    def tokens(text: str | None) -> list[dict]:
-        try:
-            found = fmt.postfix(text or "")
-        except (ValueError, RecursionError, MemoryError) as fault:
-            found = [("invalid", str(fault), None)]
-        return [dict(zip(("kind", "name", "value"), t)) for t in found]
-
-    kind = pa.map_(pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.float64())])))
-    for batch in batches:
-        columns = [pa.array([None if m is None else [(k, tokens(v)) for k, v in m] for m in c.to_pylist()], kind) for c in batch.columns[1:]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["article", "default_tokens", "force_tokens"])
-
-
-TOKEN_MAPS = f"article string, default_tokens map<string, array<{fmt.TOKEN}>>, force_tokens map<string, array<{fmt.TOKEN}>>"
-
-
-def compiled_products(products: DataFrame) -> DataFrame:
-    """X4, F-X6: products with the postfix tokens of their default and forced values where any of these is computed.
-
-    Expressions are compiled where the products lie, one row a product; products of plain numbers, and the
-    built-in ones with them, never reach Python.
+    Such products keep no values beside it; those of plain numbers, and the built-in ones with them, have none.
     """
-    # Rows keep their own columns in a struct: a product table may hold further ones.
-    known = products.select("article", "name", "section", "xml_parameters", "default_params", "force_params", (F.col("provenance") if "provenance" in products.columns else F.lit("given")).alias("provenance"))
     plain = _plain_numbers(F.col("default_params")) & _plain_numbers(F.col("force_params"))
-    computed = known.where(~plain)
-    tokens = computed.select("article", "default_params", "force_params").mapInArrow(_postfix_maps, TOKEN_MAPS)
-    empty = F.lit(None).cast(f"map<string, array<{fmt.TOKEN}>>")
-    return known.where(plain).withColumns({"default_tokens": empty, "force_tokens": empty, "computed": F.lit(False)}).unionByName(
-        computed.join(tokens, "article").withColumn("computed", F.lit(True)))
+    provenance = F.col("provenance") if "provenance" in products.columns else F.lit("given")
+    return products.select(
+        "article", "name", "section", "xml_parameters", provenance.alias("provenance"),
+        *[F.when(plain, F.col(c)).alias(c) for c in ("default_params", "force_params")],
+        F.when(~plain, fmt.program(F.col("xml_parameters"), F.col("default_params"), F.col("force_params"))).alias("program"),
+    )
 
 
 def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -62,16 +40,19 @@ def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:
     A line whose article is unknown, whose article's parameter list is not known, or that lacks a required
     parameter gets an `error` and leaves the other lines of its order alone.
     """
-    dimension = broadcast_checked(compiled_products(products).withColumnRenamed("name", "product_name"))
-    joined = lines.join(dimension, "article", "left")
+    known = product_programs(products).withColumnRenamed("name", "product_name")
+    joined = lines.join(broadcast_checked(known), "article", "left")
     required = F.coalesce("xml_parameters", F.array().cast("array<string>"))
-    built = F.when(
-        F.col("computed"), fmt.settled_characteristic(required, F.col("params"), F.col("default_tokens"), F.col("force_tokens"))
-    ).otherwise(fmt.numeric_characteristic(required, F.col("params"), F.col("default_params"), F.col("force_params")))
+    built = fmt.numeric_characteristic(required, F.col("params"), F.col("default_params"), F.col("force_params"))
+    invalid = F.lit(None).cast("string")
+    # Lines reach Python only if there is a computed value, and then with its program and parameters alone.
+    if not known.where(F.col("program").isNotNull()).isEmpty():
+        given = F.coalesce(F.when(F.col("program").isNotNull(), F.col("params")), F.create_map().cast("map<string,double>"))
+        joined = joined.withColumn("settled", F.arrow_udf(fmt.settle, fmt.SETTLED)("program", given))
+        built = F.when(F.col("program").isNotNull(), fmt.settled_characteristic(required, F.col("settled"))).otherwise(built)
+        invalid = F.col("settled.invalid")
     unknown_list = (F.size(required) == 0) & (F.coalesce("provenance", F.lit("")) == "")
     article = F.concat(F.lit("Для артикула "), "article")
-    tokens = F.coalesce(F.try_element_at("force_tokens", F.col("built_missing")), F.try_element_at("default_tokens", F.col("built_missing")))
-    invalid = F.filter(tokens, lambda t: t["kind"] == "invalid")
     # Behind a generator, so that no filter or later column computes the parameters a second time.
     return (
         joined.select("*", F.inline(F.array(built)).alias("built_text", "built_missing"))
@@ -83,12 +64,12 @@ def with_characteristic(lines: DataFrame, products: DataFrame) -> DataFrame:
             ).when(
                 unknown_list, F.concat(article, F.lit(" неизвестен список параметров"))
             ).when(
-                F.size(invalid) > 0, F.concat(article, F.lit(" недопустимо выражение параметра "), "built_missing", F.lit(": "), F.get(invalid, 0)["name"]),
+                invalid.isNotNull(), F.concat(article, F.lit(" недопустимо выражение параметра "), "built_missing", F.lit(": "), invalid),
             ).when(
                 F.col("built_missing").isNotNull(), F.concat(article, F.lit(" не хватает параметра "), "built_missing"),
             ),
         })
-        .drop("built_text", "built_missing", "xml_parameters", "default_params", "force_params", "default_tokens", "force_tokens", "computed", "provenance")
+        .drop("built_text", "built_missing", "xml_parameters", "default_params", "force_params", "program", "settled", "provenance")
     )
 
 

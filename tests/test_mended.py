@@ -287,6 +287,31 @@ def test_an_article_without_a_known_parameter_list_is_an_error(spark):
     assert export.with_characteristic(lines, own).where("article = '10-2-4' and characteristic = '' and error is null").count() == 1
 
 
+def test_expressions_are_computed_a_column_at_a_time(spark):
+    """The same values as the fold over a stack gives row by row, which no line goes through."""
+    texts = ["A0 / B0", "A0 // B0", "A0 % B0", "-A0 ** 2", "round(A0 / 7, 2)", "max(A0, B0, 60) / 2", "min(A0, B0)", "C0 + 1", "open(A0)", "", "A0 - B0 * 2", "7"]
+    numbers = [None, 0.0, -7.5, 3.0, 1e300, float("inf"), float("nan")]
+    rows = [(f"{i}", {k: v for k, v in (("A0", a), ("B0", b)) if v is not None or i % 2}) for i in range(len(texts)) for a in numbers for b in numbers]
+    lines = spark.createDataFrame([*rows, ("0", None)], "article string, params map<string,double>")
+    products = spark.createDataFrame(
+        [(f"{i}", "n", "round", ["x", "y"], {"x": t, "y": "x + 1"}, {"y": "y * 2"} if i % 3 else {}) for i, t in enumerate(texts)],
+        "article string, name string, section string, xml_parameters array<string>, default_params map<string,string>, force_params map<string,string>")
+    found = export.with_characteristic(lines, products)
+    assert " aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def tokens(text):
+        try:
+            return formatting.postfix(text)
+        except ValueError:
+            return None
+
+    programs = spark.createDataFrame([(f"{i}", tokens(t), i % 3 > 0) for i, t in enumerate(texts)], f"article string, tokens array<{formatting.TOKEN}>, doubled boolean")
+    x = formatting.evaluate_postfix(F.col("tokens"), F.coalesce("params", F.create_map().cast("map<string,double>")))
+    y = (F.col("x") + 1) * F.when(F.col("doubled"), 2.0).otherwise(1.0)
+    want = lines.join(programs, "article").withColumn("x", x).select("article", F.concat(F.lit("x"), F.col("x").cast("string"), F.lit("x_y"), y.cast("string"), F.lit("y_")), F.col("tokens").isNull())
+    assert sorted((r.article, r.characteristic or "", "недопустимо" in (r.error or "")) for r in found.collect()) == sorted((a, c or "", bad) for a, c, bad in want.collect())
+
+
 def test_many_products_with_expressions_are_data(spark):
     ddl = "array<string>", "map<string,string>"
     products = lambda n: spark.range(n).selectExpr(
